@@ -104,3 +104,40 @@ def protect(x: str) -> str:
         " THEN '__MBT_MARKUP_' || CASE WHEN i - 1 < 1000 THEN lpad((i - 1)::VARCHAR, 3, '0')"
         " ELSE (i - 1)::VARCHAR END || '__' ELSE '' END), 'string_agg', '')"
     )
+
+
+def _alternatives(tags: str) -> str:
+    return "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in tags.split())
+
+
+BLOCKS = _alternatives(
+    "p h1 h2 h3 h4 h5 h6 figcaption caption th td li blockquote dt dd pre address"
+)
+CONTAINERS = _alternatives("div section article aside")
+ANY_BLOCK = (
+    r"(?i)<(?:p|h[1-6]|figcaption|caption|th|td|li|blockquote|dt|dd|pre|address"
+    r"|div|section|article|aside)\b"
+)
+
+FILE = "'OEBPS/page' || page_id || '.xhtml'"
+
+
+def _family(name: str, pattern: str) -> str:
+    return f"""{name}_m AS (SELECT page_id, regexp_extract_all(html, '{pattern}') AS ms,
+                          string_split_regex(html, '{pattern}') AS gs FROM pages),
+        {name}_x AS (SELECT page_id, unnest(ms) AS m,
+                 unnest(list_transform(ms, lambda x, i: list_sum(list_transform(gs[1:i], lambda g: length(g)))
+                        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))) AS start_at FROM {name}_m),
+        {name} AS (SELECT page_id, start_at::INTEGER AS start_at, (start_at + length(m))::INTEGER AS end_at, t AS tag,
+                 substr(m, length(t) + 2, strpos(m, '>') - length(t) - 2) AS attrs,
+                 substr(m, strpos(m, '>') + 1, length(m) - strpos(m, '>') - length(t) - 3) AS inner_html
+               FROM (SELECT *, regexp_extract(m, '^<([A-Za-z0-9]+)', 1) AS t FROM {name}_x))"""
+
+
+UNITS = f"""{_family('blocks', BLOCKS)}, {_family('boxes', CONTAINERS)},
+        cands AS (SELECT * FROM blocks UNION ALL
+                  SELECT * FROM boxes WHERE NOT regexp_matches(inner_html, '{ANY_BLOCK}')),
+        ord AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start_at) - 1 AS ordinal,
+                {FILE} AS file, sha256(inner_html) AS source_hash, {strip('inner_html')} AS plain FROM cands),
+        units AS (SELECT *, sha256(file || '|' || ordinal || '|' || source_hash) AS id,
+                  {should_translate('attrs', 'plain')} AS translatable FROM ord)"""
