@@ -24,8 +24,7 @@ def is_short_heading(plain: Column) -> Column:
 def should_translate(attrs: Column, plain: Column) -> Column:
     """F1. ``plain`` is the stripped text; cheap tests come first."""
     long_enough = (F.length(plain) >= 2) | (F.octet_length(plain) >= 4)
-    compact = F.regexp_replace(plain, "[^A-Za-z0-9-]", "")
-    code = (F.length(compact) <= 10) & compact.rlike("^[A-Za-z][A-Za-z0-9-]+$")
+    code = F.regexp_replace(plain, "[^A-Za-z0-9-]+", "").rlike("^[A-Za-z][A-Za-z0-9-]{1,9}$")
     already = X.has_vietnamese(plain) & (
         X.english_words(plain) < F.greatest(F.lit(3), X.vietnamese_words(plain) * 2)
     )

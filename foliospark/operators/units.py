@@ -40,16 +40,19 @@ def _starts(gaps: Column, hits: Column) -> Column:
     )
 
 
-def _candidate(m: Column, start: Column) -> Column:
+def _headed(m: Column, start: Column) -> Column:
     tag = F.regexp_extract(m, "^<([A-Za-z0-9]+)", 1)
-    close = F.instr(m, ">")
-    name = F.length(tag)
+    return F.struct(start.alias("start"), m.alias("m"), tag.alias("tag"), F.instr(m, ">").alias("gt"))
+
+
+def _candidate(x: Column) -> Column:
+    m, name = x["m"], F.length(x["tag"])
     return F.struct(
-        start.alias("start"),
-        (start + F.length(m)).alias("end"),
-        tag.alias("tag"),
-        F.substring(m, name + 2, close - name - 2).alias("attrs"),
-        F.substring(m, close + 1, F.length(m) - close - name - 3).alias("inner"),
+        x["start"].alias("start"),
+        (x["start"] + F.length(m)).alias("end"),
+        x["tag"].alias("tag"),
+        F.substring(m, name + 2, x["gt"] - name - 2).alias("attrs"),
+        F.substring(m, x["gt"] + 1, F.length(m) - x["gt"] - name - 3).alias("inner"),
     )
 
 
@@ -62,8 +65,12 @@ def with_candidates(pages: DataFrame, html: str, out: str = "candidates") -> Dat
                 f"{name}g": F.split(F.col(html), pattern, -1),
             }
         )
-    blocks = F.zip_with("_bm", _starts(F.col("_bg"), F.col("_bm")), _candidate)
-    containers = F.zip_with("_cm", _starts(F.col("_cg"), F.col("_cm")), _candidate)
+
+    def family(hits: str, gaps: str) -> Column:
+        headed = F.zip_with(hits, _starts(F.col(gaps), F.col(hits)), _headed)
+        return F.transform(headed, _candidate)
+
+    blocks, containers = family("_bm", "_bg"), family("_cm", "_cg")
     leaves = F.filter(containers, lambda c: ~c["inner"].rlike(P.ANY_BLOCK))
     return pages.withColumn(out, F.array_sort(F.concat(blocks, leaves))).drop(
         "_bm", "_bg", "_cm", "_cg"
@@ -74,16 +81,24 @@ def extract_units(pages: DataFrame, file: str, html: str, keep: tuple[str, ...]
     """One row per unit with its identity hash and the translatable flag."""
     base = pages.select(*keep, F.col(file).alias("file"), F.col(html).alias("_html"))
     base = with_candidates(base, "_html").drop("_html")
-    cols = [*keep, "file", "ordinal"]
-    units = base.select(*keep, "file", F.posexplode("candidates").alias("ordinal", "c")).select(
-        *cols,
+    # Text is stripped before the explode: as a plain column of the exploded row it
+    # is computed once, wherever later filters end up. The outer explode keeps
+    # Catalyst from copying the whole scan expression into an inferred filter.
+    described = F.transform(
+        "candidates", lambda c: c.withField("plain", X.strip_markup(c["inner"]))
+    )
+    exploded = base.select(*keep, "file", F.posexplode_outer(described).alias("ordinal", "c"))
+    units = exploded.filter("ordinal IS NOT NULL").select(
+        *keep,
+        "file",
+        "ordinal",
         F.col("c.start").alias("start"),
         F.col("c.end").alias("end"),
         F.col("c.tag").alias("tag"),
         F.col("c.attrs").alias("attrs"),
         F.col("c.inner").alias("inner"),
         X.content_hash(F.col("c.inner")).alias("source_hash"),
-        X.strip_markup(F.col("c.inner")).alias("plain"),
+        F.col("c.plain").alias("plain"),
     )
     return units.withColumns(
         {

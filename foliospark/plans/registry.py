@@ -35,3 +35,12 @@ def query(name: str, ids: str, sql: str | None = None) -> Callable[[Plan], Plan]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a scan with fewer splits than the session has cores.
+
+    Only for CPU-heavy row-local work on small inputs: a scan of any size has more
+    splits than that and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

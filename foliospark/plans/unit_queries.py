@@ -10,13 +10,13 @@ from ..functions import text as X
 from ..operators import profile as PF
 from ..operators import units as U
 from . import sqltext as S
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def book_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as content files of an archive."""
     name = F.concat(F.lit("OEBPS/page"), F.col("page_id").cast("string"), F.lit(".xhtml"))
-    return table(spark, d, "pages").select("page_id", name.alias("file"), "html")
+    return spread(table(spark, d, "pages").select("page_id", name.alias("file"), "html"))
 
 
 def page_units(spark: SparkSession, d: str) -> DataFrame:
