@@ -9,6 +9,12 @@ from . import patterns as P
 from . import text as X
 
 
+# Two to ten letters, digits and dashes in all, whatever lies between them, the
+# first a letter. Anchored and possessive: it gives up at the eleventh.
+_SKIP = "[^A-Za-z0-9-]*+"
+SHORT_CODE = f"^{_SKIP}[A-Za-z](?:{_SKIP}[A-Za-z0-9-]){{1,9}}+{_SKIP}$"
+
+
 def attributes_denied(attrs: Column) -> Column:
     """A deny-listed word in attributes that hold no line break."""
     a = F.lower(F.coalesce(attrs, F.lit("")))
@@ -24,7 +30,7 @@ def is_short_heading(plain: Column) -> Column:
 def should_translate(attrs: Column, plain: Column) -> Column:
     """F1. ``plain`` is the stripped text; cheap tests come first."""
     long_enough = (F.length(plain) >= 2) | (F.octet_length(plain) >= 4)
-    code = F.regexp_replace(plain, "[^A-Za-z0-9-]+", "").rlike("^[A-Za-z][A-Za-z0-9-]{1,9}$")
+    code = plain.rlike(SHORT_CODE)
     already = X.has_vietnamese(plain) & (
         X.english_words(plain) < F.greatest(F.lit(3), X.vietnamese_words(plain) * 2)
     )

@@ -1,4 +1,4 @@
 """Query plans over the standard tables."""
 
-from . import text_queries, unit_queries  # noqa: F401
+from . import state_queries, text_queries, unit_queries  # noqa: F401
 from .registry import QUERIES  # noqa: F401
