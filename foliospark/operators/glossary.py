@@ -89,7 +89,7 @@ def _anchors(needles: DataFrame) -> DataFrame:
     placed = needles.withColumns({"cls": cls, "q": q, "shifts": shifts})
     grams = placed.select(
         "ord", "needle", "cls", "shifts",
-        F.posexplode(
+        F.posexplode_outer(
             F.transform(
                 F.sequence(F.lit(0), size - F.col("q")),
                 lambda i: F.substring(F.col("needle"), i + 1, F.col("q")),
@@ -115,7 +115,9 @@ def _anchors(needles: DataFrame) -> DataFrame:
     best = F.array_min(windows)["i"]
     return per_term.select(
         "ord", "needle", "cls",
-        F.explode(F.transform(F.slice("g", best + 1, F.col("shifts")), lambda x: x["gram"])).alias("gram"),
+        F.explode_outer(
+            F.transform(F.slice("g", best + 1, F.col("shifts")), lambda x: x["gram"])
+        ).alias("gram"),
     ).distinct()
 
 
@@ -155,8 +157,11 @@ def match_terms(
             {"ord": F.lit(0).cast("bigint"), "rank": F.lit(0)}
         )
     low = texts.select(key, F.lower(F.col(text)).alias("_low"))
-    grams = low.select(key, "_low", F.explode(_text_grams(classes)).alias("g"))
-    grams = grams.select(key, "_low", F.col("g.cls").alias("cls"), F.col("g.gram").alias("gram"))
+    # outer: an inner explode of a computed array is evaluated again in an inferred filter
+    grams = low.select(key, "_low", F.explode_outer(_text_grams(classes)).alias("g"))
+    grams = grams.filter("g.gram IS NOT NULL").select(
+        key, "_low", F.col("g.cls").alias("cls"), F.col("g.gram").alias("gram")
+    )
     if needles.limit(broadcast_terms + 1).count() <= broadcast_terms:
         hits = grams.join(F.broadcast(anchors), ["cls", "gram"])
         hits = hits.filter(F.contains("_low", "needle")).select(key, "ord").distinct()

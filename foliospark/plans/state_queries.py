@@ -115,8 +115,8 @@ def token_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Multiset coverage as relations: each document against the next one of its source.
     Only (document, token, count) rows meet; the texts stay where they are."""
     tokens = table(spark, d, "documents").select(
-        "doc_id", F.explode(X.important_tokens(F.col("text"))).alias("token")
-    )
+        "doc_id", F.explode_outer(X.important_tokens(F.col("text"))).alias("token")
+    ).filter("token IS NOT NULL")
     counts = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     have = counts.select((F.col("doc_id") - 20).alias("doc_id"), "token", F.col("n").alias("m"))
     kept = F.least("n", F.coalesce("m", F.lit(0)))
@@ -251,7 +251,7 @@ _ANSWER_SQL = """'Here: ```' || chr(10) || '[' || CASE WHEN doc_id % 4 = 0 THEN
 def batch_semi(spark: SparkSession, d: str) -> DataFrame:
     """Answers come back as text; only items whose id was asked for are kept."""
     units = document_units(spark, d).select("id", F.col("ordinal").alias("doc_id"))
-    answers = units.select(F.explode(R.id_texts(F.expr(_ANSWER_SQL))).alias("x")).select("x.*")
+    answers = units.select(F.explode_outer(R.id_texts(F.expr(_ANSWER_SQL))).alias("x")).select("x.*")
     return answers.join(units, "id", "left_semi").select("id", "translation")
 
 

@@ -79,7 +79,8 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     parts = X.split_sentences(F.col("text"))
     return (
         table(spark, d, "documents")
-        .select("doc_id", F.posexplode(parts).alias("position", "sentence"))
+        .select("doc_id", F.posexplode_outer(parts).alias("position", "sentence"))
+        .filter("position IS NOT NULL")
         .withColumn("position", F.col("position").cast("bigint"))
     )
 
@@ -92,8 +93,8 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
 )
 def important_tokens(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "documents").select(
-        "doc_id", F.explode(X.important_tokens(F.col("text"))).alias("token")
-    )
+        "doc_id", F.explode_outer(X.important_tokens(F.col("text"))).alias("token")
+    ).filter("token IS NOT NULL")
     per_doc = hits.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("token").agg(
         F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs")
@@ -198,7 +199,7 @@ def translatable_gaps(spark: SparkSession, d: str) -> DataFrame:
 def long_text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "documents")
-        .select("doc_id", F.posexplode(X.chunk_long_text(F.col("text"))).alias("chunk_no", "chunk"))
+        .select("doc_id", F.posexplode_outer(X.chunk_long_text(F.col("text"))).alias("chunk_no", "chunk"))
         .select(
             "doc_id",
             F.col("chunk_no").cast("bigint").alias("chunk_no"),
