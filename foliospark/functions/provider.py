@@ -128,7 +128,8 @@ def retry_delay_ms(header: Column, body: Column) -> Column:
     seconds = F.substring(first, F.lit(1), F.length(first) - 1).try_cast("double")
 
     def clamp(ms: Column) -> Column:
-        return F.least(F.lit(60000), F.greatest(F.lit(1000), ms)).cast("bigint")
+        bounded = F.least(F.lit(60000), F.greatest(F.lit(1000), ms)).cast("bigint")
+        return F.when(ms.isNotNull(), bounded)
 
     from_header = trim_low(header).try_cast("bigint") * 1000
     return F.coalesce(

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
 
 TERM_COLUMNS = ("english", "vietnamese", "category", "note")
-# Terms up to this count are sent to every task; a larger glossary is shuffled.
+# A glossary of at most this many terms of at most this length is sent to every task
+# (some ten megabytes); a larger one is shuffled.
 BROADCAST_TERMS = 50_000
+BROADCAST_LENGTH = 200
 
-# (shortest needle, longest needle, gram length). A text cut into consecutive
-# grams of length q holds one whole gram of every occurrence of a needle with at
-# least 2q - 1 characters; two-character needles look at every position instead.
-_CLASSES = ((2, 2, 2), (3, 4, 2), (5, 8, 3), (9, 14, 5), (15, None, 8))
+# Needles up to this length are looked up whole.
+EXACT_LENGTH = 6
+# Longer ones: (shortest length, gram length q). A text cut into consecutive grams of
+# length q holds one whole gram of every occurrence of a needle of 2q - 1 characters
+# or more, whichever of the needle's q phases it falls on.
+LONG_CLASSES = ((7, 4), (15, 8))
 
 
 def term_key(english: Column) -> Column:
@@ -77,65 +85,100 @@ def _needles(terms: DataFrame) -> DataFrame:
 
 
 def _anchors(needles: DataFrame) -> DataFrame:
-    """Grams that lead to each needle: the q consecutive ones least shared with
-    other needles, so that a common prefix does not make a hot gram."""
+    """(cls, gram) pairs that lead to each needle; ``cls`` is the gram length.
+
+    A short needle is its own gram. A longer one takes the q consecutive grams it
+    shares least with other needles, so that a common prefix makes no hot gram."""
     size = F.length("needle")
-    q, cls = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for k, (lo, hi, n) in enumerate(_CLASSES):
-        inside = (size >= lo) & (size <= hi) if hi else size >= lo
-        q, cls = F.when(inside, n).otherwise(q), F.when(inside, k).otherwise(cls)
-    # one window start only for needles of two characters
-    shifts = F.when(cls == 0, 1).otherwise(q)
-    placed = needles.withColumns({"cls": cls, "q": q, "shifts": shifts})
-    grams = placed.select(
-        "ord", "needle", "cls", "shifts",
-        F.posexplode_outer(
-            F.transform(
-                F.sequence(F.lit(0), size - F.col("q")),
-                lambda i: F.substring(F.col("needle"), i + 1, F.col("q")),
-            )
-        ).alias("at", "gram"),
+    short = needles.filter(size <= EXACT_LENGTH).select(
+        "ord", "needle", F.lit(False).alias("cut"), size.alias("q"), F.col("needle").alias("gram")
     )
-    shared = grams.groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("n"))
+    q = F.lit(None).cast("int")
+    for least, n in LONG_CLASSES:
+        q = F.when(size >= least, n).otherwise(q)
+    placed = needles.filter(size > EXACT_LENGTH).withColumn("q", q)
+    all_grams = F.transform(
+        F.sequence(F.lit(0), size - F.col("q")),
+        lambda i: F.substring(F.col("needle"), i + 1, F.col("q")),
+    )
+    grams = placed.select("ord", "needle", "q", F.posexplode_outer(all_grams).alias("at", "gram"))
+    shared = grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
     per_term = (
-        grams.join(shared, ["cls", "gram"])
-        .groupBy("ord", "needle", "cls", "shifts")
+        grams.join(shared, ["q", "gram"])
+        .groupBy("ord", "needle", "q")
         .agg(F.array_sort(F.collect_list(F.struct("at", "gram", "n"))).alias("g"))
     )
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("g") - F.col("shifts")),
-        lambda i: F.struct(
-            F.aggregate(
-                F.slice("g", i + 1, F.col("shifts")), F.lit(0).cast("bigint"),
-                lambda acc, x: acc + x["n"],
-            ).alias("cost"),
-            i.alias("i"),
-        ),
+
+    def cost(i: Column) -> Column:
+        window = F.slice("g", i + 1, F.col("q"))
+        total = F.aggregate(window, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+        return F.struct(total.alias("cost"), i.alias("i"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.size("g") - F.col("q")), cost))["i"]
+    chosen = F.transform(F.slice("g", best + 1, F.col("q")), lambda x: x["gram"])
+    long = per_term.select(
+        "ord", "needle", F.lit(True).alias("cut"), "q", F.explode_outer(chosen).alias("gram")
     )
-    best = F.array_min(windows)["i"]
-    return per_term.select(
-        "ord", "needle", "cls",
-        F.explode_outer(
-            F.transform(F.slice("g", best + 1, F.col("shifts")), lambda x: x["gram"])
-        ).alias("gram"),
-    ).distinct()
-
-
-def _text_grams(classes: list[int]) -> Column:
-    """Distinct (class, gram) pairs of a text; one linear pass per class."""
-    low = F.col("_low")
-
-    def grams(k: int) -> Column:
-        width = F.lit(f"(?s).{{{_CLASSES[k][2]}}}")
-        cut = F.regexp_extract_all(low, width, F.lit(0))
-        if k == 0:
-            rest = F.substring(low, F.lit(2), F.length(low))
-            cut = F.concat(cut, F.regexp_extract_all(rest, width, F.lit(0)))
+    return short.unionByName(long).distinct()
+
+
+def _text_grams(classes: list[tuple[bool, int]]) -> Column:
+    """Distinct grams of a text, every position for whole needles, consecutive ones
+    for cut needles; one linear pass per class."""
+
+    def grams(cut: bool, q: int) -> Column:
+        pattern, group = (f"(?s).{{{q}}}", 0) if cut else (f"(?s)(?=(.{{{q}}})).", 1)
+        found = F.regexp_extract_all(F.col("_low"), F.lit(pattern), F.lit(group))
         return F.transform(
-            F.array_distinct(cut), lambda g: F.struct(F.lit(k).alias("cls"), g.alias("gram"))
+            F.array_distinct(found),
+            lambda g: F.struct(F.lit(cut).alias("cut"), F.lit(q).alias("q"), g.alias("gram")),
         )
 
-    return F.concat(*[grams(k) for k in classes])
+    return F.concat(*[grams(*c) for c in classes])
+
+
+def _match_in_rows(texts: DataFrame, key: str, text: str, rows: list, top: int | None) -> DataFrame:
+    """Bounded glossary: one pass over each text, nothing is exploded or shuffled."""
+    sent = texts.sparkSession.sparkContext.broadcast([(r["ord"], r["needle"]) for r in rows])
+
+    def first_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        by_needle: dict[str, list[int]] = {}
+        for place, needle in sent.value:
+            by_needle.setdefault(needle, []).append(place)
+        automaton = ahocorasick.Automaton()
+        for needle, places in by_needle.items():
+            automaton.add_word(needle, tuple(places))
+        automaton.make_automaton()
+
+        def found(t: str | None) -> list[int]:
+            groups = {places for _, places in automaton.iter(t or "")}
+            return sorted(p for places in groups for p in places)[:top]
+
+        for batch in batches:
+            yield batch.map(found)
+
+    lookup = F.pandas_udf(first_terms, T.ArrayType(T.LongType()))
+    found = texts.select(key, lookup(F.lower(F.col(text))).alias("_ords"))
+    ranked = found.select(key, F.posexplode_outer("_ords").alias("_at", "ord"))
+    return ranked.filter("ord IS NOT NULL").select(key, "ord", (F.col("_at") + 1).alias("rank"))
+
+
+def _match_by_grams(texts: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
+    """Glossary of any size: an equi-join on grams proposes terms, ``contains`` decides.
+    The texts themselves travel once, for the proposals that need checking."""
+    anchors = _anchors(needles)
+    kinds = sorted((r[0], r[1]) for r in anchors.select("cut", "q").distinct().collect())  # <= 7
+    low = texts.select(key, F.lower(F.col(text)).alias("_low"))
+    # outer: an inner explode of a computed array is evaluated again in an inferred filter
+    grams = low.select(key, F.explode_outer(_text_grams(kinds)).alias("g"))
+    grams = grams.filter("g.gram IS NOT NULL").select(key, "g.cut", "g.q", "g.gram")
+    by = ["cut", "q", "gram"]
+    proposed = grams.join(anchors.select("ord", *by), by).select(key, "ord", "cut").distinct()
+    checked = proposed.filter("cut").join(needles, "ord").join(low, key)
+    checked = checked.filter(F.contains("_low", "needle")).select(key, "ord")
+    return proposed.filter("NOT cut").select(key, "ord").unionByName(checked)
 
 
 def match_terms(
@@ -145,37 +188,23 @@ def match_terms(
     """Terms whose English side occurs anywhere in a text, in any case and
     regardless of word boundaries; per text the first ``top`` in glossary order.
 
-    A substring join without comparing every text with every term: texts are cut into
-    grams, an equi-join on the gram proposes terms, ``contains`` decides. A glossary up
-    to ``broadcast_terms`` rows is broadcast, so the texts are never shuffled; a larger
-    one is joined by shuffle on (text key, gram), without the text."""
+    A substring join that never compares every text with every term. Up to
+    ``broadcast_terms`` terms, each of bounded length, go to every task and the texts
+    stay where they are; a larger glossary meets the texts in a shuffled gram join."""
     needles = _needles(terms)
-    anchors = _anchors(needles)
-    classes = sorted(r["cls"] for r in anchors.select("cls").distinct().collect())  # at most 5
-    if not classes:
+    fits = (F.length("needle") <= BROADCAST_LENGTH).alias("fits")
+    head = F.left("needle", F.lit(BROADCAST_LENGTH)).alias("needle")
+    rows = needles.select("ord", head, fits).limit(broadcast_terms + 1).collect()
+    if len(rows) <= broadcast_terms and all(r["fits"] for r in rows):
+        return _match_in_rows(texts, key, text, rows, top)
+    if not rows:
         return texts.select(key).limit(0).withColumns(
             {"ord": F.lit(0).cast("bigint"), "rank": F.lit(0)}
         )
-    low = texts.select(key, F.lower(F.col(text)).alias("_low"))
-    # outer: an inner explode of a computed array is evaluated again in an inferred filter
-    grams = low.select(key, "_low", F.explode_outer(_text_grams(classes)).alias("g"))
-    grams = grams.filter("g.gram IS NOT NULL").select(
-        key, "_low", F.col("g.cls").alias("cls"), F.col("g.gram").alias("gram")
-    )
-    if needles.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        hits = grams.join(F.broadcast(anchors), ["cls", "gram"])
-        hits = hits.filter(F.contains("_low", "needle")).select(key, "ord").distinct()
-    else:
-        proposed = grams.select(key, "cls", "gram").join(
-            anchors.select("ord", "cls", "gram"), ["cls", "gram"]
-        )
-        proposed = proposed.select(key, "ord").distinct()
-        hits = proposed.join(needles, "ord").join(low, key)
-        hits = hits.filter(F.contains("_low", "needle")).select(key, "ord")
-    if top is None:
-        return hits
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
-    return ranked.filter(F.col("rank") <= top)
+    hits = _match_by_grams(texts, key, text, needles)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
+    ranked = hits.withColumn("rank", rank)
+    return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
 def prompt_lines(matched: DataFrame, key: str, terms: DataFrame) -> DataFrame:

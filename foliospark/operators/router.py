@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import provider as PV
 from ..functions import text as X
-from .sequence import chain
+from .sequence import ROWS_PER_BLOCK, block_width, chain
 
-SPAN_MS = 60 * 60 * 1000
+HOUR_MS = 60 * 60 * 1000
 
 
 def eligible(providers: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def cooldown_triggers(calls: DataFrame, provider: str, ts_ms: str, order: str, c
 
     A failure while the provider is on hold cannot happen, so each trigger hides the
     failures up to its end: a greedy chain over time. Failures of one millisecond
-    collapse to the first of them before anything is grouped, which bounds an hour of
-    one provider however many calls it holds."""
+    collapse to the first of them before anything is grouped, which bounds a span of
+    time of one provider however many calls it holds. The span follows from the
+    density of all failures, so it fits even if one provider has most of them."""
     failures = calls.filter(F.col(cooldown) > 0)
     first = failures.groupBy(provider, ts_ms).agg(
         F.min(F.struct(F.col(order).alias("o"), F.col(cooldown).alias("c"))).alias("f")
@@ -53,7 +54,8 @@ def cooldown_triggers(calls: DataFrame, provider: str, ts_ms: str, order: str, c
     spans = first.select(
         provider, ts_ms, (F.col(ts_ms) + F.col("f.c")).alias("until_ms"), F.col("f.o").alias("trigger")
     )
-    picked = chain(spans, provider, ts_ms, "until_ms", SPAN_MS)
+    _, span = block_width(spans, ts_ms, ROWS_PER_BLOCK)
+    picked = chain(spans, provider, ts_ms, "until_ms", span)
     return spans.join(picked, [provider, ts_ms], "left_semi")
 
 
@@ -63,12 +65,12 @@ def replay(calls: DataFrame, provider: str, ts_ms: str, order: str, cooldown: st
     Holds are cut at hour borders, so calls and holds meet on (provider, hour) and a
     hot provider spreads over its hours. One hour has at most 60 holds."""
     holds = cooldown_triggers(calls, provider, ts_ms, order, cooldown)
-    hour = F.floor(F.col(ts_ms) / F.lit(SPAN_MS))
+    hour = F.floor(F.col(ts_ms) / F.lit(HOUR_MS))
     per_hour = (
         holds.select(
             provider,
             F.explode(
-                F.sequence(hour, F.floor((F.col("until_ms") - 1) / F.lit(SPAN_MS)))
+                F.sequence(hour, F.floor((F.col("until_ms") - 1) / F.lit(HOUR_MS)))
             ).alias("_h"),
             F.struct(F.col(ts_ms).alias("a"), F.col("until_ms").alias("z"), "trigger").alias("_x"),
         )
