@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import predicates as PR
 from ..functions import text as X
+from .staging import pinned
 
 
 def with_reason(pairs: DataFrame, src: str, dst: str, out: str = "reason") -> DataFrame:
@@ -56,6 +57,6 @@ def with_reason(pairs: DataFrame, src: str, dst: str, out: str = "reason") -> Da
         )
         .when(F.col("_head").isNotNull(), F.format_string(P.REASON_HEADING, "_head"))
     )
-    return staged.withColumn(out, reason).drop(
+    return pinned(staged, {out: reason}).drop(
         "_s", "_d", "_sl", "_dl", "_sn", "_dn", "_need", "_have", "_head"
     )

@@ -1,4 +1,4 @@
 """Query plans over the standard tables."""
 
-from . import provider_queries, state_queries, text_queries, unit_queries  # noqa: F401
+from . import layout_queries, provider_queries, state_queries, text_queries, unit_queries  # noqa: F401
 from .registry import QUERIES  # noqa: F401
