@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's checkpoint folder; one is made up only
-    where none is configured, as in local tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = _configured(df.sparkSession) or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def _configured(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+from .staging import durable
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
@@ -29,14 +15,14 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Data
     are dropped by an anti-join, so cycles end and shared nodes are visited once. The
     number of rounds is the nesting depth, not the number of nodes."""
     links = edges.select("page", F.col("parent").alias("node"), "child")
-    links = _durable(links.distinct())
-    seen = _durable(roots.select("page", "node").distinct())
+    links = durable(links.distinct())
+    seen = durable(roots.select("page", "node").distinct())
     frontier = seen
     for _ in range(max_depth):
         step = frontier.join(links, ["page", "node"])
         step = step.select("page", F.col("child").alias("node")).distinct()
-        frontier = _durable(step.join(seen, ["page", "node"], "left_anti"))
+        frontier = durable(step.join(seen, ["page", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _durable(seen.unionByName(frontier))
+        seen = durable(seen.unionByName(frontier))
     raise ValueError(f"nesting deeper than {max_depth}")

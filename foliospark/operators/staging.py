@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,20 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     held = df.select(*kept, F.explode_outer(F.array(row)).alias("_pin"))
     return held.select(*kept, *[F.col(f"_pin.{n}").alias(n) for n in columns])
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder of the session.
+
+    The result survives a lost executor and is not computed again. Only a local
+    session without the setting gets a folder of its own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

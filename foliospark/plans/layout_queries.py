@@ -577,7 +577,7 @@ def footer_filter(spark: SparkSession, d: str) -> DataFrame:
 
 FORM_EDGE = {
     "page": "event_id DIV 64",
-    "parent": "event_id - 1 - user_id % 7",
+    "parent": "event_id - 1 - user_id % 31",
     "child": "event_id",
 }
 
