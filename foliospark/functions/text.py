@@ -13,7 +13,7 @@ _LOW = "".join(chr(i) for i in range(33))
 
 def trim_low(c: Column) -> Column:
     """Trim every character up to U+0020, not just blanks."""
-    return F.trim(c, F.lit(_LOW))
+    return F.btrim(c, F.lit(_LOW))
 
 
 def is_blank(c: Column) -> Column:

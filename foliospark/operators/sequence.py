@@ -7,12 +7,15 @@ numbers per block are combined per key.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .staging import durable
 
 ROWS_PER_BLOCK = 65_536
 
@@ -51,6 +54,53 @@ def dense_ordinal(
     )
 
 
+Arrays = dict[str, np.ndarray]
+
+
+def per_group(
+    df: DataFrame, by: list[str], order: list[str], fn: Callable[[Arrays], Arrays], schema: str
+) -> DataFrame:
+    """Grouped map over numpy columns: ``fn`` gets the rows of one group in ``order``.
+
+    Groups stream out of a sorted partition, so a task holds one at a time, and many
+    small groups cost no data frame each. Group columns must not be null."""
+    ordered = df.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[Arrays] = []
+        key = None
+
+        def result() -> Arrays:
+            return fn({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+        def frame(outs: list[Arrays]) -> pd.DataFrame:
+            return pd.DataFrame({c: np.concatenate([o[c] for o in outs]) for c in outs[0]})
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            fresh = np.ones(len(pdf), dtype=bool)
+            fresh[1:] = False
+            for c in by:
+                fresh[1:] |= cols[c][1:] != cols[c][:-1]
+            starts = np.flatnonzero(fresh)
+            outs = []
+            for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
+                k = tuple(cols[c][lo] for c in by)
+                if held and k != key:
+                    outs.append(result())
+                    held = []
+                key = k
+                held.append({c: v[lo:hi] for c, v in cols.items()})
+            if outs:
+                yield frame(outs)
+        if held:
+            yield frame([result()])
+
+    return ordered.mapInPandas(run, schema)
+
+
 def _links(pos: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Next item of each item inside a block, and where the chain leaves the block."""
     nxt = np.searchsorted(pos, reach, side="left")
@@ -74,44 +124,48 @@ def chain(items: DataFrame, key: str, pos: str, reach: str, span: int) -> DataFr
        entries;
     4. each block follows the chain from its real entry.
     """
+    # rows of a block: items carry a reach, places where a chain enters have reach 0
+    block = F.floor(F.col("p") / F.lit(span)).cast("bigint").alias("b")
     it = items.select(
         F.col(key).alias("k"), F.col(pos).cast("bigint").alias("p"),
-        F.col(reach).cast("bigint").alias("r"),
-    ).withColumn("b", F.floor(F.col("p") / F.lit(span)).cast("bigint"))
+        F.col(reach).cast("bigint").alias("r"), F.lit(True).alias("item"),
+    ).select("*", block)
+    it = durable(it)  # read by three of the steps
     ktype = it.schema["k"].dataType.simpleString()
-    by_block = it.groupBy("k", "b")
-
-    def leaving(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        _, leave = _links(pdf.p.to_numpy(), pdf.r.to_numpy())
-        out = pd.DataFrame({"e": np.unique(leave)})
-        out.insert(0, "k", pdf.k.iloc[0])
-        return out
-
-    exits = by_block.applyInPandas(leaving, f"k {ktype}, e bigint").distinct()
-    entries = exits.withColumn("b", F.floor(F.col("e") / F.lit(span)).cast("bigint"))
-
-    def crossing(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"k": left.k, "e": left.p, "x": left.r})
-        left = left.sort_values("p")
-        p = left.p.to_numpy()
-        _, leave = _links(p, left.r.to_numpy())
-        first = int(left.b.iloc[0]) * span
-        e = np.unique(np.append(right.e.to_numpy(dtype="int64"), first))
+
+    def with_entries(entries: DataFrame) -> DataFrame:
+        marks = entries.select("k", F.col("e").alias("p"), F.lit(0).cast("bigint").alias("r"), F.lit(False).alias("item"))
+        return it.unionByName(marks.select("*", block))
+
+    def keyed(g: Arrays, **cols: np.ndarray) -> Arrays:
+        n = len(next(iter(cols.values())))
+        return {"k": np.repeat(g["k"][:1], n), **cols}
+
+    def leaving(g: Arrays) -> Arrays:
+        return keyed(g, e=np.unique(_links(g["p"], g["r"])[1]))
+
+    exits = per_group(it, ["k", "b"], ["p"], leaving, f"k {ktype}, e bigint").distinct()
+
+    def crossing(g: Arrays) -> Arrays:
+        item = g["item"].astype(bool)
+        if not item.any():
+            none = np.zeros(0, dtype="int64")
+            return keyed(g, e=none, x=none)
+        p = g["p"][item]
+        _, leave = _links(p, g["r"][item])
+        first = int(g["b"][0]) * span
+        e = np.unique(np.append(g["p"][~item], first))
         at = np.searchsorted(p, e, side="left")
-        through = [leave[i] if i < len(p) else first + span for i in at]
-        out = pd.DataFrame({"e": e, "x": np.array(through, dtype="int64")})
-        out.insert(0, "k", left.k.iloc[0])
-        return out
+        out = [leave[i] if i < len(p) else first + span for i in at]
+        return keyed(g, e=e, x=np.array(out, dtype="int64"))
 
-    nodes = by_block.cogroup(entries.groupBy("k", "b")).applyInPandas(
-        crossing, f"k {ktype}, e bigint, x bigint"
+    nodes = per_group(
+        with_entries(exits), ["k", "b"], ["p"], crossing, f"k {ktype}, e bigint, x bigint"
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        to = dict(zip(pdf.e.tolist(), pdf.x.tolist()))
-        heads = np.array(sorted(e for e in to if e % span == 0), dtype="int64")
+    def walk(g: Arrays) -> Arrays:
+        to = dict(zip(g["e"].tolist(), g["x"].tolist()))
+        heads = g["e"][g["e"] % span == 0]
         real, cur = [], int(heads[0])
         while True:
             if cur not in to:  # no block there: enter the next one at its start
@@ -121,26 +175,22 @@ def chain(items: DataFrame, key: str, pos: str, reach: str, span: int) -> DataFr
                 cur = int(heads[i])
             real.append(cur)
             cur = to[cur]
-        out = pd.DataFrame({"e": np.array(real, dtype="int64")})
-        out.insert(0, "k", pdf.k.iloc[0])
-        out["b"] = out.e // span
-        return out
-
-    real = nodes.groupBy("k").applyInPandas(walk, f"k {ktype}, e bigint, b bigint")
-
-    def follow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("p")
-        p = left.p.to_numpy()
-        hits: list[int] = []
-        if len(p) and len(right):
-            nxt, _ = _links(p, left.r.to_numpy())
-            i = int(np.searchsorted(p, right.e.min(), side="left"))
+        return keyed(g, e=np.array(real, dtype="int64"))
+
+    real = per_group(nodes, ["k"], ["e"], walk, f"k {ktype}, e bigint")
+
+    def follow(g: Arrays) -> Arrays:
+        item = g["item"].astype(bool)
+        p, hits = g["p"][item], []
+        if len(p) and not item.all():
+            nxt, _ = _links(p, g["r"][item])
+            i = int(np.searchsorted(p, g["p"][~item][0], side="left"))
             while i < len(p):
                 hits.append(i)
                 i = int(nxt[i])
-        return left.iloc[hits][["k", "p"]]
+        return keyed(g, p=p[hits])
 
-    found = by_block.cogroup(real.groupBy("k", "b")).applyInPandas(follow, f"k {ktype}, p bigint")
+    found = per_group(with_entries(real), ["k", "b"], ["p"], follow, f"k {ktype}, p bigint")
     return found.select(F.col("k").alias(key), F.col("p").alias(pos))
 
 
@@ -152,12 +202,13 @@ def greedy_batches(
     """Consecutive units of a key, packed greedily: at most ``max_units`` and at most
     ``max_chars`` of size plus ``overhead`` each; the first unit always fits.
 
-    Adds ``batch_no`` (0-based per key). Where a batch ends depends only on the next
-    ``max_units`` rows, so ends come from a short window inside a block that also sees
-    the first rows of the following block; ``chain`` then picks the real batch starts."""
-    cost = (size + overhead).cast("bigint")
-    numbered = dense_ordinal(units, [key], order, "_pos", rows_per_block)
-    slim = numbered.select(key, order, "_pos", cost.alias("_cost"))
+    Returns (key, order, size, batch_no), ``batch_no`` counting from 0 per key. Where a
+    batch ends depends only on the next ``max_units`` rows, so ends come from a short
+    window inside a block that also sees the first rows of the following block; ``chain``
+    then picks the real batch starts. Texts are read once, for their size."""
+    sized = units.select(key, order, size.cast("bigint").alias("size"))
+    numbered = durable(dense_ordinal(sized, [key], order, "_pos", rows_per_block))
+    slim = numbered.select(key, "_pos", (F.col("size") + overhead).alias("_cost"))
     blk = F.floor(F.col("_pos") / F.lit(rows_per_block))
     ahead = (F.col("_pos") % rows_per_block < max_units - 1) & (blk > 0)
     seen = slim.withColumn(

@@ -352,8 +352,9 @@ def json_line(id_: Column, source: Column) -> Column:
 )
 def batch_requests(spark: SparkSession, d: str) -> DataFrame:
     """The JSON lines of each batch; a group is one batch, at most 8 units."""
-    batches = document_batches(spark, d).select("doc_id", "batch_no")
-    docs = table(spark, d, "documents").select("source", "doc_id", "text").join(batches, "doc_id")
+    batches = document_batches(spark, d).select("source", "doc_id", "batch_no")
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    docs = docs.join(batches, ["source", "doc_id"])
     line = json_line(F.col("doc_id").cast("string"), M.protect_markup(F.col("text")))
     lines = docs.select("source", "batch_no", "doc_id", line.alias("line"))
     body = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])

@@ -41,9 +41,8 @@ def translate_units(spark: SparkSession, d: str) -> DataFrame:
     )
     units = U.extract_units(pages, "file", "html", keep=("page_id", "site")).filter("translatable")
     placed = units.withColumn("place", F.col("page_id") * (1 << 20) + F.col("ordinal"))
-    sizes = placed.select("id", "site", "place", X.utf16_length(F.col("inner")).alias("size"))
-    batches = SQ.greedy_batches(sizes, "site", "place", F.col("size")).select("id", "site", "batch_no")
-    batched = units.drop("site").join(batches, "id")
+    batches = SQ.greedy_batches(placed, "site", "place", X.utf16_length(F.col("inner")))
+    batched = placed.join(batches.drop("size"), ["site", "place"])
     translator = prompt_adapter(echo)
     candidates = TR.batch_candidates(batched, ["site", "batch_no"], translator)
     rows = TR.translate_units(units, translator, candidates)
