@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -22,8 +23,11 @@ def make_spark() -> SparkSession:
     return spark
 
 
+# Columns can only be built inside a session, and test modules build some on import.
+_SESSION = make_spark() if "pytest" in sys.argv[0] or "PYTEST_VERSION" in os.environ else None
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = make_spark()
-    yield session
-    session.stop()
+    yield _SESSION
+    _SESSION.stop()
