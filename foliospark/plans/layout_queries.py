@@ -188,13 +188,23 @@ _SQL_DIVIDERS = """gp AS (SELECT page, row, x, seq, lag(x + w) OVER (PARTITION B
                        'n': list_sort(list_transform(list_filter(acc, lambda p: abs(p.g - s[1].g) <= 7::FLOAT), lambda p: {'d': abs(p.g - s[1].g), 'g': p.g, 'n': p.n}))[1].n + 1}] END),
              lambda p: p.n >= 4), lambda p: p.g)) AS dividers FROM gl2)"""
 
-_SQL_PIECES = """rd AS (SELECT rws.*, coalesce(dividers, []::FLOAT[]) AS dividers FROM rws LEFT JOIN dv USING (page)),
-    pc AS (SELECT page, row, k, seq, 0 AS piece, x AS hx, x AS px, w AS pw, size AS ps FROM rd WHERE k = 1
+def _sql_pieces(regions: bool = False) -> str:
+    """Row splitting; with ``regions`` a table divider splits as well."""
+    extra, source, ruled = "", "", ""
+    if regions:
+        extra = ", coalesce(r.verticals, []::FLOAT[]) AS vt, r.top AS rt, r.bottom AS rb"
+        source = " LEFT JOIN regions r ON r.page = rws.page"
+        ruled = """
+                    OR (coalesce(p.hy >= r.rt - 3::FLOAT AND p.hy <= r.rb + 3::FLOAT, false)
+                        AND len(list_filter(r.vt, lambda g: g > p.hx + 0.5::FLOAT AND g < r.x - 0.5::FLOAT)) > 0)"""
+    return f"""rd AS (SELECT rws.*, coalesce(dividers, []::FLOAT[]) AS dividers{extra} FROM rws LEFT JOIN dv ON dv.page = rws.page{source}),
+    pc AS (SELECT page, row, k, seq, 0 AS piece, x AS hx, y AS hy, x AS px, w AS pw, size AS ps FROM rd WHERE k = 1
            UNION ALL
-           SELECT page, row, k, seq, CASE WHEN cut THEN piece + 1 ELSE piece END, CASE WHEN cut THEN x ELSE hx END, x, w, size FROM (
-             SELECT r.*, p.piece, p.hx, (r.x - (p.px + p.pw) > greatest(24::FLOAT, p.ps * 3.5::FLOAT)
+           SELECT page, row, k, seq, CASE WHEN cut THEN piece + 1 ELSE piece END, CASE WHEN cut THEN x ELSE hx END,
+                  CASE WHEN cut THEN y ELSE hy END, x, w, size FROM (
+             SELECT r.page, r.row, r.k, r.seq, r.x, r.y, r.w, r.size, p.piece, p.hx, p.hy, (r.x - (p.px + p.pw) > greatest(24::FLOAT, p.ps * 3.5::FLOAT)
                     OR (p.px + p.pw < 560::FLOAT * 0.49::FLOAT AND r.x > 560::FLOAT * 0.51::FLOAT AND r.x - (p.px + p.pw) > 8)
-                    OR len(list_filter(r.dividers, lambda g: g > p.hx + 0.5::FLOAT AND g < r.x - 0.5::FLOAT AND abs(g - (p.px + p.pw)) > 0.5::FLOAT)) > 0) AS cut
+                    OR len(list_filter(r.dividers, lambda g: g > p.hx + 0.5::FLOAT AND g < r.x - 0.5::FLOAT AND abs(g - (p.px + p.pw)) > 0.5::FLOAT)) > 0{ruled}) AS cut
              FROM pc p JOIN rd r ON r.page = p.page AND r.row = p.row AND r.k = p.k + 1)),
     pg AS (SELECT rws.*, pc.piece FROM rws JOIN pc USING (page, row, k)),
     pt AS (SELECT *, x - lag(x + w) OVER w > greatest(0.85::FLOAT, least(3.2::FLOAT, greatest(size, lag(size) OVER w) * 0.16::FLOAT)) AS sp
@@ -234,7 +244,7 @@ _SQL_BOX = ", ".join(f"{c}::DOUBLE AS {c}" for c in _BOX)
 
 @query(
     "line_pieces", "W5,W6,D14,J13,A5,A11",
-    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_SQL_PIECES}
+    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_sql_pieces()}
         SELECT page, row::INTEGER AS row, piece::INTEGER AS piece, source, {_SQL_BOX} FROM ln""",
 )
 def line_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -243,9 +253,19 @@ def line_pieces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SQL_PARAGRAPHS = """lc AS (SELECT *, CASE WHEN y < 330 OR (x < 560::FLOAT * 0.12::FLOAT AND x + width > 560::FLOAT * 0.58::FLOAT) THEN -1
+def _sql_paragraphs(regions: bool = False) -> str:
+    """Block merging; with ``regions`` a table rule between two lines separates them."""
+    extra, source, ruled = "", "", ""
+    if regions:
+        extra = ", coalesce(r.verticals, []::FLOAT[]) AS vt, coalesce(r.horizontals, []::FLOAT[]) AS hz, r.top AS rt, r.bottom AS rb"
+        source = " LEFT JOIN regions r ON r.page = lc.page"
+        ruled = """
+                        OR (coalesce((p.uy + l.y) * 0.5::FLOAT >= l.rt - 3::FLOAT AND (p.uy + l.y) * 0.5::FLOAT <= l.rb + 3::FLOAT, false) AND (
+                            (l.x > p.ux + p.uw + 1::FLOAT AND len(list_filter(l.vt, lambda g: g > p.ux + p.uw + 1::FLOAT AND g < l.x - 0.5::FLOAT)) > 0)
+                            OR len(list_filter(l.hz, lambda h: h > least(p.ub, l.y) + 0.8::FLOAT AND h < greatest(p.uy, l.y) - 0.3::FLOAT)) > 0))"""
+    return f"""lc AS (SELECT *, CASE WHEN y < 330 OR (x < 560::FLOAT * 0.12::FLOAT AND x + width > 560::FLOAT * 0.58::FLOAT) THEN -1
                   WHEN x + width * 0.5::FLOAT < 560::FLOAT * 0.5::FLOAT THEN 0 ELSE 1 END AS col FROM ln),
-    lo AS (SELECT *, row_number() OVER (PARTITION BY page, col ORDER BY y, x, row, piece) AS rn FROM lc),
+    lo AS (SELECT lc.*{extra}, row_number() OVER (PARTITION BY lc.page, col ORDER BY y, x, row, piece) AS rn FROM lc{source}),
     pm AS (SELECT page, col, rn, 0 AS unit, source, x AS ux, y AS uy, width AS uw, height AS uh, size AS us, y + height AS ub FROM lo WHERE rn = 1
            UNION ALL
            SELECT page, col, rn, CASE WHEN fresh THEN unit + 1 ELSE unit END, CASE WHEN fresh THEN ls ELSE source || ' ' || ls END,
@@ -254,7 +274,7 @@ _SQL_PARAGRAPHS = """lc AS (SELECT *, CASE WHEN y < 330 OR (x < 560::FLOAT * 0.1
                   CASE WHEN fresh THEN height ELSE greatest(uh, y + height - uy) END,
                   CASE WHEN fresh THEN size ELSE least(us, size) END, CASE WHEN fresh THEN y + height ELSE greatest(ub, y + height) END
            FROM (SELECT l.page, l.col, l.rn, l.source AS ls, l.x, l.y, l.width, l.height, l.size, p.unit, p.source, p.ux, p.uy, p.uw, p.uh, p.us, p.ub,
-                        l.y - p.ub > 8 OR abs(l.x - p.ux) > 24 AS fresh
+                        l.y - p.ub > 8 OR abs(l.x - p.ux) > 24{ruled} AS fresh
                  FROM pm p JOIN lo l ON l.page = p.page AND l.col = p.col AND l.rn = p.rn + 1)),
     pu AS (SELECT page, col, unit, arg_max(source, rn) AS source, max(rn) - min(rn) + 1 AS lines, arg_max(ux, rn) AS x, arg_max(uy, rn) AS y,
                   arg_max(uw, rn) AS width, arg_max(uh, rn) AS height, arg_max(us, rn) AS size FROM pm GROUP BY page, col, unit)"""
@@ -262,7 +282,7 @@ _SQL_PARAGRAPHS = """lc AS (SELECT *, CASE WHEN y < 330 OR (x < 560::FLOAT * 0.1
 
 @query(
     "paragraph_merge", "W7,P39,D14",
-    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_SQL_PIECES}, {_SQL_PARAGRAPHS}
+    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_sql_pieces()}, {_sql_paragraphs()}
         SELECT page, col::INTEGER AS col, source, lines::INTEGER AS lines, {_SQL_BOX} FROM pu""",
 )
 def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +293,7 @@ def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "two_columns", "F12",
-    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_SQL_PIECES}, {_SQL_PARAGRAPHS}
+    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_sql_pieces()}, {_sql_paragraphs()}
         SELECT page, bool_or(col = 0) AND bool_or(col = 1) AS two_columns FROM pu GROUP BY page""",
 )
 def two_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -366,9 +386,29 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("layout_units", "C7,L3,D14")
+_SQL_CELL_TEXT = """ck AS (SELECT *, floor(cl * 10::FLOAT + 0.5::FLOAT) AS kl, floor(ct * 10::FLOAT + 0.5::FLOAT) AS kt FROM cells),
+        cs AS (SELECT *, coalesce(abs(cy - lag(cy) OVER w) > greatest(2::FLOAT, size * 0.45::FLOAT)
+                 OR x - lag(x + w) OVER w > greatest(0.85::FLOAT, least(3.2::FLOAT, greatest(size, lag(size) OVER w) * 0.16::FLOAT)), false) AS sp
+               FROM ck WINDOW w AS (PARTITION BY page, kl, kt ORDER BY y, x, seq)),
+        cg AS (SELECT page, kl, kt, string_agg(CASE WHEN sp THEN ' ' ELSE '' END || u, '' ORDER BY y, x, seq) AS source,
+                      avg(cx)::FLOAT AS mx, avg(cy)::FLOAT AS my, max(size) AS size FROM cs GROUP BY page, kl, kt),
+        cu AS (SELECT page, CASE WHEN mx < (x0 + x1) * 0.5::FLOAT THEN 0 ELSE 1 END AS col, source,
+                 coalesce(list_filter(verticals, lambda b: b <= mx + 1::FLOAT)[-1], x0) AS l, coalesce(list_filter(verticals, lambda b: b > mx + 1::FLOAT)[1], x1) AS r,
+                 coalesce(list_filter(horizontals, lambda b: b <= my + 1::FLOAT)[-1], top) AS t, coalesce(list_filter(horizontals, lambda b: b > my + 1::FLOAT)[1], bottom) AS b, size
+               FROM cg JOIN regions USING (page)),
+        lu AS (SELECT page, col, source, x, y, width, height, size FROM pu p WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.page = p.page
+                 AND p.x + p.width * 0.5::FLOAT >= r.x0 - 3::FLOAT AND p.x + p.width * 0.5::FLOAT <= r.x1 + 3::FLOAT
+                 AND p.y + p.height * 0.5::FLOAT >= r.top - 3::FLOAT AND p.y + p.height * 0.5::FLOAT <= r.bottom + 3::FLOAT)
+               UNION ALL SELECT page, col, source, l, t, greatest(1::FLOAT, r - l), greatest(1::FLOAT, b - t), size FROM cu)"""
+
+
+@query(
+    "layout_units", "C7,C8,L3,D14",
+    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS}, {_SQL_REGIONS}, {_sql_pieces(True)}, {_sql_paragraphs(True)}, {_SQL_CELLS}, {_SQL_CELL_TEXT}
+        SELECT page, (row_number() OVER (PARTITION BY page ORDER BY col, y, x, source) - 1)::INTEGER AS unit, col::INTEGER AS col, source, {_SQL_BOX} FROM lu""",
+)
 def layout_units(spark: SparkSession, d: str) -> DataFrame:
-    """The whole layout pipeline; every stage has an oracle of its own."""
+    """The whole layout stage: glyphs and guides to ordered blocks and table cells."""
     units = L.layout_units(glyphs(spark, d), guides(spark, d), PAGE_WIDTH, PAGE_HEIGHT)
     return units.select("page", "unit", "col", "source", *[F.col(c).cast("double").alias(c) for c in _BOX])
 
