@@ -240,9 +240,10 @@ def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None)
         rows = rows.withColumns(
             {"region": F.lit(None).cast(REGION), "dividers": F.lit(None).cast("array<float>")}
         )
-    glyph = F.struct("x", "y", "seq", "w", "size")
+    # the whole glyph travels in its row's array, (x, y, seq) first for the order
+    rest = [c for c in rows.columns if c not in ("page", "row", "x", "y", "seq", "region", "dividers")]
     per_row = rows.groupBy("page", "row").agg(
-        F.array_sort(F.collect_list(glyph)).alias("g"),
+        F.array_sort(F.collect_list(F.struct("x", "y", "seq", *rest))).alias("g"),
         F.first("region").alias("region"),
         F.coalesce(F.first("dividers"), F.array().cast("array<float>")).alias("dividers"),
     )
@@ -273,13 +274,18 @@ def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None)
             g.alias("prev"), F.array_append(acc["out"], n).alias("out"),
         )
 
-    typed = F.transform("g", lambda g: g.cast(spot))
+    slim = F.transform(
+        "g",
+        lambda g: F.struct(
+            g["x"].alias("x"), g["y"].alias("y"), g["seq"].cast("bigint").alias("seq"),
+            g["w"].alias("w"), g["size"].alias("size"),
+        ),
+    )
     numbered = per_row.select(
-        "page", "row", "g", F.aggregate(typed, zero, step, lambda a: a["out"]).alias("n")
+        "page", "row", "g", F.aggregate(slim, zero, step, lambda a: a["out"]).alias("n")
     )
     flat = numbered.select("page", "row", F.explode_outer(F.arrays_zip("g", "n")).alias("z"))
-    keyed = flat.select("page", "row", F.col("z.g.seq").alias("seq"), F.col("z.n").alias("piece"))
-    return rows.drop("region", "dividers").join(keyed, ["page", "row", "seq"])
+    return flat.select("page", "row", "z.g.*", F.col("z.n").alias("piece"))
 
 
 def _word_gap(a_size: Column, b_size: Column) -> Column:

@@ -43,4 +43,5 @@ def spread(df: DataFrame) -> DataFrame:
     Only for CPU-heavy row-local work on small inputs: a scan of any size has more
     splits than that and is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

@@ -114,7 +114,7 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
 def token_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Multiset coverage as relations: each document against the next one of its source.
     Only (document, token, count) rows meet; the texts stay where they are."""
-    tokens = table(spark, d, "documents").select(
+    tokens = spread(table(spark, d, "documents")).select(
         "doc_id", F.explode_outer(X.important_tokens(F.col("text"))).alias("token")
     ).filter("token IS NOT NULL")
     counts = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -135,7 +135,7 @@ SAVED_TEXT = (
 
 
 def document_units(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    docs = spread(table(spark, d, "documents")).select(
         F.col("source").alias("file"), F.col("doc_id").alias("ordinal"), F.col("text").alias("inner")
     )
     hashed = docs.withColumn("source_hash", X.content_hash(F.col("inner")))

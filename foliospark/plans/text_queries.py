@@ -9,7 +9,7 @@ from ..functions import markup as M
 from ..functions import predicates as PR
 from ..functions import text as X
 from . import sqltext as S
-from .registry import query, table
+from .registry import query, spread, table
 
 FENCED = (
     "CASE doc_id % 4 WHEN 0 THEN '```html\n' || text || '\n```' WHEN 1 THEN 'Answer: <p>' || text"
@@ -17,13 +17,17 @@ FENCED = (
 )
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 @query(
     "strip_markup", "P1,P14",
     f"SELECT page_id, sha256(plain) AS plain_hash, length(plain)::BIGINT AS plain_chars"
     f" FROM (SELECT page_id, {S.strip('html')} AS plain FROM pages)",
 )
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "pages").select("page_id", X.strip_markup(F.col("html")).alias("plain"))
+    plain = spread(table(spark, d, "pages")).select("page_id", X.strip_markup(F.col("html")).alias("plain"))
     return plain.select(
         "page_id",
         X.content_hash(F.col("plain")).alias("plain_hash"),
@@ -59,7 +63,7 @@ def clean_output(spark: SparkSession, d: str) -> DataFrame:
 )
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .groupBy("source", "lang")
         .agg(
             F.sum(X.sentence_count(F.col("text"))).alias("sentences"),
@@ -78,7 +82,7 @@ def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     parts = X.split_sentences(F.col("text"))
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .select("doc_id", F.posexplode_outer(parts).alias("position", "sentence"))
         .filter("position IS NOT NULL")
         .withColumn("position", F.col("position").cast("bigint"))
@@ -92,7 +96,7 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
         GROUP BY token""",
 )
 def important_tokens(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "documents").select(
+    hits = documents(spark, d).select(
         "doc_id", F.explode_outer(X.important_tokens(F.col("text"))).alias("token")
     ).filter("token IS NOT NULL")
     per_doc = hits.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -111,7 +115,7 @@ def important_tokens(spark: SparkSession, d: str) -> DataFrame:
 def language_words(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .groupBy("lang")
         .agg(
             F.sum(X.english_words(text)).cast("bigint").alias("english_words"),
@@ -127,7 +131,7 @@ def language_words(spark: SparkSession, d: str) -> DataFrame:
                sha256({S.protect('html')}) AS protected_hash FROM pages""",
 )
 def protect_markup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages")).select(
         "page_id",
         F.size(M.markup_tokens(F.col("html"))).cast("bigint").alias("marks"),
         X.content_hash(M.protect_markup(F.col("html"))).alias("protected_hash"),
@@ -145,7 +149,7 @@ def protect_markup(spark: SparkSession, d: str) -> DataFrame:
 def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A lost (page_id % 3 = 1) or repeated (= 2) placeholder makes the answer invalid."""
     tokens = M.markup_tokens(F.col("html"))
-    marked = table(spark, d, "pages").select(
+    marked = spread(table(spark, d, "pages")).select(
         "page_id", tokens.alias("tokens"), M.protect_markup(F.col("html")).alias("answer")
     )
     first = M.placeholder(F.lit(0))
@@ -198,7 +202,7 @@ def translatable_gaps(spark: SparkSession, d: str) -> DataFrame:
 )
 def long_text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .select("doc_id", F.posexplode_outer(X.chunk_long_text(F.col("text"))).alias("chunk_no", "chunk"))
         .select(
             "doc_id",
@@ -344,8 +348,8 @@ def should_translate_documents(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, ' class="Ref"').when(k == 1, ' class="tsource1 x"')
         .when(k == 2, ' id="preface"').otherwise("")
     )
-    plain = table(spark, d, "documents").select(
-        "source", "lang", attrs.alias("attrs"), X.strip_markup(F.col("text")).alias("plain")
+    plain = documents(spark, d).select(
+        "doc_id", "source", "lang", attrs.alias("attrs"), X.strip_markup(F.col("text")).alias("plain")
     )
     return plain.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("docs"),
@@ -364,4 +368,4 @@ def should_translate_documents(spark: SparkSession, d: str) -> DataFrame:
 def text_layer(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.profile import page_text_profile
 
-    return page_text_profile(table(spark, d, "documents"), "source", "text")
+    return page_text_profile(documents(spark, d), "source", "text")
