@@ -176,6 +176,12 @@ def model_status(ready: Column, size: Column, partial: Column) -> Column:
     )
 
 
+def model_file_problem(size: Column) -> Column:
+    """Message for a model file that is too small to be complete, else null."""
+    mb = F.floor(size / F.lit(1024 * 1024)).cast("string")
+    return F.when(size < P.MODEL_MIN_BYTES, F.concat(F.lit("model file too small: "), mb, F.lit(" MB")))
+
+
 def content_range_total(header: Column) -> Column:
     """Total size from ``bytes a-b/total``, -1 when unknown."""
     total = trim_low(F.substring_index(header, "/", -1)).try_cast("bigint")

@@ -17,9 +17,13 @@ from ..functions.geometry import (
     boundary_before,
     column_of,
     f32,
+    fit_font,
+    monospaced,
     overlap_ratio,
     region_contains,
+    shrink_width,
     unique_floats,
+    wrap_lines,
 )
 from .staging import pinned
 
@@ -631,3 +635,106 @@ def paginate(
 
     placed = F.aggregate("items", zero, step, lambda a: a["out"])
     return per_page.select("page", F.explode_outer(placed).alias("p")).select("page", "p.*")
+
+
+def page_plan(
+    units: DataFrame, images: DataFrame, regions: DataFrame, page_height: float
+) -> DataFrame:
+    """K7: what to draw where when a page keeps its layout: one row per line of text.
+
+    ``units`` has (page, unit, text, x, y, width, height, size), ``images`` (page, x,
+    top, height). A unit inside the page's table takes its full cell; any other keeps its
+    box, narrowed by images to its right. Returns each line with size, x and baseline
+    (from the bottom edge)."""
+    half = f32(0.5)
+    centred = units.withColumns(
+        {"cx": F.col("x") + F.col("width") * half, "cy": F.col("y") + F.col("height") * half}
+    ).join(regions, "page", "left")
+    r, cx, cy = F.col("region"), F.col("cx"), F.col("cy")
+    cell = F.when(
+        region_contains(r, cx, cy),
+        F.struct(
+            boundary_before(r["verticals"], cx, r["x0"]).alias("l"),
+            boundary_after(r["verticals"], cx, r["x1"]).alias("r"),
+            boundary_before(r["horizontals"], cy, r["top"]).alias("t"),
+            boundary_after(r["horizontals"], cy, r["bottom"]).alias("b"),
+            (cx >= (r["x0"] + r["x1"]) * half).alias("centred"),
+        ),
+    )
+    placed = pinned(centred, {"cell": cell}).withColumn(
+        "in_cell",
+        F.coalesce(
+            (F.col("cell.r") - F.col("cell.l") >= f32(12)) & (F.col("cell.b") - F.col("cell.t") >= f32(6)),
+            F.lit(False),
+        ),
+    )
+    image = F.struct("x", "top", "height")
+    per_page = images.groupBy("page").agg(F.collect_list(image).alias("images"))
+    none = F.array().cast("array<struct<x:float,top:float,height:float>>")
+    joined = placed.join(per_page, "page", "left").withColumn("images", F.coalesce("images", none))
+    pad_x, pad_y = f32(3), f32(1.2)
+    safe = shrink_width(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("images"))
+    cell_w = F.greatest(f32(12), F.col("cell.r") - F.col("cell.l") - pad_x * f32(2))
+    cell_h = F.greatest(f32(7), F.col("cell.b") - F.col("cell.t") - pad_y * f32(2))
+    clean = X.trim_low(X.sanitize_printable(F.col("text")))
+    boxed = pinned(
+        joined,
+        {
+            "clean": clean,
+            "bw": F.when(F.col("in_cell"), cell_w).otherwise(F.greatest(f32(10), safe)),
+            "bh": F.when(F.col("in_cell"), cell_h).otherwise(F.greatest(f32(10), F.col("height"))),
+        },
+    ).filter("clean <> ''")
+    fit = F.when(
+        F.col("in_cell"),
+        fit_font(F.col("clean"), F.col("size"), F.col("bw"), F.col("bh"), 5.3, 9.2, 0.25, 1.14),
+    ).otherwise(fit_font(F.col("clean"), F.col("size"), F.col("bw"), F.col("bh")))
+    fitted = pinned(boxed, {"fs": fit["size"]})
+    fs = F.col("fs")
+    lined = pinned(fitted, {"lines": wrap_lines(F.col("clean"), fs, F.col("bw"))})
+    step = fs * F.when(F.col("in_cell"), f32(1.14)).otherwise(f32(1.16))
+    slack = F.greatest(f32(0), (F.col("bh") - F.size("lines").cast("float") * step) * half)
+    first = F.when(F.col("in_cell"), F.col("cell.t") + pad_y + slack + fs * f32(0.78)).otherwise(
+        F.col("y") + fs * f32(0.84)
+    )
+    rows = lined.select(
+        "page", "unit", "in_cell", "fs", "x", "cell", first.alias("first"), step.alias("step"),
+        F.posexplode_outer("lines").alias("line", "text"),
+    )
+    line_width = monospaced()(F.length("text"), fs)
+    cell_x = F.when(
+        F.col("cell.centred"),
+        F.col("cell.l") + (F.col("cell.r") - F.col("cell.l") - line_width) * half,
+    ).otherwise(F.col("cell.l") + pad_x)
+    at_x = F.when(F.col("in_cell"), F.greatest(cell_x, F.col("cell.l") + half)).otherwise(F.col("x"))
+    down = F.col("first") + F.col("line").cast("float") * F.col("step")
+    return rows.select(
+        "page", "unit", "line", "text", "in_cell", fs.alias("size"), at_x.alias("x"),
+        F.greatest(f32(1), f32(page_height) - down).alias("baseline"),
+    )
+
+
+def text_table_regions(rows: DataFrame, dividers: DataFrame) -> DataFrame:
+    """C11: a table without rules: rows that reach over a text divider by 8 on both sides,
+    at least four of them; edges and dividers give the columns, row heights the rows."""
+    glyph_row = rows.groupBy("page", "row").agg(
+        F.min_by("y", F.struct("y", "x", "seq")).alias("y"), F.min("x").alias("lo"),
+        F.max_by(F.col("x") + F.col("w"), F.struct("x", "y", "seq")).alias("hi"),
+    )
+    near = F.exists(
+        "dividers", lambda d: (d > F.col("lo") + f32(8)) & (d < F.col("hi") - f32(8))
+    )
+    reached = glyph_row.join(dividers, "page").filter(near)
+    per_page = reached.groupBy("page").agg(
+        F.array_sort(F.collect_list("y")).alias("ys"), F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"), F.first("dividers").alias("dividers"),
+    ).filter(F.size("ys") >= 4)
+    edges = F.concat(F.array(F.col("lo") - f32(2), F.col("hi") + f32(2)), F.col("dividers"))
+    columns = pinned(per_page, {"v": unique_floats(edges, 2.0), "h": unique_floats(F.col("ys"), 5.0)})
+    region = F.struct(
+        F.element_at("v", 1).alias("x0"), F.element_at("v", -1).alias("x1"),
+        (F.element_at("ys", 1) - f32(3)).alias("top"),
+        (F.element_at("ys", -1) + f32(12)).alias("bottom"),
+        F.col("v").alias("verticals"), F.col("h").alias("horizontals"),
+    )
+    return columns.filter(F.size("v") >= 3).select("page", region.alias("region"))

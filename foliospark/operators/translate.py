@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +51,26 @@ def failover(providers: list[tuple[str, Translator]]) -> Translator:
     return translate
 
 
+def observed(rows: DataFrame, progress: Observation) -> DataFrame:
+    """Done and kept-source counts of a run, readable from ``progress.get`` once it ran."""
+    return rows.observe(
+        progress,
+        F.count(F.lit(1)).alias("units"),
+        F.count_if(F.col("status") == "DONE").alias("done"),
+        F.count_if(F.col("status") == "SOURCE_ONLY").alias("kept_source"),
+    )
+
+
+@contextmanager
+def labelled(spark: SparkSession, stage: str) -> Iterator[None]:
+    """Jobs started inside carry the stage name in the UI and the event log."""
+    spark.sparkContext.setJobDescription(stage)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setJobDescription(None)
+
+
 def with_backoff(call: Translator, attempts: int = 3, unit_seconds: float = 0.7) -> Translator:
     """Repeat a call that fails for a transient reason, waiting longer each time."""
     from ..functions.patterns import TRANSIENT_WORDS
@@ -68,8 +89,16 @@ def with_backoff(call: Translator, attempts: int = 3, unit_seconds: float = 0.7)
     return translate
 
 
-def ask(df: DataFrame, translator: Translator, prompt: str = "prompt", context: str = "context") -> DataFrame:
-    """Add ``answer`` and ``error``; a failed call never fails the task."""
+def ask(
+    df: DataFrame, translator: Translator, prompt: str = "prompt", context: str = "context",
+    in_flight: int | None = None,
+) -> DataFrame:
+    """Add ``answer`` and ``error``; a failed call never fails the task.
+
+    T2: ``in_flight`` bounds the calls running at once (a local engine wants one per
+    machine, a metered provider a few); by default every task calls."""
+    if in_flight:
+        df = df.repartition(in_flight)
     schema = T.StructType(df.schema.fields + [
         T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()),
     ])

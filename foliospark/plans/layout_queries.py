@@ -644,3 +644,76 @@ def xobject_closure(spark: SparkSession, d: str) -> DataFrame:
     edges = down.unionByName(back)
     roots = edges.select("page").distinct().withColumn("node", F.col("page") * 64 + 7)
     return reachable(edges, roots)
+
+
+@query(
+    "text_table_regions", "C11,C10",
+    f"""WITH RECURSIVE {_SQL_ROWS}, {_SQL_DIVIDERS},
+        er AS (SELECT page, row, arg_min(y, {{'y': y, 'x': x, 's': seq}}) AS y, min(x) AS lo, arg_max(x + w, {{'x': x, 'y': y, 's': seq}}) AS hi FROM rws GROUP BY page, row),
+        nr AS (SELECT er.*, dividers FROM er JOIN dv USING (page) WHERE len(list_filter(dividers, lambda g: g > lo + 8::FLOAT AND g < hi - 8::FLOAT)) > 0),
+        pp AS (SELECT page, list(y ORDER BY y) AS ys, min(lo) AS lo, max(hi) AS hi, any_value(dividers) AS dividers FROM nr GROUP BY page HAVING count(*) >= 4),
+        u AS (SELECT page, ys, {_UNIQUE.format(xs="[lo - 2::FLOAT, hi + 2::FLOAT] || dividers", tol=2.0)} AS v, {_UNIQUE.format(xs="ys", tol=5.0)} AS h FROM pp)
+        SELECT page, v[1]::DOUBLE AS x0, v[len(v)]::DOUBLE AS x1, (ys[1] - 3::FLOAT)::DOUBLE AS top, (ys[len(ys)] + 12::FLOAT)::DOUBLE AS bottom,
+               len(v)::INTEGER AS columns, len(h)::INTEGER AS rows FROM u WHERE len(v) >= 3""",
+)
+def text_table_regions(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.row_numbers(glyphs(spark, d))
+    found = L.text_table_regions(rows, L.divider_positions(rows, PAGE_WIDTH))
+    edges = ("x0", "x1", "top", "bottom")
+    return found.select(
+        "page", *[F.col(f"region.{c}").cast("double").alias(c) for c in edges],
+        F.size("region.verticals").alias("columns"), F.size("region.horizontals").alias("rows"),
+    )
+
+
+PLAN_UNIT = {
+    "page": "event_id DIV 256",
+    "unit": "event_id",
+    "text": "concat(event_type, ' of user ', user_id, ' with ', props)",
+    **{n: GLYPH[n] for n in ("x", "y")},
+    "width": "CAST(30 + user_id % 90 AS FLOAT)",
+    "height": "CAST(10 + event_id % 30 AS FLOAT)",
+    "size": "CAST(5 + user_id % 16 AS FLOAT)",
+}
+
+
+@query(
+    "page_plan", "K7,J8,J11,P40,P41",
+    rf"""WITH RECURSIVE un AS (SELECT {_cols(PLAN_UNIT)} FROM events), {_SQL_REGIONS},
+        c AS (SELECT u.*, x + width * 0.5::FLOAT AS cx, y + height * 0.5::FLOAT AS cy FROM un u),
+        k AS (SELECT c.*, coalesce(list_filter(verticals, lambda b: b <= cx + 1::FLOAT)[-1], x0) AS cl, coalesce(list_filter(verticals, lambda b: b > cx + 1::FLOAT)[1], x1) AS cr,
+              coalesce(list_filter(horizontals, lambda b: b <= cy + 1::FLOAT)[-1], top) AS ct, coalesce(list_filter(horizontals, lambda b: b > cy + 1::FLOAT)[1], bottom) AS cb,
+              cx >= (x0 + x1) * 0.5::FLOAT AS mid
+              FROM c LEFT JOIN regions r ON r.page = c.page AND cx >= x0 - 3::FLOAT AND cx <= x1 + 3::FLOAT AND cy >= top - 3::FLOAT AND cy <= bottom + 3::FLOAT),
+        im AS (SELECT page, x AS ix, y AS it FROM un WHERE unit % 32 = 5),
+        sh AS (SELECT u.page, u.unit, min(i.ix - u.x - 3::FLOAT) AS room FROM un u JOIN im i ON i.page = u.page AND i.it + 40::FLOAT > u.y + 1::FLOAT
+               AND i.it < u.y + u.height - 1::FLOAT AND i.ix > u.x AND i.ix - u.x - 3::FLOAT > 10 GROUP BY ALL),
+        b AS (SELECT k.*, coalesce(cr - cl >= 12 AND cb - ct >= 6, false) AS in_cell, least(greatest(10::FLOAT, width), coalesce(room, width)) AS safe FROM k LEFT JOIN sh USING (page, unit)),
+        g AS (SELECT *, CASE WHEN in_cell THEN greatest(12::FLOAT, cr - cl - 6::FLOAT) WHEN safe >= width - 0.5::FLOAT THEN width ELSE greatest(10::FLOAT, safe) END AS bw,
+                     CASE WHEN in_cell THEN greatest(7::FLOAT, cb - ct - 1.2::FLOAT * 2::FLOAT) ELSE greatest(10::FLOAT, height) END AS bh,
+                     CASE WHEN in_cell THEN 5.3::FLOAT ELSE 5.5::FLOAT END AS low, CASE WHEN in_cell THEN 1.14::FLOAT ELSE 1.16::FLOAT END AS ld,
+                     CASE WHEN in_cell THEN 0.25::FLOAT ELSE 0.45::FLOAT END AS dec, string_split_regex(text, '\s+') AS ws FROM b),
+        sz AS (SELECT page, unit, 0 AS n, greatest(low, least(CASE WHEN in_cell THEN 9.2::FLOAT ELSE 18::FLOAT END, size)) AS fs FROM g
+               UNION ALL SELECT s.page, s.unit, n + 1, greatest(low, fs - dec) FROM sz s JOIN g USING (page, unit) WHERE fs > low),
+        tr AS (SELECT s.page, s.unit, s.n, s.fs, list_reduce(list_transform(ws, lambda w: [w]), lambda acc, w:
+                 CASE WHEN (length(acc[len(acc)]) + 1 + length(w[1]))::FLOAT * s.fs * 0.5::FLOAT > bw THEN acc || w
+                 ELSE acc[1:len(acc) - 1] || [acc[len(acc)] || ' ' || w[1]] END) AS ls, bh, low, ld FROM sz s JOIN g USING (page, unit)),
+        ok AS (SELECT page, unit, arg_min(fs, n) AS fs, arg_min(ls, n) AS ls FROM tr WHERE len(ls)::FLOAT * (fs * ld) <= bh OR fs <= low GROUP BY page, unit),
+        ro AS (SELECT g.*, ok.fs, ok.ls, unnest(ok.ls) AS t, generate_subscripts(ok.ls, 1) - 1 AS line FROM g JOIN ok USING (page, unit))
+        SELECT page, unit, line::INTEGER AS line, t AS text, in_cell, round(fs::DOUBLE, 4) AS size,
+               round((CASE WHEN NOT in_cell THEN x WHEN mid THEN greatest(cl + (cr - cl - length(t)::FLOAT * fs * 0.5::FLOAT) * 0.5::FLOAT, cl + 0.5::FLOAT) ELSE cl + 3::FLOAT END)::DOUBLE, 2) AS x,
+               round((greatest(1::FLOAT, 792::FLOAT - (CASE WHEN in_cell THEN ct + 1.2::FLOAT + greatest(0::FLOAT, (bh - len(ls)::FLOAT * (fs * ld)) * 0.5::FLOAT) + fs * 0.78::FLOAT
+                   ELSE y + fs * 0.84::FLOAT END + line::FLOAT * (fs * ld))))::DOUBLE, 2) AS baseline FROM ro""",
+)
+def page_plan(spark: SparkSession, d: str) -> DataFrame:
+    units = derive(spark, d, "events", PLAN_UNIT)
+    images = units.filter("unit % 32 = 5").select(
+        "page", "x", F.col("y").alias("top"), f32(40).alias("height")
+    )
+    plan = L.page_plan(units, images, L.table_regions(guides(spark, d), PAGE_HEIGHT), PAGE_HEIGHT)
+    return plan.select(
+        "page", "unit", "line", "text", "in_cell",
+        F.round(F.col("size").cast("double"), 4).alias("size"),
+        F.round(F.col("x").cast("double"), 2).alias("x"),
+        F.round(F.col("baseline").cast("double"), 2).alias("baseline"),
+    )

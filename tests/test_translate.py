@@ -62,6 +62,18 @@ def test_ladder_gives_up(spark):
     assert (r.status, r.translation, r.attempts) == ("SOURCE_ONLY", "", 3)
 
 
+def test_progress_and_bounds(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("units")
+    with TR.labelled(spark, "translate"):
+        rows = TR.observed(TR.translate_units(units(spark, "Short title", TEXT), O.prompt_adapter(same)), seen)
+        rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"units": 2, "done": 2, "kept_source": 0}
+    asked = TR.ask(spark.range(9).selectExpr("cast(id as string) prompt", "'' context"), lambda p, c: p, in_flight=3)
+    assert asked.rdd.getNumPartitions() == 3 and asked.filter("answer = prompt").count() == 9
+
+
 def test_failover_and_backoff():
     seen = []
 
