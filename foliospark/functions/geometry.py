@@ -50,7 +50,7 @@ def unique_floats(values: Column, tolerance: float) -> Column:
         )
         return F.when(far, F.array_append(acc, v)).otherwise(merged)
 
-    return F.aggregate(F.array_sort(F.filter(values, lambda v: v.isNotNull())), empty, step)
+    return F.aggregate(F.sort_array(F.filter(values, lambda v: v.isNotNull())), empty, step)
 
 
 def boundary_before(bounds: Column, at: Column, edge: Column) -> Column:

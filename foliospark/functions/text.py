@@ -86,13 +86,29 @@ def important_tokens(c: Column) -> Column:
 
 
 def multiset_cover(need: Column, have: Column) -> Column:
-    """How many of ``need`` (an array) also occur in ``have``, as multisets."""
-    return F.aggregate(
-        F.array_distinct(need),
-        F.lit(0),
-        lambda n, t: n
-        + F.least(F.size(F.filter(need, lambda x: x == t)), F.size(F.filter(have, lambda x: x == t))),
+    """How many of ``need`` (an array) also occur in ``have``, as multisets.
+
+    Both are sorted together, so equal tokens are neighbours and one fold counts them."""
+
+    def marked(tokens: Column, a: int, b: int) -> Column:
+        return F.transform(
+            tokens, lambda t: F.struct(t.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+        )
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["t"] == x["t"]
+        return F.struct(
+            x["t"].alias("t"),
+            (x["a"] + F.when(same, acc["a"]).otherwise(0)).alias("a"),
+            (x["b"] + F.when(same, acc["b"]).otherwise(0)).alias("b"),
+            (acc["n"] + F.when(same, 0).otherwise(F.least(acc["a"], acc["b"]))).alias("n"),
+        )
+
+    zero = F.struct(
+        F.lit("").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n")
     )
+    tokens = F.sort_array(F.concat(marked(need, 1, 0), marked(have, 0, 1)))
+    return F.aggregate(tokens, zero, step, lambda acc: acc["n"] + F.least(acc["a"], acc["b"]))
 
 
 def english_words(c: Column) -> Column:

@@ -73,10 +73,13 @@ def search(terms: DataFrame, wanted: str) -> DataFrame:
 
 def clashes(terms: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits whose English side another term already has, in any case."""
-    keyed = terms.select(term_key(F.col("english")).alias("key"), F.col("ord").alias("_other"))
-    proposed = edits.withColumn("key", term_key(F.col("english")))
-    same = (proposed["key"] == keyed["key"]) & (proposed["ord"] != keyed["_other"])
-    return proposed.join(keyed, same, "left_semi")
+    # a key of any number of copies is reduced to its smallest and largest place
+    taken = terms.groupBy(term_key(F.col("english")).alias("key")).agg(
+        F.min("ord").alias("_lo"), F.max("ord").alias("_hi")
+    )
+    proposed = edits.withColumn("key", term_key(F.col("english"))).join(taken, "key")
+    others = (F.col("_lo") != F.col("ord")) | (F.col("_hi") != F.col("ord"))
+    return proposed.filter(others).drop("_lo", "_hi")
 
 
 def _needles(terms: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def _anchors(needles: DataFrame) -> DataFrame:
     per_term = (
         grams.join(shared, ["q", "gram"])
         .groupBy("ord", "needle", "q")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "gram", "n"))).alias("g"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "gram", "n"))).alias("g"))
     )
 
     def cost(i: Column) -> Column:
@@ -214,7 +217,7 @@ def prompt_lines(matched: DataFrame, key: str, terms: DataFrame) -> DataFrame:
         F.when(F.col("note") != "", F.concat(F.lit(" ("), "note", F.lit(")"))).otherwise(""),
     )
     lines = matched.join(terms.select("ord", line.alias("line")), "ord")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "line")))
     return lines.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("terminology")
     )

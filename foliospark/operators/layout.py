@@ -157,7 +157,7 @@ def row_numbers(glyphs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("tol", "first")).alias("sizes")
     )
     per_page = baselines.groupBy("page").agg(
-        F.array_sort(F.collect_list(F.struct("y", "sizes"))).alias("b")
+        F.sort_array(F.collect_list(F.struct("y", "sizes"))).alias("b")
     )
     spot = "struct<x:float,seq:bigint>"
     zero = F.struct(
@@ -207,7 +207,7 @@ def divider_positions(rows: DataFrame, page_width: float) -> DataFrame:
     inside = (F.col("mid") > pw * f32(0.10)) & (F.col("mid") < pw * f32(0.90))
     wide = gaps.filter((F.col("x") - F.col("_end") >= f32(18)) & inside & ~gutter)
     per_page = wide.groupBy("page").agg(
-        F.array_sort(F.collect_list(F.struct("row", "x", "seq", "mid"))).alias("gaps")
+        F.sort_array(F.collect_list(F.struct("row", "x", "seq", "mid"))).alias("gaps")
     )
     place = "struct<g:float,n:int>"
 
@@ -229,7 +229,7 @@ def divider_positions(rows: DataFrame, page_width: float) -> DataFrame:
 
     places = F.aggregate("gaps", F.array().cast(f"array<{place}>"), step)
     kept = F.transform(F.filter(places, lambda p: p["n"] >= 4), lambda p: p["g"])
-    return per_page.select("page", F.array_sort(kept).alias("dividers"))
+    return per_page.select("page", F.sort_array(kept).alias("dividers"))
 
 
 def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None)
     # the whole glyph travels in its row's array, (x, y, seq) first for the order
     rest = [c for c in rows.columns if c not in ("page", "row", "x", "y", "seq", "region", "dividers")]
     per_row = rows.groupBy("page", "row").agg(
-        F.array_sort(F.collect_list(F.struct("x", "y", "seq", *rest))).alias("g"),
+        F.sort_array(F.collect_list(F.struct("x", "y", "seq", *rest))).alias("g"),
         F.first("region").alias("region"),
         F.coalesce(F.first("dividers"), F.array().cast("array<float>")).alias("dividers"),
     )
@@ -305,7 +305,7 @@ def lines(piece_glyphs: DataFrame) -> DataFrame:
     parts = piece_glyphs.withColumn("_t", glyph)
     text = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("x", "y", "seq", "_t"))), lambda g: g["_t"]
+            F.sort_array(F.collect_list(F.struct("x", "y", "seq", "_t"))), lambda g: g["_t"]
         ),
         "",
     )
@@ -344,7 +344,7 @@ def paragraphs(line_rows: DataFrame, page_width: float, regions: DataFrame | Non
         cols = cols.withColumn("region", F.lit(None).cast(REGION))
     line = F.struct("y", "x", "row", "piece", "source", "width", "height", "size")
     per_column = cols.groupBy("page", "col").agg(
-        F.array_sort(F.collect_list(line)).alias("l"), F.first("region").alias("region")
+        F.sort_array(F.collect_list(line)).alias("l"), F.first("region").alias("region")
     )
     r = F.col("region")
 
@@ -420,7 +420,7 @@ def table_regions(guides: DataFrame, page_height: float) -> DataFrame:
     horizontal = (F.col("orient") == "h") & (F.col("x2") - F.col("x1") >= f32(70))
     vertical = F.col("orient") == "v"
     per_page = guides.groupBy("page").agg(
-        F.array_sort(F.collect_list(F.when(horizontal, F.struct("y1", "seq", "x1", "x2")))).alias("hs"),
+        F.sort_array(F.collect_list(F.when(horizontal, F.struct("y1", "seq", "x1", "x2")))).alias("hs"),
         F.collect_list(F.when(vertical, F.struct("x1", "x2", "y1", "y2"))).alias("vs"),
     )
     rule = "struct<y:float,x1:float,x2:float>"
@@ -460,7 +460,7 @@ def table_regions(guides: DataFrame, page_height: float) -> DataFrame:
         lambda g: (F.abs(g["x1"] - a["x1"]) <= f32(6)) & (F.abs(g["x2"] - a["x2"]) <= f32(6))
         & (length(g) >= F.greatest(f32(55), length(a) * f32(0.75))),
     )
-    kept = pinned(anchored, {"f": F.array_sort(family)}).filter(F.size("f") >= 4)
+    kept = pinned(anchored, {"f": F.sort_array(family)}).filter(F.size("f") >= 4)
     kept = pinned(
         kept, {"low": F.element_at("f", 1)["y"], "high": F.element_at("f", -1)["y"]}
     )
@@ -524,7 +524,7 @@ def table_cell_units(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
         "_t", F.when(spaced, F.concat(F.lit(" "), F.col("u"))).otherwise(F.col("u"))
     )
     text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "seq", "_t"))), lambda g: g["_t"]), ""
+        F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "seq", "_t"))), lambda g: g["_t"]), ""
     )
     grouped = parts.groupBy(*key).agg(
         X.trim_low(F.regexp_replace(text, r"\s+", " ")).alias("source"),
@@ -598,7 +598,7 @@ def paginate(
     leading = f32(text_size) * f32(1.22)
     full = ph - m
     item = F.struct("place", "item", "is_image", "lines", "width", "height")
-    per_page = flow.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    per_page = flow.groupBy("page").agg(F.sort_array(F.collect_list(item)).alias("items"))
     out = "struct<item:bigint,sheet:int,top:float,width:float,height:float>"
     zero = F.struct(
         F.lit(0).alias("sheet"), full.alias("top"), F.array().cast(f"array<{out}>").alias("out")
@@ -726,7 +726,7 @@ def text_table_regions(rows: DataFrame, dividers: DataFrame) -> DataFrame:
     )
     reached = glyph_row.join(dividers, "page").filter(near)
     per_page = reached.groupBy("page").agg(
-        F.array_sort(F.collect_list("y")).alias("ys"), F.min("lo").alias("lo"),
+        F.sort_array(F.collect_list("y")).alias("ys"), F.min("lo").alias("lo"),
         F.max("hi").alias("hi"), F.first("dividers").alias("dividers"),
     ).filter(F.size("ys") >= 4)
     edges = F.concat(F.array(F.col("lo") - f32(2), F.col("hi") + f32(2)), F.col("dividers"))

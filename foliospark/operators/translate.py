@@ -127,7 +127,7 @@ def batch_prompts(batched: DataFrame, keys: list[str]) -> DataFrame:
         F.lit('{"id":"'), "id", F.lit('","source":"'),
         X.escape_json(M.protect_markup(F.col("inner"))), F.lit('"}'),
     )
-    lines = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
     body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
     return batched.groupBy(*keys).agg(F.concat(F.lit(BATCH), body).alias("prompt"))
 
@@ -245,7 +245,7 @@ def translate_pages(units: DataFrame, translator: Translator) -> DataFrame:
     The page as marked blocks; what is missing as JSON items; what is still missing one
     by one. A page counts when every unit has a text; otherwise it keeps its source and
     is marked, so that the next run asks again."""
-    ordered = F.array_sort(F.collect_list(F.struct("unit", "source")))
+    ordered = F.sort_array(F.collect_list(F.struct("unit", "source")))
     pages = units.groupBy("page").agg(ordered.alias("u")).withColumns(
         {
             "sources": F.transform("u", lambda x: x["source"]),

@@ -72,7 +72,7 @@ def with_candidates(pages: DataFrame, html: str, out: str = "candidates") -> Dat
 
     blocks, containers = family("_bm", "_bg"), family("_cm", "_cg")
     leaves = F.filter(containers, lambda c: ~c["inner"].rlike(P.ANY_BLOCK))
-    return pages.withColumn(out, F.array_sort(F.concat(blocks, leaves))).drop(
+    return pages.withColumn(out, F.sort_array(F.concat(blocks, leaves))).drop(
         "_bm", "_bg", "_cm", "_cg"
     )
 

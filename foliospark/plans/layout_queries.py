@@ -457,7 +457,7 @@ def tolerance_dedup(spark: SparkSession, d: str) -> DataFrame:
 def asof_bounds(spark: SparkSession, d: str) -> DataFrame:
     hundred = lambda c: F.transform(c, lambda v: (v * f32(100)).cast("float"))
     rows = table(spark, d, "embeddings").select(
-        "vec_id", F.array_sort(hundred(F.slice("embedding", 1, 16))).alias("bs"),
+        "vec_id", F.sort_array(hundred(F.slice("embedding", 1, 16))).alias("bs"),
         F.posexplode_outer(hundred(F.slice("embedding", 17, 16))).alias("i", "v"),
     )
     return rows.select(

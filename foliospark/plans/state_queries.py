@@ -357,7 +357,7 @@ def batch_requests(spark: SparkSession, d: str) -> DataFrame:
     docs = docs.join(batches, ["source", "doc_id"])
     line = json_line(F.col("doc_id").cast("string"), M.protect_markup(F.col("text")))
     lines = docs.select("source", "batch_no", "doc_id", line.alias("line"))
-    body = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    body = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
     return lines.groupBy("source", "batch_no").agg(
         X.content_hash(F.array_join(body, "\n")).alias("body_hash")
     )

@@ -73,7 +73,7 @@ def test_rebuild_and_write(spark, shelf, tmp_path):
     units = U.extract_units(content, "name", "text").filter("translatable")
     new = units.filter("ordinal < 2").select("file", "ordinal", F.lit("Đoạn <b>mới</b>").alias("translation"))
     rebuilt = U.rebuild(content, "name", "text", new).withColumnRenamed("file", "name")
-    replaced = A.with_replacements(unpacked, rebuilt.crossJoin(unpacked.select("path").limit(1)))
+    replaced = A.with_replacements(unpacked, rebuilt.withColumn("path", F.lit(unpacked.first().path)))
     done = A.write_archives(replaced, str(tmp_path / "out")).collect()
     assert [(r.output, r.entries) for r in done] == [(str(tmp_path / "out" / "good.epub"), 88)]
     with zipfile.ZipFile(done[0].output) as z, zipfile.ZipFile(shelf / "good.epub") as old:
