@@ -25,7 +25,7 @@ from ..functions.geometry import (
     unique_floats,
     wrap_lines,
 )
-from .staging import pinned
+from .staging import bound, by_page, pinned
 
 REGION = (
     "struct<x0:float,x1:float,top:float,bottom:float,verticals:array<float>,horizontals:array<float>>"
@@ -200,7 +200,7 @@ def divider_positions(rows: DataFrame, page_width: float) -> DataFrame:
     order, one short array per page."""
     pw = f32(page_width)
     end = F.lag(F.col("x") + F.col("w")).over(_in_row())
-    gaps = rows.withColumn("_end", end).select(
+    gaps = by_page(rows).withColumn("_end", end).select(
         "page", "row", "x", "seq", "_end", ((F.col("_end") + F.col("x")) * f32(0.5)).alias("mid")
     )
     gutter = (F.col("_end") < pw * f32(0.49)) & (F.col("x") > pw * f32(0.51))
@@ -221,11 +221,16 @@ def divider_positions(rows: DataFrame, page_width: float) -> DataFrame:
                 ),
             )
         )
-        moved = F.struct(((hit["g"] + gap["mid"]) * f32(0.5)).alias("g"), (hit["n"] + 1).alias("n"))
-        added = F.struct(gap["mid"].alias("g"), F.lit(1).alias("n"))
-        return F.when(
-            hit.isNotNull(), F.array_append(F.filter(acc, lambda p: p["g"] != hit["g"]), moved)
-        ).otherwise(F.array_append(acc, added))
+
+        def place_gap(h: Column) -> Column:
+            moved = F.struct(((h["g"] + gap["mid"]) * f32(0.5)).alias("g"), (h["n"] + 1).alias("n"))
+            others = F.filter(acc, lambda p: p["g"] != h["g"])
+            added = F.struct(gap["mid"].alias("g"), F.lit(1).alias("n"))
+            return F.when(h.isNotNull(), F.array_append(others, moved)).otherwise(
+                F.array_append(acc, added)
+            )
+
+        return bound(hit, place_gap)
 
     places = F.aggregate("gaps", F.array().cast(f"array<{place}>"), step)
     kept = F.transform(F.filter(places, lambda p: p["n"] >= 4), lambda p: p["g"])
@@ -238,6 +243,7 @@ def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None)
     ``extras`` has (page, region, dividers), one row per page. A divider counts from
     where the piece began, so each row is folded left to right; adds ``piece``."""
     pw = f32(page_width)
+    rows = by_page(rows)
     if extras is not None:
         rows = rows.join(extras.select("page", "region", "dividers"), "page", "left")
     else:

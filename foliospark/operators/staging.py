@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,21 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return held.select(*kept, *[F.col(f"_pin.{n}").alias(n) for n in columns])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside a lambda that would
+    otherwise repeat it for every element it looks at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def by_page(df: DataFrame) -> DataFrame:
+    """Hash by page into the session's number of shuffle partitions.
+
+    Folding a page costs far more than its bytes suggest, and adaptive execution merges
+    partitions by their bytes; a given number is left as it is."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "page")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder of the session.
 
