@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid
+from .common import fold
 
 #: Name -> plan(spark, sf_dir).
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +36,13 @@ def vocabulary() -> tuple[str, str]:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; counts and digests."""
     return bpe.roundtrip(table(spark, sf_dir, "documents"), "doc_id", "text", *vocabulary())
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; a quarter of the rows, chosen by checksum, is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold("doc_id", 4) != 2), "text", "lang")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    found = langid.predict(docs, "doc_id", "text", model)
+    return found.select("doc_id", held, "lang_pred", "score")
