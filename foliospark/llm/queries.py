@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, pii
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -46,3 +46,20 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     found = langid.predict(docs, "doc_id", "text", model)
     return found.select("doc_id", held, "lang_pred", "score")
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, "doc_id", "text", pii.fit(docs, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+        for k in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.shown(base), 256).alias("base_sha256"),
+        pii.shown(F.col("spans")).alias("spans"),
+    )
