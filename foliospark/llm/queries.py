@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii
+from . import bpe, langid, pii, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -63,3 +63,20 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.shown(base), 256).alias("base_sha256"),
         pii.shown(F.col("spans")).alias("spans"),
     )
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted to labelled documents of the folds that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labels = labels.filter((fold("doc_id", 5) != 0) & F.col("toxic").isin(0, 1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; a fifth of the rows, chosen by checksum, is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    found = toxicity.score(docs, "doc_id", "text", toxicity_model(spark, sf_dir))
+    return found.select("doc_id", held, "score", "predicted", "spans")
