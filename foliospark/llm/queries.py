@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, toxicity
+from . import bpe, html, langid, pii, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -80,3 +80,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     found = toxicity.score(docs, "doc_id", "text", toxicity_model(spark, sf_dir))
     return found.select("doc_id", held, "score", "predicted", "spans")
+
+
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.with_text(pages, "html", html.fit(pages, "page_id", "html"))
+    return found.select(
+        "page_id", "url", F.col("html").alias("text"), F.length("html").cast("long").alias("n_chars")
+    )
