@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +31,7 @@ BEGINNINGS = (4, 5)
 #: Least log-likelihood ratio of a feature of toxic words; about one chance in 10 ** 5.
 LEAST_RATIO = 20.0
 #: Labelled rows, toxic and other, that the model is fitted to.
-SAMPLE_ROWS = (1_500, 4_500)
+SAMPLE_ROWS = (800, 2_400)
 STEPS = 30
 #: Words that a worker remembers; beyond it the memory is emptied.
 WORDS = 400_000
@@ -63,7 +63,7 @@ class Model:
     scale: tuple[float, float, float]  # score = logistic(a + b * log(mass) + c * log(tokens))
 
 
-def places(names: np.ndarray, words: list[tuple[int, ...]]) -> np.ndarray:
+def places(names: np.ndarray, words) -> np.ndarray:
     """Place of each feature of each word among ``names``; their number if it is not there."""
     wanted = np.array(words, np.int64).reshape(len(words), 3 + len(BEGINNINGS))
     at = np.searchsorted(names, wanted)
@@ -132,48 +132,57 @@ def log_ratio(t: int, c: int, toxic: int, clean: int) -> float:
     return 2 * (out + (c * math.log((1 - found) / (1 - share)) if c else 0))
 
 
+def tell_apart(
+    ids: np.ndarray, owner: np.ndarray, word: np.ndarray, label: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features that stand in enough texts, in order, and which of them are toxic (one more
+    entry stands for all others). A word's use as a neighbour counts like the word."""
+    plain = ids >= 0
+    met = np.unique(owner[plain] * len(word) + ids[plain])  # (text, word) pairs
+    text, of = met // len(word), met % len(word)
+    toxic, clean = int(label.sum()), int(len(label) - label.sum())
+    names, strong = [], []
+    for j in range(word.shape[1]):
+        feature, at = np.unique(word[:, j], return_inverse=True)
+        pairs = np.unique(text * len(feature) + at[of])
+        hit = label[pairs // len(feature)] == 1
+        t = np.bincount(pairs[hit] % len(feature), minlength=len(feature))
+        c = np.bincount(pairs[~hit] % len(feature), minlength=len(feature))
+        often = np.flatnonzero(t + c >= LEAST_DOCUMENTS)
+        names.append(feature[often])
+        strong.append(
+            np.array([log_ratio(int(t[i]), int(c[i]), toxic, clean) >= LEAST_RATIO for i in often], bool)
+        )
+    names, first = np.unique(np.concatenate(names), return_index=True)
+    return names, np.append(np.concatenate(strong)[first], False)
+
+
 def learn(texts: list[str], labels: list[int]) -> Model:
     """Tag the tokens of labelled texts, then fit the field to the tags (AdaGrad) and the
     document scale to the labels."""
     number: dict[str, int] = {}
-    ids: list[int] = []
-    owner: list[int] = []
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    own: list[tuple[int, ...]] = []
-    for i, (text, label) in enumerate(zip(texts, labels)):
-        mine = set()
-        for w in TOKEN.findall(text):
-            if w in ENDS:
-                ids.append(-1)
-            else:
-                k = number.get(w)
-                if k is None:
-                    k = number[w] = len(own)
-                    own.append(features(w))
-                ids.append(k)
-                mine.add(k)
-            owner.append(i)
-        seen[label].update({f for k in mine for f in own[k]})
-    toxic, clean = sum(labels), len(labels) - sum(labels)
+    ids, lengths = array("i"), array("i")
+    for text in texts:
+        found = TOKEN.findall(text)
+        ids.extend(-1 if w in ENDS else number.setdefault(w, len(number)) for w in found)
+        lengths.append(len(found))
+    token_ids = np.array(ids, np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.array(lengths, np.int64))
+    word = np.array([features(w) for w in number], np.int64).reshape(len(number), 3 + len(BEGINNINGS))
+    label = np.array(labels)
+    toxic, clean = int(label.sum()), int(len(label) - label.sum())
     transition = np.zeros((2, 2))
-    if not toxic or not clean or not own:
+    if not toxic or not clean or not number:
         none = np.zeros(0, np.int64), np.zeros(1)
         return Model(*none, -10.0, transition, (-10.0 if not toxic else 0.0, 0.0, 0.0))
-    both_seen = seen[0] + seen[1]
-    names = np.array(sorted(f for f, c in both_seen.items() if c >= LEAST_DOCUMENTS), np.int64)
+    names, strong = tell_apart(token_ids, owner, word, label)
     buckets = len(names) + 1
     weights = np.zeros(buckets)
-    strong = np.array(
-        [log_ratio(seen[1][f], seen[0][f], toxic, clean) >= LEAST_RATIO for f in names.tolist()]
-        + [False]
-    )
-    word = places(names, own)
+    word = places(names, word)
     hot = strong[word[:, : 1 + len(BEGINNINGS)]].any(axis=1)
-    token_ids = np.array(ids)
-    chains = Chains(token_ids, token_ids < 0, np.array(owner))
-    label = np.array(labels)
+    chains = Chains(token_ids, token_ids < 0, owner)
     y = (hot[chains.ids] & (label[chains.text] == 1)).astype(float)
-    n, size = len(y), len(own)
+    n, size = len(y), len(word)
     inner = np.flatnonzero(~chains.new)  # tokens with a neighbour before them
     met = np.array([[((1 - y)[inner - 1] * (1 - y)[inner]).sum(), ((1 - y)[inner - 1] * y[inner]).sum()],
                     [(y[inner - 1] * (1 - y)[inner]).sum(), (y[inner - 1] * y[inner]).sum()]])
