@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, pii, toxicity
+from . import bpe, decontaminate, html, langid, pii, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -90,3 +90,56 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "page_id", "url", F.col("html").alias("text"), F.length("html").cast("long").alias("n_chars")
     )
+
+
+@query
+def op6_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, and the best alignment of each."""
+    found = decontaminate.overlaps(
+        table(spark, sf_dir, "documents"), "doc_id", "text",
+        table(spark, sf_dir, "benchmark"), "item_id", "text",
+    )
+    return found.drop("_row")
+
+
+def _seed_sql(words: str, at: str) -> str:
+    """Per mask, the tokens that it keeps as one string, labelled with the mask."""
+    masks = []
+    for mask in decontaminate.MASKS:
+        kept = [f"{words}[{at} + {i}]" for i, m in enumerate(mask) if m == "1"]
+        masks.append(f"'{mask} ' || " + " || ' ' || ".join(kept))
+    return f"unnest([{', '.join(masks)}])"
+
+
+#: All items of the given tables are at least as long as the span; shorter ones are tested
+#: against a brute-force version only.
+SQL["op6_benchmark_overlap"] = rf"""
+WITH d AS (
+  SELECT DISTINCT doc_id, text, list_filter(
+    string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT DISTINCT item_id, text, list_filter(
+    string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), dp AS (SELECT doc_id, text, w, unnest(range(1, len(w) - 10)) AS p FROM d),
+bp AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS q FROM b),
+ds AS (SELECT doc_id, text, w, p, {_seed_sql("w", "p")} AS seed FROM dp),
+bs AS (SELECT item_id, w AS bw, q, {_seed_sql("w", "q")} AS seed FROM bp),
+first AS (
+  SELECT seed, bw[q:q + 11] AS span, min((item_id, q)) AS m FROM bs GROUP BY ALL
+), hit AS (
+  SELECT ds.doc_id, ds.text, ds.w, ds.p, b.item_id, b.w AS bw, first.m[2] AS q
+  FROM ds JOIN first USING (seed) JOIN b ON b.item_id = first.m[1]
+), same AS (
+  SELECT doc_id, text, item_id, p - q AS shift,
+    len(list_filter(range(0, 12), lambda i: w[p + i] = bw[q + i])) AS agree,
+    len(list_filter(range(greatest(-12, 1 - p, 1 - q), least(24, len(w) - p + 1, len(bw) - q + 1)),
+      lambda i: w[p + i] = bw[q + i])) AS around,
+    least(24, len(w) - p + 1, len(bw) - q + 1) - greatest(-12, 1 - p, 1 - q) AS seen
+  FROM hit
+)
+SELECT doc_id, item_id, count(DISTINCT shift) AS n_places,
+  max((around, seen))[1] AS best_agree, max((around, seen))[2] AS best_seen
+FROM same WHERE agree >= 9 GROUP BY doc_id, text, item_id
+"""
