@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, pii, toxicity
+from . import bpe, decontaminate, html, langid, pii, sentences, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -143,3 +143,9 @@ SELECT doc_id, item_id, count(DISTINCT shift) AS n_places,
   max((around, seen))[1] AS best_agree, max((around, seen))[2] AS best_seen
 FROM same WHERE agree >= 9 GROUP BY doc_id, text, item_id
 """
+
+
+@query
+def op1_sentence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the sentence runs that stand earlier in the corpus."""
+    return sentences.dedup(table(spark, sf_dir, "documents"), "doc_id", "text")
