@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, pii, sentences, toxicity
+from . import bpe, decontaminate, html, langid, mtree, pii, sentences, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -149,3 +149,26 @@ FROM same WHERE agree >= 9 GROUP BY doc_id, text, item_id
 def op1_sentence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the sentence runs that stand earlier in the corpus."""
     return sentences.dedup(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every 20th vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+SQL["op8_top_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
