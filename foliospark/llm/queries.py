@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, langid, mtree, pii, sentences, toxicity
+from . import bpe, decontaminate, html, jaccard, langid, mtree, pii, sentences, substrings, toxicity
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -202,3 +202,9 @@ r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE r.doc_id = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+
+@query
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 50-byte strings that an earlier text holds; digests."""
+    return substrings.dedup(table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
