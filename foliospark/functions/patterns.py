@@ -17,8 +17,8 @@ ANY_BLOCK = r"(?i)<(?:" + "|".join(BLOCK_TAGS + CONTAINER_TAGS) + r")\b"
 
 # comments, tags and character references kept out of the translator's hands
 MARKUP = r"(?is)<!--.*?-->|<[^>]+>|&(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]+);"
-PLACEHOLDER_FORMAT = "__MBT_MARKUP_%03d__"
-PLACEHOLDER = r"__MBT_MARKUP_(\d{3,})__"
+PLACEHOLDER_FORMAT = "__KEEP_MARKUP_%03d__"
+PLACEHOLDER = r"__KEEP_MARKUP_(\d{3,})__"
 
 TAG = r"<[^>]+>"
 ENTITY = r"&[a-zA-Z#0-9]+;"

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.staging import bound
 from . import patterns as P
 from .text import clean_model_output, trim_low
 
@@ -56,12 +57,20 @@ def _content_text(raw: Column) -> Column:
     return F.nullif(trim_low(F.coalesce(value, F.lit(""))), F.lit(""))
 
 
+def _text_at(body: Column, path: str) -> Column:
+    """Text of the value at ``path``. A string is its own text, also one that looks like
+    JSON; the type of the field decides, not its first characters."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant"))
+    raw = F.get_json_object(body, path)
+    own = F.nullif(trim_low(raw), F.lit(""))
+    return F.when(kind == "STRING", own).otherwise(_content_text(raw))
+
+
 def chat_text(body: Column) -> Column:
     """Text of the first choice, wherever the provider put it; null when the
     answer is missing or has only reasoning."""
     places = ("message.content", "text", "output_text")
-    found = [_content_text(F.get_json_object(body, f"$.choices[0].{p}")) for p in places]
-    text = F.coalesce(*found)
+    text = F.coalesce(*[_text_at(body, f"$.choices[0].{p}") for p in places])
     return F.when(
         F.get_json_object(body, "$.choices[0].message").isNotNull() & text.isNotNull(),
         clean_model_output(text),
@@ -69,7 +78,7 @@ def chat_text(body: Column) -> Column:
 
 
 def reasoning_only(body: Column) -> Column:
-    reasoning = _content_text(F.get_json_object(body, "$.choices[0].message.reasoning"))
+    reasoning = _text_at(body, "$.choices[0].message.reasoning")
     return chat_text(body).isNull() & reasoning.isNotNull()
 
 
@@ -103,14 +112,22 @@ def parse_markers(raw: Column, count: Column) -> Column:
 
 
 def last_wins(entries: Column) -> Column:
-    """Map from (id, text) entries, the last of a repeated id kept."""
-    kept = F.filter(
+    """Map from (id, text) entries, the last of a repeated id kept.
+
+    Sorted by id and place, an entry is the last of its id if the next one has another."""
+    placed = F.transform(
         entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["id"] == e["id"]
-        ),
+        lambda e, i: F.struct(e["id"].alias("id"), i.alias("place"), e["text"].alias("text")),
     )
-    return F.map_from_entries(kept)
+    ordered = F.array_sort(placed)
+
+    def kept(rows: Column) -> Column:
+        last = F.filter(
+            rows, lambda e, i: F.coalesce(F.get(rows, i + 1)["id"] != e["id"], F.lit(True))
+        )
+        return F.transform(last, lambda e: F.struct(e["id"].alias("id"), e["text"].alias("text")))
+
+    return F.map_from_entries(bound(ordered, kept))
 
 
 def parse_items(raw: Column, count: Column) -> Column:
@@ -155,30 +172,25 @@ def line_items(prompt: Column) -> Column:
     )
 
 
-def _balanced(prompt: str | None) -> list[dict]:
-    out, depth, start, quoted, escaped = [], 0, -1, False, False
-    for i, ch in enumerate(prompt or ""):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            else:
-                quoted = ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                try:
-                    item = json.loads(prompt[start : i + 1])
-                except ValueError:
-                    continue
-                if "id" in item and "source" in item:
-                    out.append({"id": str(item["id"]), "source": str(item["source"])})
+_DECODER = json.JSONDecoder()
+
+
+def embedded_objects(prompt: str | None) -> list[dict] | None:
+    """Objects with id and source anywhere in a text: at each brace one JSON value is read,
+    and the search goes on behind it."""
+    if prompt is None:
+        return None
+    out = []
+    at = prompt.find("{")
+    while at >= 0:
+        try:
+            item, end = _DECODER.raw_decode(prompt, at)
+        except (ValueError, RecursionError):
+            end = at + 1
+        else:
+            if "id" in item and "source" in item:
+                out.append({"id": str(item["id"]), "source": str(item["source"])})
+        at = prompt.find("{", end)
     return out
 
 
@@ -187,14 +199,15 @@ _ITEM = T.StructType().add("id", "string").add("source", "string")
 
 @F.pandas_udf(T.ArrayType(_ITEM))
 def embedded_items(prompts: pd.Series) -> pd.Series:
-    """P33, recovery prompts: objects anywhere in the text, quote-aware."""
-    return prompts.map(_balanced)
+    """P33, recovery prompts: objects anywhere in the text; null for a null prompt."""
+    return prompts.map(embedded_objects)
 
 
 def prompt_items(prompt: Column) -> Column:
     """Per line when that finds any, anywhere otherwise."""
     lines = line_items(prompt)
-    return F.when(F.size(lines) > 0, lines).otherwise(embedded_items(prompt))
+    rest = embedded_items(F.when(F.size(lines) == 0, prompt))  # null where lines answer
+    return F.when(F.size(lines) > 0, lines).otherwise(rest)
 
 
 def model_catalog(body: Column) -> Column:

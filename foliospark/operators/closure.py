@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from .staging import durable
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``edges`` has (page, parent, child), ``roots`` (page, node).
 
     Level by level: the frontier meets the edges on (page, node), nodes already seen
     are dropped by an anti-join, so cycles end and shared nodes are visited once. The
-    number of rounds is the nesting depth, not the number of nodes."""
+    number of rounds is the nesting depth, not the number of nodes, and the rounds end
+    when no new node is met. Only the frontier is written in a round; what was seen is
+    the union of the frontiers."""
     links = edges.select("page", F.col("parent").alias("node"), "child")
     links = durable(links.distinct())
-    seen = durable(roots.select("page", "node").distinct())
-    frontier = seen
-    for _ in range(max_depth):
+    seen = frontier = durable(roots.select("page", "node").distinct())
+    while True:
         step = frontier.join(links, ["page", "node"])
         step = step.select("page", F.col("child").alias("node")).distinct()
         frontier = durable(step.join(seen, ["page", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = durable(seen.unionByName(frontier))
-    raise ValueError(f"nesting deeper than {max_depth}")
+        seen = seen.unionByName(frontier)

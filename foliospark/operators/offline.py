@@ -4,13 +4,12 @@ local engine, serve the prompts of this package."""
 from __future__ import annotations
 
 import json
-import subprocess
 from collections.abc import Callable
 
 import regex
 
 from ..functions import patterns as P
-from ..functions.response import _balanced
+from ..functions.response import embedded_objects
 
 _MARKUP = regex.compile(P.MARKUP + "|" + P.PLACEHOLDER)
 _MARKER = regex.compile(P.UNIT_MARKER)
@@ -52,7 +51,7 @@ def prompt_adapter(translate_text: Callable[[str], str]) -> Callable[[str, str],
     fragment after the last blank line."""
 
     def translate(prompt: str, context: str) -> str:
-        items = [i for line in prompt.splitlines() for i in _balanced(line)] or _balanced(prompt)
+        items = [i for line in prompt.splitlines() for i in embedded_objects(line)] or embedded_objects(prompt)
         items = [i for i in items if i["id"] and i["source"]]
         if items:
             done = [
@@ -74,22 +73,3 @@ def prompt_adapter(translate_text: Callable[[str], str]) -> Callable[[str, str],
         return translate_markup(fragment, translate_text)
 
     return translate
-
-
-def engine(command: list[str], seconds: int = 180) -> Callable[[str], str]:
-    """Run a local program on a text and keep the last line that is no log line.
-    One program per task: limit the number of tasks to limit the number of programs."""
-
-    def translate_text(text: str) -> str:
-        run = subprocess.run(
-            [*command, "-p", text], stdout=subprocess.PIPE, stderr=subprocess.STDOUT,
-            timeout=seconds, text=True,
-        )
-        lines = [x.strip() for x in run.stdout.splitlines()]
-        kept = [x for x in lines if x and not x.lower().startswith(P.ENGINE_LOG_PREFIXES)]
-        if run.returncode or not kept:
-            raise RuntimeError(f"engine exit {run.returncode}\n{run.stdout[-1000:]}")
-        head, colon, rest = kept[-1].partition(":")
-        return rest.strip() if colon and "translation" in head.lower() else kept[-1]
-
-    return translate_text

@@ -27,7 +27,7 @@ from .validate import with_reason
 Translator = Callable[[str, str], str]
 
 BASE_CONTEXT = "Translate English medical prose to professional Vietnamese; keep terms, numbers and markup."
-DIRECT = "Translate this fragment. Keep every placeholder such as __MBT_MARKUP_000__ unchanged.\n\n"
+DIRECT = "Translate this fragment. Keep every placeholder such as __KEEP_MARKUP_000__ unchanged.\n\n"
 RETRY = "Translate the whole unit and keep every placeholder. The last answer was rejected: %s\n\n%s"
 BATCH = "Return only a JSON array of objects with id and translation.\n"
 SENTENCES = "Translate every sentence. Return only a JSON array of strings, same order and count.\n"
@@ -144,13 +144,14 @@ def batch_candidates(batched: DataFrame, keys: list[str], translator: Translator
     else:
         prompts = prompts.withColumn("context", F.lit(BASE_CONTEXT))
     answers = durable(ask(prompts, translator))
-    items = answers.select(F.explode_outer(R.id_texts(F.col("answer"))).alias("x")).select("x.*")
-    first = items.filter("id IS NOT NULL").groupBy("id").agg(F.max("translation").alias("translation"))
-    known = first.join(batched.select("id", "inner"), "id")
+    items = answers.select(
+        F.posexplode_outer(R.id_texts(F.col("answer"))).alias("place", "x")
+    ).select("place", "x.*")
+    known = items.filter("id IS NOT NULL").join(batched.select("id", "inner"), "id")
     restored = M.restore_markup(F.col("translation"), M.markup_tokens(F.col("inner")))
-    return pinned(known, {"candidate": restored}).select("id", "candidate").filter(
-        ~X.is_blank(F.col("candidate"))
-    )
+    usable = pinned(known, {"candidate": restored}).filter(~X.is_blank(F.col("candidate")))
+    # Of an id that is answered twice, the last answer that can be restored counts.
+    return usable.groupBy("id").agg(F.max_by("candidate", "place").alias("candidate"))
 
 
 def _check(df: DataFrame, answer: Column, step: str) -> DataFrame:

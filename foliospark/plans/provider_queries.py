@@ -258,8 +258,9 @@ _TRIM_TEXT = S.trim_low("text")
 
 @query(
     "chat_text_extract", "P25,P26,P3",
-    f"""SELECT conv_id, turn, sha256(CASE turn % 4 WHEN 0 THEN {_TRIM_TEXT} WHEN 1 THEN {_TRIM_TEXT} WHEN 2 THEN {_TRIM_TEXT} || chr(10) || 'second' END) AS chat_hash,
-               turn % 4 = 3 AS reasoning_only,
+    f"""SELECT conv_id, turn, sha256(CASE turn % 6 WHEN 0 THEN {_TRIM_TEXT} WHEN 1 THEN {_TRIM_TEXT} WHEN 2 THEN {_TRIM_TEXT} || chr(10) || 'second'
+                 WHEN 4 THEN '[{{"id":"' || turn || '"}}]' WHEN 5 THEN '{{"id":"' || turn || '"}}' END) AS chat_hash,
+               turn % 6 = 3 AS reasoning_only,
                sha256(CASE turn % 3 WHEN 0 THEN {_TRIM_TEXT} WHEN 1 THEN {_TRIM_TEXT} || chr(10) || 'tail' END) AS responses_hash
         FROM conversations""",
 )
@@ -272,9 +273,12 @@ def chat_text_extract(spark: SparkSession, d: str) -> DataFrame:
     part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
     thinking = F.struct(F.array(F.struct(F.struct(text.alias("reasoning")).alias("message"))).alias("choices"))
     chat = (
-        F.when(turn % 4 == 0, message(text))
-        .when(turn % 4 == 1, message(part(text)))
-        .when(turn % 4 == 2, message(F.array(part(text), part(F.lit("")), part(F.lit(" second ")))))
+        F.when(turn % 6 == 0, message(text))
+        .when(turn % 6 == 1, message(part(text)))
+        .when(turn % 6 == 2, message(F.array(part(text), part(F.lit("")), part(F.lit(" second ")))))
+        # a string that is JSON itself, as every batch answer is
+        .when(turn % 6 == 4, message(F.concat(F.lit('[{"id":"'), turn, F.lit('"}]'))))
+        .when(turn % 6 == 5, message(F.concat(F.lit('{"id":"'), turn, F.lit('"}'))))
         .otherwise(F.to_json(thinking))
     )
     output = F.struct(
@@ -328,20 +332,25 @@ def unit_marker_parse(spark: SparkSession, d: str) -> DataFrame:
     rf"""WITH s AS (SELECT conv_id, turn, {S.split_sentences('text')} AS ss FROM conversations),
         x AS (SELECT conv_id, turn, generate_subscripts(ss, 1) - 1 AS i, unnest(ss) AS txt FROM s)
         SELECT conv_id, turn, i::INTEGER AS unit, sha256(txt) AS text_hash
-        FROM x WHERE i % 4 <> 3 AND i < 6""",
+        FROM x WHERE i % 8 NOT IN (3, 7)""",
 )
 def json_unit_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every eighth id is no number, another eighth is out of range."""
+    sentences = X.split_sentences(F.col("text"))
     items = F.transform(
-        X.split_sentences(F.col("text")),
+        sentences,
         lambda s, i: F.struct(
-            F.when(i % 4 == 3, F.lit("x")).otherwise(i.cast("string")).alias("id"),
+            F.when(i % 8 == 3, F.lit("x")).when(i % 8 == 7, (i + 1_000_000).cast("string"))
+            .otherwise(i.cast("string")).alias("id"),
             s.alias("translation"),
         ),
     )
     raw = F.concat(F.lit("Here:\n"), F.to_json(items), F.lit("\nDone."))
-    answers = table(spark, d, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    answers = table(spark, d, "conversations").select(
+        "conv_id", "turn", raw.alias("raw"), F.size(sentences).alias("n")
+    )
     units = answers.select(
-        "conv_id", "turn", F.explode_outer(R.parse_items(F.col("raw"), F.lit(6))).alias("unit", "txt")
+        "conv_id", "turn", F.explode_outer(R.parse_items(F.col("raw"), F.col("n"))).alias("unit", "txt")
     )
     return units.filter("unit IS NOT NULL").select(
         "conv_id", "turn", "unit", X.content_hash(F.col("txt")).alias("text_hash")

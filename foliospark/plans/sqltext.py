@@ -101,7 +101,7 @@ def protect(x: str) -> str:
     tokens = f"regexp_extract_all({x}, '{MARKUP}')"
     return (
         f"list_aggregate(list_transform({gaps}, lambda g, i: g || CASE WHEN i <= len({tokens})"
-        " THEN '__MBT_MARKUP_' || CASE WHEN i - 1 < 1000 THEN lpad((i - 1)::VARCHAR, 3, '0')"
+        " THEN '__KEEP_MARKUP_' || CASE WHEN i - 1 < 1000 THEN lpad((i - 1)::VARCHAR, 3, '0')"
         " ELSE (i - 1)::VARCHAR END || '__' ELSE '' END), 'string_agg', '')"
     )
 

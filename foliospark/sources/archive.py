@@ -7,10 +7,11 @@ entry by entry, so a task holds one archive and one entry at a time.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import io
 import os
-import shutil
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.profile import COUNTED_TAGS, tag_count
 
-ENTRY_SCHEMA = "path string, ordinal int, name string, mtime timestamp, content binary"
+ENTRY_SCHEMA = (
+    "path string, ordinal int, name string, mtime timestamp, content binary, error string"
+)
 EPUB_TYPE = "application/epub+zip"
 
 
@@ -37,42 +40,54 @@ def sniff(content: Column) -> Column:
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """The entries of each zip archive in their order. Files that are no zip or
-    cannot be unpacked give no rows here; ``checked`` reports them."""
+    """The entries of each zip archive in their order. A file that is no zip gives
+    no rows. An archive that cannot be unpacked as a whole gives one row with ``error``, last,
+    and without ``name``; ``whole`` drops all its entries and ``checked`` reports it."""
     zipped = archives.filter(sniff(F.col("content")) == "zip").select("path", "content")
 
+    def row(*values: object) -> pd.DataFrame:
+        return pd.DataFrame([values], columns=["path", "ordinal", "name", "mtime", "content", "error"])
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, blob in zip(pdf.path, pdf.content):
+                i = 0
                 try:
                     with zipfile.ZipFile(io.BytesIO(blob)) as z:
                         for i, info in enumerate(z.infolist()):
                             if not info.is_dir():
-                                row = (path, i, info.filename, dt.datetime(*info.date_time), z.read(info))
-                                yield pd.DataFrame(
-                                    [row], columns=["path", "ordinal", "name", "mtime", "content"]
-                                )
-                except zipfile.BadZipFile:
-                    continue
+                                when = dt.datetime(*info.date_time)
+                                yield row(path, i, info.filename, when, z.read(info), None)
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, ValueError, NotImplementedError) as e:
+                    yield row(path, i, None, None, None, f"{type(e).__name__}: {e}")
 
     return zipped.mapInPandas(unpack, ENTRY_SCHEMA)
 
 
+def whole(unpacked: DataFrame) -> DataFrame:
+    """The entries of archives that could be unpacked to the end."""
+    broken = unpacked.filter("error IS NOT NULL").select("path").distinct()
+    return unpacked.join(broken, "path", "left_anti")
+
+
 def checked(archives: DataFrame, unpacked: DataFrame) -> DataFrame:
-    """One verdict per file: name, signature, and the declared type of the book."""
+    """One verdict per file: name, signature, whether all of it could be unpacked, and
+    the declared type of the book."""
+    broken = unpacked.filter("error IS NOT NULL").select("path", "error")
     declared = unpacked.filter("name = 'mimetype'").select(
         "path", X.trim_low(F.decode("content", "UTF-8")).alias("declared")
     )
     files = archives.select("path", sniff(F.col("content")).alias("kind"))
-    joined = files.join(declared, "path", "left")
+    joined = files.join(declared, "path", "left").join(broken, "path", "left")
     problem = (
         F.when(F.col("kind").isNull(), "not a PDF or EPUB file")
         .when(F.col("kind") == "pdf", None)
         .when(~F.lower("path").endswith(".epub"), "not an EPUB name")
+        .when(F.col("error").isNotNull(), F.concat(F.lit("archive is damaged: "), "error"))
         .when(F.col("declared").isNull(), "mimetype is missing")
         .when(F.col("declared") != EPUB_TYPE, "mimetype is not valid")
     )
-    return joined.withColumn("problem", problem)
+    return joined.withColumn("problem", problem).drop("error")
 
 
 def decoded(unpacked: DataFrame) -> DataFrame:
@@ -141,11 +156,13 @@ def with_replacements(unpacked: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 def write_archives(unpacked: DataFrame, folder: str) -> DataFrame:
     """K1: one archive per ``path`` in a folder every worker sees; entry order and times
-    kept, ``mimetype`` stored uncompressed. Returns (path, output, entries).
+    kept, ``mimetype`` stored uncompressed. Returns (path, output, entries). The output
+    is named after the archive and a digest of its path, so that archives of one name in
+    different folders do not meet. Damaged archives are not written.
 
     Entries arrive sorted, so an archive is written entry by entry and renamed into
     place when it is complete; a repeated task writes the same file again."""
-    ordered = unpacked.repartition("path").sortWithinPartitions("path", "ordinal")
+    ordered = whole(unpacked).repartition("path").sortWithinPartitions("path", "ordinal")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
@@ -162,7 +179,9 @@ def write_archives(unpacked: DataFrame, folder: str) -> DataFrame:
                     if current is not None:
                         yield close()
                     current, count = r.path, 0
-                    target = os.path.join(folder, os.path.basename(r.path))
+                    stem, ending = os.path.splitext(os.path.basename(r.path))
+                    mark = hashlib.sha256(r.path.encode()).hexdigest()[:16]
+                    target = os.path.join(folder, f"{stem}-{mark}{ending}")
                     archive = zipfile.ZipFile(f"{target}.tmp{os.getpid()}", "w")
                 info = zipfile.ZipInfo(r.name, date_time=r.mtime.timetuple()[:6])
                 stored = r.name == "mimetype"
@@ -173,30 +192,3 @@ def write_archives(unpacked: DataFrame, folder: str) -> DataFrame:
             yield close()
 
     return ordered.mapInPandas(write, "path string, output string, entries long")
-
-
-def copy_file(source: str, target: str) -> None:
-    """Byte for byte, parents created."""
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    shutil.copyfile(source, target)
-
-
-RESET_NAMES = (
-    "units", "progress.json", "translated-current.epub", "translated-final.epub",
-    "translated-current.pdf", "translated-final.pdf", "pdf-progress.properties",
-)
-
-
-def reset_workspace(folder: str) -> list[str]:
-    """Forget progress and drafts, keep the source; returns what was removed."""
-    removed = []
-    for name in RESET_NAMES:
-        path = os.path.join(folder, name)
-        if os.path.isdir(path):
-            shutil.rmtree(path)
-        elif os.path.exists(path):
-            os.remove(path)
-        else:
-            continue
-        removed.append(name)
-    return removed

@@ -1,26 +1,77 @@
-"""Saved progress on storage: JSON rows, page state, manifest; overwritten by staging."""
+"""Saved progress on storage: JSON rows, page state, manifest; in versions, so that a write
+that fails loses nothing."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators.state import STATE_SCHEMA
 
+PAGE_SCHEMA = "file string, page bigint, text string, failed boolean, layout_version string"
+
+
+def exists(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None if its folder is not there; any other error is raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Write ``df`` as the next version in ``path`` and return its number.
+
+    A version is one appended job: Spark's committer shows all of its files or none, so a
+    write that fails leaves the version before it in place. A row without values marks each
+    version, also one without rows. Old versions stay until their folders are removed."""
+    spark = df.sparkSession
+    old = exists(lambda: spark.read.schema("version bigint").json(path))
+    last = old.agg(F.max("version")).first()[0] if old is not None else None
+    number = (last or 0) + 1
+    mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    rows = df.unionByName(mark).withColumn("version", F.lit(number))
+    rows.write.mode("append").partitionBy("version").json(path)
+    return number
+
+
+def latest(raw: DataFrame) -> DataFrame:
+    """Rows of the newest version; a folder without versions is one."""
+    newest = raw.agg(F.max("version")).first()[0]
+    rows = raw if newest is None else raw.filter(F.col("version") == newest)
+    return rows.drop("version")
+
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Saved unit rows; a corrupt row is dropped, missing fields get defaults."""
-    raw = spark.read.schema(f"{STATE_SCHEMA}, _corrupt_record string").json(
+    """Saved unit rows of the newest version; a corrupt row is dropped, missing fields
+    get defaults."""
+    raw = spark.read.schema(f"{STATE_SCHEMA}, _corrupt_record string, version bigint").json(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
     )
-    good = raw.filter("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
+    good = latest(raw).filter("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
     return good.fillna({"file": "", "translation": "", "status": "DONE", "attempts": 0})
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """K3: a finished directory appears or nothing does; Spark commits on success."""
-    state.write.mode("overwrite").json(path)
+def write_state(state: DataFrame, path: str) -> int:
+    """K3: publish a new version of the state."""
+    return publish(state, path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Saved pages of the newest version and the current layout."""
+    raw = spark.read.schema(f"{PAGE_SCHEMA}, version bigint").json(path)
+    return current_pages(latest(raw).filter("page IS NOT NULL"))
+
+
+def write_pages(pages: DataFrame, path: str) -> int:
+    """K9: publish text, failure and layout version of every page."""
+    return publish(pages.select("file", "page", "text", "failed", "layout_version"), path)
 
 
 def current_pages(saved: DataFrame, version: str = P.LAYOUT_VERSION) -> DataFrame:
@@ -34,6 +85,6 @@ def current_pages(saved: DataFrame, version: str = P.LAYOUT_VERSION) -> DataFram
     )
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
+def write_manifest(manifest: DataFrame, path: str) -> int:
     """K4."""
-    manifest.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").json(path)
+    return publish(manifest.withColumn("updated_at", F.current_timestamp()), path)

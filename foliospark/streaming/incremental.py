@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import state as ST
+from ..sources.state import exists
 
 EPOCH_SCHEMA = ST.STATE_SCHEMA + ", epoch bigint"
 
@@ -19,9 +19,8 @@ def latest_state(spark: SparkSession, folder: str, before: int | None = None) ->
     """The newest row of each (id, source_hash). The folder is only ever appended to, one
     directory per epoch; the newest is found by a partial aggregate, not by rewriting.
     ``before`` leaves out an epoch that is being repeated."""
-    try:
-        rows = spark.read.schema(EPOCH_SCHEMA).parquet(folder)
-    except AnalysisException:
+    rows = exists(lambda: spark.read.schema(EPOCH_SCHEMA).parquet(folder))
+    if rows is None:
         rows = spark.createDataFrame([], EPOCH_SCHEMA)
     if before is not None:
         rows = rows.filter(F.col("epoch") < before)

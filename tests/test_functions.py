@@ -81,10 +81,10 @@ def test_markup_roundtrip(spark, text):
 @pytest.mark.parametrize(
     "answer, wanted",
     [
-        ("__MBT_MARKUP_001__x__MBT_MARKUP_000__", "</b>x<b>"),
-        ("__MBT_MARKUP_000__x", None),
-        ("__MBT_MARKUP_000__x__MBT_MARKUP_001____MBT_MARKUP_001__", None),
-        ("__MBT_MARKUP_000____MBT_MARKUP_001__ __MBT_MARKUP_007__", "<b></b> __MBT_MARKUP_007__"),
+        ("__KEEP_MARKUP_001__x__KEEP_MARKUP_000__", "</b>x<b>"),
+        ("__KEEP_MARKUP_000__x", None),
+        ("__KEEP_MARKUP_000__x__KEEP_MARKUP_001____KEEP_MARKUP_001__", None),
+        ("__KEEP_MARKUP_000____KEEP_MARKUP_001__ __KEEP_MARKUP_007__", "<b></b> __KEEP_MARKUP_007__"),
     ],
 )
 def test_restore(spark, answer, wanted):
@@ -123,7 +123,10 @@ def test_markers_and_items(spark):
     raw = 'ok [{"id":"0","translation":" a "},{"id":1,"translation":"b"},{"id":"x","translation":"c"},{"id":"2","translation":""}] end'
     assert one(spark, R.parse_items(s, F.lit(3)), s=raw) == {0: "a", 1: "b"}
     got = one(spark, R.prompt_items(s), s='do {x} it {"a":{"b":1},"id":"1","source":"q\\"}"} now\n{"id":2,\n"source":"r"}')
-    assert [tuple(r) for r in got] == [("1", 'q"}')] or len(got) == 2
+    # no line is one object, so both are found in the whole text
+    assert [tuple(r) for r in got] == [("1", 'q"}'), ("2", "r")]
+    got = one(spark, R.prompt_items(s), s='x { {"id":2,\n"source":"r{}"} {"id":3} {"source":\n"s","id":"4"')
+    assert [tuple(r) for r in got] == [("2", "r{}")]
 
 
 @pytest.mark.parametrize(
@@ -136,6 +139,9 @@ def test_markers_and_items(spark):
         ('{"choices":[{"message":{"reasoning":"r"}}]}', None),
         ('{"choices":[]}', None),
         ("not json", None),
+        ('{"choices":[{"message":{"content":"[{\\"id\\":\\"u1\\",\\"translation\\":\\"t\\"}]"}}]}', '[{"id":"u1","translation":"t"}]'),
+        ('{"choices":[{"message":{"content":"{\\"id\\":\\"u1\\"}"}}]}', '{"id":"u1"}'),
+        ('{"choices":[{"message":{"content":"  "},"text":"t"}]}', "t"),
     ],
 )
 def test_chat_text(spark, body, wanted):

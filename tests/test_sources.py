@@ -1,13 +1,17 @@
 """Archives, glossary CSV, saved state and logs on small fixtures."""
 
+import re
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import patterns as P
 from foliospark.operators import glossary as G
 from foliospark.operators import state as ST
 from foliospark.operators import units as U
+from foliospark.operators.closure import reachable
 from foliospark.sources import archive as A
 from foliospark.sources import glossary_csv, logs, state
 
@@ -67,6 +71,29 @@ def test_archive_profile(spark, shelf):
     assert (p.p_count, p.figure_count, p.img_count, p.table_count) == (151, 10, 16, 5)
 
 
+def test_damaged_archives_are_reported_whole(spark, shelf, tmp_path):
+    data = (shelf / "good.epub").read_bytes()
+    at = data.index(b"OEBPS/content.opf") + len("OEBPS/content.opf") + 20
+    for name, blob in (("bad.epub", data[:at] + b"\0" * 40 + data[at + 40:]), ("cut.epub", data[:-200])):
+        (tmp_path / name).write_bytes(blob)
+    (tmp_path / "fine.epub").write_bytes(data)
+    files = A.read_files(spark, str(tmp_path), "*.epub")
+    unpacked = A.entries(files)
+    problems = {r.path.rsplit("/", 1)[1]: r.problem for r in A.checked(files, unpacked).collect()}
+    assert problems["fine.epub"] is None
+    assert problems["bad.epub"].startswith("archive is damaged") and problems["cut.epub"].startswith("archive is damaged")
+    assert {r.path.rsplit("/", 1)[1] for r in A.whole(unpacked).select("path").distinct().collect()} == {"fine.epub"}
+
+
+def test_archives_of_one_name_do_not_meet(spark, shelf, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "good.epub").write_bytes((shelf / "good.epub").read_bytes())
+    unpacked = A.entries(A.read_files(spark, str(tmp_path / "in" / "*")))
+    done = A.write_archives(unpacked, str(tmp_path / "out")).collect()
+    assert len({r.output for r in done}) == 2 == len(list((tmp_path / "out").iterdir()))
+
+
 def test_rebuild_and_write(spark, shelf, tmp_path):
     unpacked = A.entries(A.read_files(spark, str(shelf), "good.epub"))
     content = A.decoded(unpacked.filter(U.is_content_file(F.col("name"))))
@@ -75,7 +102,8 @@ def test_rebuild_and_write(spark, shelf, tmp_path):
     rebuilt = U.rebuild(content, "name", "text", new).withColumnRenamed("file", "name")
     replaced = A.with_replacements(unpacked, rebuilt.withColumn("path", F.lit(unpacked.first().path)))
     done = A.write_archives(replaced, str(tmp_path / "out")).collect()
-    assert [(r.output, r.entries) for r in done] == [(str(tmp_path / "out" / "good.epub"), 88)]
+    assert [r.entries for r in done] == [88]
+    assert re.fullmatch(r"good-[0-9a-f]{16}\.epub", Path(done[0].output).name)
     with zipfile.ZipFile(done[0].output) as z, zipfile.ZipFile(shelf / "good.epub") as old:
         assert z.namelist() == old.namelist()
         first = z.infolist()[0]
@@ -121,6 +149,43 @@ def test_glossary_csv(spark, tmp_path):
     assert sorted(r.english for r in again.collect()) == ["Fetus", "kidney", "x"]
 
 
+def test_glossary_order_over_files(spark, tmp_path):
+    words = [chr(97 + i % 26) + chr(97 + i // 26) + "x" for i in range(60)]
+    terms = spark.createDataFrame([(i, w, w, "", "") for i, w in enumerate(words)], "ord bigint, english string, vietnamese string, category string, note string")
+    out = str(tmp_path / "g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    glossary_csv.write_glossary(terms.repartition(5), out)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(out).glob("part-*"))) > 1
+    again = glossary_csv.read_glossary(spark, out)
+    assert [r.english for r in again.orderBy("ord").collect()] == words
+    assert again.select("ord").distinct().count() == len(words)
+
+
+def test_failed_write_keeps_the_old_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    one = spark.createDataFrame([("1", "f", "h", "t", "DONE", 0)], ST.STATE_SCHEMA)
+    assert state.write_state(one, path) == 1
+    bad = one.withColumn("translation", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        state.write_state(bad.union(one), path)
+    assert [r.id for r in state.read_state(spark, path).collect()] == ["1"]
+    assert state.write_state(one.limit(0), path) == 2
+    assert state.read_state(spark, path).count() == 0
+    pages = spark.createDataFrame([("f", 1, "t", True, P.LAYOUT_VERSION), ("f", 2, "u", False, "old")], state.PAGE_SCHEMA)
+    state.write_pages(pages, str(tmp_path / "pages"))
+    rows = state.read_pages(spark, str(tmp_path / "pages")).orderBy("page").collect()
+    assert [(r.page, r.text, r.failed) for r in rows] == [(1, "t", True), (2, "", False)]
+    state.write_manifest(one.select("id"), str(tmp_path / "manifest"))
+
+
+def test_closure_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(12)] + [(1, 12, 3)], "page int, parent int, child int")
+    roots = spark.createDataFrame([(1, 0), (2, 5)], "page int, node int")
+    got = reachable(edges, roots).collect()
+    assert sorted((r.page, r.node) for r in got) == [(1, i) for i in range(13)] + [(2, 5)]
+
+
 def test_state_roundtrip_and_merge(spark, tmp_path):
     path = tmp_path / "units"
     path.mkdir()
@@ -150,12 +215,3 @@ def test_log_lines(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == [
         "2024-01-02 03:04:05.678 #1 A a/b c", "2024-01-02 03:04:05.678 #2 B id",
     ]
-
-
-def test_reset(tmp_path):
-    (tmp_path / "units").mkdir()
-    (tmp_path / "progress.json").write_text("{}")
-    (tmp_path / "source.epub").write_text("x")
-    assert A.reset_workspace(str(tmp_path)) == ["units", "progress.json"]
-    A.copy_file(str(tmp_path / "source.epub"), str(tmp_path / "deep" / "copy.epub"))
-    assert (tmp_path / "deep" / "copy.epub").read_text() == "x"

@@ -1,5 +1,6 @@
 """The translation ladder with translators that fail in different ways, and the streams."""
 
+import json
 import sys
 
 import pandas as pd
@@ -52,6 +53,18 @@ def test_ladder(spark):
     assert rows["u2"].status == "SOURCE_ONLY" or rows["u2"].translation == "<p></p>"
 
 
+def test_last_usable_answer_of_a_repeated_id_counts(spark):
+    src = units(spark, "Short title here", "<b>Short title</b>")
+    batched = src.withColumns({"book": F.lit("b"), "batch_no": F.lit(0)})
+
+    def twice(prompt, context):
+        items = [{"id": u, "translation": t} for u, t in (("u0", "zz first"), ("u0", "aa last"), ("u1", "good __KEEP_MARKUP_000__ x __KEEP_MARKUP_001__"), ("u1", "no markup"))]
+        return json.dumps(items)
+
+    found = {r.id: r.candidate for r in TR.batch_candidates(batched, ["book", "batch_no"], twice).collect()}
+    assert found["u0"] == "aa last" and found["u1"] == "good <b> x </b>"
+
+
 def test_ladder_by_sentences(spark):
     r = TR.translate_units(units(spark, TEXT), by_sentence).first()
     assert (r.step, r.translation, r.status) == ("sentences", TEXT, "DONE")
@@ -94,13 +107,11 @@ def test_offline_adapter():
     assert call('do\n{"id":"1","source":"a<b>c</b>"}\n{"id":"2","source":"x"}', "") == (
         '[{"id": "1", "translation": "A<b>C</b>"}, {"id": "2", "translation": "X"}]'
     )
-    assert call("t\n\n[[[UNIT_0]]]\none\n[[[UNIT_1]]]\ntwo __MBT_MARKUP_000__", "") == "[[[UNIT_0]]]\nONE\n[[[UNIT_1]]]\nTWO __MBT_MARKUP_000__"
+    assert call("t\n\n[[[UNIT_0]]]\none\n[[[UNIT_1]]]\ntwo __KEEP_MARKUP_000__", "") == "[[[UNIT_0]]]\nONE\n[[[UNIT_1]]]\nTWO __KEEP_MARKUP_000__"
     assert call("Translate:\n\nfragment &amp; 12", "") == "FRAGMENT &amp; 12"
     with pytest.raises(ValueError):
         call("1234", "")
     assert O.chunks("aaaa. bbbb. cc", 10) == ["aaaa.", "bbbb. cc"]
-    echo = O.engine(["sh", "-c", "echo main: x; echo Translation: ok"])
-    assert echo("anything") == "ok"
 
 
 def test_pages(spark):
