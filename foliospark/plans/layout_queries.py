@@ -54,7 +54,7 @@ def glyphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guides(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "events", GUIDE, "event_id % 8 < 2")
+    return derive(spark, d, "events", GUIDE)
 
 
 SEGMENT = {
@@ -307,7 +307,7 @@ _UNIQUE = (
     " abs(acc[len(acc)] - v[1]) > {tol}::FLOAT THEN acc || v ELSE acc[1:len(acc) - 1] || [(acc[len(acc)] + v[1]) * 0.5::FLOAT] END, []::FLOAT[])"
 )
 
-_SQL_REGIONS = f"""gd AS (SELECT {_cols(GUIDE)} FROM events WHERE event_id % 8 < 2),
+_SQL_REGIONS = f"""gd AS (SELECT {_cols(GUIDE)} FROM events),
     hs AS (SELECT page, list([{{'y': y1, 'x1': x1, 'x2': x2}}] ORDER BY y1, seq) AS l FROM gd WHERE orient = 'h' AND x2 - x1 >= 70 GROUP BY page),
     vs AS (SELECT page, list({{'x': (x1 + x2) * 0.5::FLOAT, 'lo': least(y1, y2), 'hi': greatest(y1, y2)}}) AS v FROM gd
            WHERE orient = 'v' AND sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) >= 8 GROUP BY page),
@@ -416,7 +416,7 @@ def layout_units(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "overlap_shrink", "J11",
     f"""WITH g AS (SELECT {_cols(GLYPH)}, CAST(30 + user_id % 90 AS FLOAT) AS width FROM events),
-        i AS (SELECT page, x AS ix, y AS it, CAST(40 AS FLOAT) AS ih FROM g WHERE seq % 32 = 5),
+        i AS (SELECT page, x AS ix, y AS it, CAST(40 AS FLOAT) AS ih FROM g),
         s AS (SELECT g.page, g.seq, g.width, min(i.ix - g.x - 3::FLOAT) AS room FROM g LEFT JOIN i ON i.page = g.page AND i.it + i.ih > g.y + 1::FLOAT
               AND i.it < g.y + g.h - 1::FLOAT AND i.ix > g.x AND i.ix - g.x - 3::FLOAT > 10 GROUP BY ALL)
         SELECT page, seq, (CASE WHEN least(greatest(10::FLOAT, width), coalesce(room, width)) >= width - 0.5::FLOAT THEN width
@@ -425,7 +425,7 @@ def layout_units(spark: SparkSession, d: str) -> DataFrame:
 def overlap_shrink(spark: SparkSession, d: str) -> DataFrame:
     units = derive(spark, d, "events", {**GLYPH, "width": "CAST(30 + user_id % 90 AS FLOAT)"})
     image = F.struct(F.col("x"), F.col("y").alias("top"), f32(40).alias("height"))
-    images = units.filter("seq % 32 = 5").groupBy("page").agg(F.collect_list(image).alias("images"))
+    images = units.groupBy("page").agg(F.collect_list(image).alias("images"))
     empty = F.array().cast("array<struct<x:float,top:float,height:float>>")
     joined = units.join(images, "page", "left").withColumn("images", F.coalesce("images", empty))
     safe = G.shrink_width(F.col("x"), F.col("y"), F.col("width"), F.col("h"), F.col("images"))
@@ -449,16 +449,16 @@ def tolerance_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "asof_bounds", "J9,J10",
-    """WITH b AS (SELECT vec_id, list_sort(list_transform(embedding[1:16], lambda v: (v * 100)::FLOAT)) AS bs, unnest(embedding[17:32]) * 100::FLOAT AS v,
-                         generate_subscripts(embedding[17:32], 1) AS i FROM embeddings)
+    """WITH b AS (SELECT vec_id, list_sort(list_transform(embedding, lambda v: (v * 100)::FLOAT)) AS bs, unnest(embedding) * 100::FLOAT AS v,
+                         generate_subscripts(embedding, 1) AS i FROM embeddings)
        SELECT vec_id, i::BIGINT AS i, coalesce(list_filter(bs, lambda b: b <= v + 1::FLOAT)[-1], -99::FLOAT)::DOUBLE AS before,
               coalesce(list_filter(bs, lambda b: b > v + 1::FLOAT)[1], 99::FLOAT)::DOUBLE AS after FROM b""",
 )
 def asof_bounds(spark: SparkSession, d: str) -> DataFrame:
     hundred = lambda c: F.transform(c, lambda v: (v * f32(100)).cast("float"))
     rows = table(spark, d, "embeddings").select(
-        "vec_id", F.sort_array(hundred(F.slice("embedding", 1, 16))).alias("bs"),
-        F.posexplode_outer(hundred(F.slice("embedding", 17, 16))).alias("i", "v"),
+        "vec_id", F.sort_array(hundred("embedding")).alias("bs"),
+        F.posexplode_outer(hundred("embedding")).alias("i", "v"),
     )
     return rows.select(
         "vec_id", (F.col("i") + 1).cast("bigint").alias("i"),
@@ -624,8 +624,8 @@ FORM_EDGE = {
 
 @query(
     "xobject_closure", "U6",
-    f"""WITH RECURSIVE e AS (SELECT {_cols(FORM_EDGE)} FROM events WHERE event_id % 64 >= 8 AND event_type <> 'signup'
-                   UNION ALL SELECT event_id // 64, event_id, event_id - user_id % 5 FROM events WHERE event_id % 64 >= 8),
+    f"""WITH RECURSIVE e AS (SELECT {_cols(FORM_EDGE)} FROM events
+                   UNION ALL SELECT event_id // 64, event_id, event_id - user_id % 5 FROM events),
         r AS (SELECT DISTINCT page, page * 64 + 7 AS node FROM e
               UNION
               SELECT e.page, e.child FROM r JOIN e ON e.page = r.page AND e.parent = r.node)
@@ -635,11 +635,10 @@ def xobject_closure(spark: SparkSession, d: str) -> DataFrame:
     """Forms reachable from the first one of a page; some edges point back."""
     from ..operators.closure import reachable
 
-    down = derive(spark, d, "events", FORM_EDGE, "event_id % 64 >= 8 AND event_type <> 'signup'")
+    down = derive(spark, d, "events", FORM_EDGE)
     back = derive(
         spark, d, "events",
         {"page": "event_id DIV 64", "parent": "event_id", "child": "event_id - user_id % 5"},
-        "event_id % 64 >= 8",
     )
     edges = down.unionByName(back)
     roots = edges.select("page").distinct().withColumn("node", F.col("page") * 64 + 7)
@@ -685,7 +684,7 @@ PLAN_UNIT = {
               coalesce(list_filter(horizontals, lambda b: b <= cy + 1::FLOAT)[-1], top) AS ct, coalesce(list_filter(horizontals, lambda b: b > cy + 1::FLOAT)[1], bottom) AS cb,
               cx >= (x0 + x1) * 0.5::FLOAT AS mid
               FROM c LEFT JOIN regions r ON r.page = c.page AND cx >= x0 - 3::FLOAT AND cx <= x1 + 3::FLOAT AND cy >= top - 3::FLOAT AND cy <= bottom + 3::FLOAT),
-        im AS (SELECT page, x AS ix, y AS it FROM un WHERE unit % 32 = 5),
+        im AS (SELECT page, x AS ix, y AS it FROM un),
         sh AS (SELECT u.page, u.unit, min(i.ix - u.x - 3::FLOAT) AS room FROM un u JOIN im i ON i.page = u.page AND i.it + 40::FLOAT > u.y + 1::FLOAT
                AND i.it < u.y + u.height - 1::FLOAT AND i.ix > u.x AND i.ix - u.x - 3::FLOAT > 10 GROUP BY ALL),
         b AS (SELECT k.*, coalesce(cr - cl >= 12 AND cb - ct >= 6, false) AS in_cell, least(greatest(10::FLOAT, width), coalesce(room, width)) AS safe FROM k LEFT JOIN sh USING (page, unit)),
@@ -707,7 +706,7 @@ PLAN_UNIT = {
 )
 def page_plan(spark: SparkSession, d: str) -> DataFrame:
     units = derive(spark, d, "events", PLAN_UNIT)
-    images = units.filter("unit % 32 = 5").select(
+    images = units.select(
         "page", "x", F.col("y").alias("top"), f32(40).alias("height")
     )
     plan = L.page_plan(units, images, L.table_regions(guides(spark, d), PAGE_HEIGHT), PAGE_HEIGHT)

@@ -443,21 +443,21 @@ def glossary_match_top40(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "glossary_prompt", "P46,J6,A11",
     f"""WITH {_SQL_TERMS},
-        hits AS (SELECT c.conv_id * 1000 + c.turn AS text_id, m.src * 1099511627776 + m.ord AS ord, m.key, m.note FROM conversations c
+        hits AS (SELECT c.conv_id, c.turn, m.src * 1099511627776 + m.ord AS ord, m.key, m.note FROM conversations c
                  JOIN merged m ON contains(lower(c.text), m.key) WHERE length(m.key) >= 2),
-        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY ord) AS rank FROM hits) WHERE rank <= 40)
-        SELECT text_id, sha256(string_agg('- ' || key || ' → vi ' || key || CASE WHEN note <> '' THEN ' (' || note || ')' ELSE '' END,
-               chr(10) ORDER BY ord)) AS prompt_hash FROM top GROUP BY text_id""",
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) AS rank FROM hits) WHERE rank <= 40)
+        SELECT conv_id, turn, sha256(string_agg('- ' || key || ' → vi ' || key || CASE WHEN note <> '' THEN ' (' || note || ')' ELSE '' END,
+               chr(10) ORDER BY ord)) AS prompt_hash FROM top GROUP BY conv_id, turn""",
 )
 def glossary_prompt(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text"
+        F.struct("conv_id", "turn").alias("text_id"), "text"
     )
     terms = merged_terms(spark, d).withColumns(
         {"english": F.col("key"), "vietnamese": F.concat(F.lit("vi "), F.col("key"))}
     )
     lines = G.prompt_lines(G.match_terms(texts, "text_id", "text", terms), "text_id", terms)
-    return lines.select("text_id", X.content_hash(F.col("terminology")).alias("prompt_hash"))
+    return lines.select("text_id.*", X.content_hash(F.col("terminology")).alias("prompt_hash"))
 
 
 @query(
@@ -473,12 +473,10 @@ def glossary_search(spark: SparkSession, d: str) -> DataFrame:
     "glossary_clashes", "U5",
     f"""WITH {_SQL_TERMS} SELECT w.ord::BIGINT AS ord, w.english FROM words w WHERE w.english <> '' AND EXISTS
         (SELECT 1 FROM base b WHERE lower(b.english) = lower(w.english)
-         UNION ALL SELECT 1 FROM words o WHERE o.item_id % 2 = 0 AND lower(o.english) = lower(w.english) AND o.ord <> w.ord)""".replace(
-        "regexp_replace(unnest(ws)", "item_id, regexp_replace(unnest(ws)"
-    ),
+         UNION ALL SELECT 1 FROM words o WHERE lower(o.english) = lower(w.english) AND o.ord <> w.ord)""",
 )
 def glossary_clashes(spark: SparkSession, d: str) -> DataFrame:
     words = imported_terms(spark, d)
-    even = words.filter("floor(ord / 100000) % 2 = 0").select("ord", "english")
-    known = base_terms(spark, d).select((-F.col("ord") - 1).alias("ord"), "english").unionByName(even)
+    own = words.select("ord", "english")
+    known = base_terms(spark, d).select((-F.col("ord") - 1).alias("ord"), "english").unionByName(own)
     return G.clashes(known, words).select("ord", "english")
