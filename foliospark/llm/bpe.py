@@ -166,3 +166,22 @@ def roundtrip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str)
 
     schema = DIGEST.format(id=key, kind=_kind(df, key))
     return df.select(key, text).mapInArrow(run, schema)
+
+
+def tokens(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
+    """``(key, n_tokens, ids, exact)``: the ids, and whether they decode to the text's bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(vocabulary, pattern)
+        for batch in slices(batches, text):
+            texts = texts_of(batch, text)
+            ids = list(codec.encode(texts))
+            exact = [codec.decode_bytes(i) == t.encode() for i, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
+                 pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())],
+                names=[key, "n_tokens", "ids", "exact"],
+            )
+
+    schema = f"{key} {_kind(df, key)}, n_tokens long, ids array<int>, exact boolean"
+    return df.select(key, text).mapInArrow(run, schema)

@@ -1,9 +1,12 @@
 """Texts whose sets of word shingles overlap by three quarters, and their components.
 
-1. A set's shingles are ordered by hash. Two sets that overlap enough share one of their first
+A set has a bitmap of its shingles' classes, of two bits or more for each shingle; what one
+bitmap has and another has not bounds what the sets share.
+
+1. A set's shingles are ordered by hash, after those that are frequent in a sample. Two sets that overlap enough share one of their first
    quarter (prefix filter), so only those are shuffled, and only those that two sets share are
    kept. Equal sets count as one.
-2. Neighbours in the order of size within a shingle are verified first: near copies become
+2. Neighbours in the order of size within a shingle are compared first: near copies become
    components, and most shingles then hold one component only.
 3. In all other shingles' groups, signature trees (pages with OR-ed bitmaps and size ranges)
    are traversed pairwise; pairs of pages that cannot overlap enough are pruned, and the pairs
@@ -22,12 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import slices, stored
+from .common import sample, slices, stored
 from .components import components
 
 #: The least overlap, as a fraction of the union.
 NUMERATOR, DENOMINATOR = 3, 4
-BITS = 1024
+#: Bits of the trees' bitmaps; those of single sets are folded to it. Both are powers of two.
+BITS, MOST_BITS = 1024, 1 << 18
+#: Shingles of many sets come last in every set's order: those that at least so many sets of a
+#: sample hold, and the most frequent ones of them. The order changes no result.
+SAMPLE_ROWS, OFTEN, MOST_FREQUENT = 20_000, 6, 50_000
+#: Pairs of pages that are looked at together.
+PAIRS = 250_000
+#: Keys of texts to be verified that are sent to the tasks; more are shuffled.
+BROADCAST_KEYS = 1_000_000
 #: Sets of a leaf and children of an inner node of a tree.
 PAGE = 8
 #: Sets of one shingle that a task compares with as many others.
@@ -52,22 +63,63 @@ def _names(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes()) >> 1 for a, b in bounds], np.int64)
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Two bits or more for each shingle, ``BITS`` at least."""
+    width = min(max(BITS, 1 << (2 * len(h)).bit_length()), MOST_BITS)
+    flags = np.zeros(width, bool)
+    flags[(h % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap over fewer classes, ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
+def may_link(n: int, bits: bytes, m: int, other: bytes) -> bool:
+    """Whether two sets can overlap enough: a class that only one of them has is a shingle that
+    only it has."""
+    size = min(len(bits), len(other))
+    x, y = fold(bits, size), fold(other, size)
+    alone_x = int(np.bitwise_count(x & ~y).sum())
+    alone_y = int(np.bitwise_count(y & ~x).sum())
+    shared = min(n - alone_x, m - alone_y)
+    return DENOMINATOR * shared >= NUMERATOR * (n + m - shared)
+
+
 def describe(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, n_shingles, set)`` per row."""
+    """``(key, n_shingles, set, bits)`` per row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             h, starts = shingles.sets(batch.column(1))
+            own = [bitmap(h[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(starts)), pa.array(_names(h, starts))],
-                names=[key, "n_shingles", "set"],
+                [batch.column(0), pa.array(np.diff(starts)), pa.array(_names(h, starts)), pa.array(own, pa.binary())],
+                names=[key, "n_shingles", "set", "bits"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, set long")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, set long, bits binary")
+
+
+def frequent(df: DataFrame, key: str, text: str) -> np.ndarray:
+    """Shingles of many sets of a sample, ordered by hash; ``MOST_FREQUENT`` at most."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            h, starts = shingles.sets(batch.column(0))
+            names = np.repeat(_names(h, starts), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names)], names=["h", "set"])
 
-def shared_prefixes(df: DataFrame, text: str) -> DataFrame:
+    rows = sample(df, key, SAMPLE_ROWS).select(text).mapInArrow(run, "h long, set long")
+    # Few shingles are frequent; equal sets count once.
+    counted = rows.groupBy("h").agg(F.approx_count_distinct("set").alias("c")).filter(F.col("c") >= OFTEN)
+    found = [r.h for r in counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def shared_prefixes(df: DataFrame, text: str, late: np.ndarray) -> DataFrame:
     """``(h, n, set)``: prefix shingles that at least two sets hold, with the sets' sizes,
     ordered within its files by shingle, size and set. A task sends a set once."""
 
@@ -76,6 +128,9 @@ def shared_prefixes(df: DataFrame, text: str) -> DataFrame:
         for batch in slices(batches, text):
             h, starts = shingles.sets(batch.column(0))
             names, size = _names(h, starts), np.diff(starts)
+            if len(late):
+                last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                h = h[np.lexsort((h, last, np.repeat(np.arange(len(size)), size)))]
             new = np.zeros(len(size), bool)
             for i, name in enumerate(names.tolist()):
                 if size[i] and name not in sent:
@@ -153,21 +208,19 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """``(set, n, bits)``: which of ``BITS`` classes of shingles a set holds."""
+def compared(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose bitmaps allow enough overlap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            h, starts = shingles.sets(batch.column(1))
-            size = np.diff(starts)
-            flags = np.zeros((len(size), BITS), bool)
-            flags[np.repeat(np.arange(len(size)), size), (h % np.uint64(BITS)).astype(np.int64)] = True
-            packed = np.packbits(flags, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["set", "bits"]
-            )
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")))
+            keep = [may_link(*r) for r in rows]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return texts.select("set", "text").mapInArrow(run, "set long, bits binary")
+    left = bits.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = bits.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 class SignatureTree:
@@ -218,7 +271,8 @@ def candidates(x: SignatureTree, y: SignatureTree) -> tuple[np.ndarray, np.ndarr
                 part.append(part[-1])
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        ok = possible(x, y, level, i, j)
+        parts = np.array_split(np.arange(len(i)), len(i) // PAIRS + 1)
+        ok = np.concatenate([possible(x, y, level, i[p], j[p]) for p in parts])
         i, j = i[ok], j[ok]
         if level == 0 or not len(i):
             break
@@ -247,9 +301,12 @@ def tree_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
         block = table.column("block").to_numpy()
         sets = table.column("set").to_numpy()
         n, part = table.column("n").to_numpy().astype(np.int64), table.column("part").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(sets), -1)
+        own = dict(zip(sets.tolist(), zip(n.tolist(), table.column("bits").to_pylist())))
+        raw = np.array([fold(own[s][1], BITS // 8) for s in sets.tolist()])
         trees = [SignatureTree(sets[m], n[m], part[m], raw[m]) for m in (block == b for b in np.unique(block))]
         a, b = candidates(trees[0], trees[-1])
+        keep = [may_link(*own[i], *own[j]) for i, j in zip(a.tolist(), b.tolist())]
+        a, b = a[np.array(keep, bool)], b[np.array(keep, bool)]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     # Of shingles that the same sets hold, one is enough.
@@ -267,7 +324,7 @@ def tree_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
         "h", "n", "set", "part", "block",
         F.least("block", "_other").alias("_i"), F.greatest("block", "_other").alias("_j"),
     )
-    return meets.join(bits, "set").groupBy("h", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+    return meets.join(bits.select("set", "bits"), "set").groupBy("h", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
 
 
 def linked(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -280,21 +337,36 @@ def linked(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     rows = stored(describe(docs, "_key", "text"), "sets")
     usable = docs.filter("_key is not null")
-    shared = stored(shared_prefixes(usable, "text"), "shared")
-    involved = shared.select("set").distinct()
-    first = rows.filter("_key is not null").groupBy("set").agg(F.min("_key").alias("_key")).join(involved, "set")
-    # One text for each set that shares a shingle; several rows may have the key of a set.
-    same_key = docs.join(first, "_key").select("set", "text")
-    texts = stored(_checked(same_key).groupBy("set").agg(F.first("text").alias("text")), "texts")
-    links = stored(verify(neighbours(shared), texts), "near")
+    late = frequent(usable, "_key", "text")
+    shared = stored(shared_prefixes(usable, "text", late), "shared")
+    usable_rows = rows.filter("_key is not null and n_shingles > 0")
+    first = usable_rows.groupBy("set").agg(
+        F.min("_key").alias("_key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")
+    )
+    bits = first.select("set", "n", "bits")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are links. Only the texts of their sets are carried along."""
+        pairs = stored(pairs, name)
+        some = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        keys = first.select("set", "_key").join(some, "set")
+        keys = stored(keys, f"{name}-keys")
+        if keys.count() <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        # Several rows may have the key of a set.
+        texts = _checked(docs.join(keys, "_key").select("set", "text"))
+        texts = stored(texts.groupBy("set").agg(F.first("text").alias("text")), f"{name}-texts")
+        return stored(verify(pairs, texts), f"{name}-links")
+
+    links = confirmed(compared(neighbours(shared), bits), "near")
     known = components(links)
     groups = shared.join(known.withColumnRenamed("node", "set"), "set", "left").select(
         "h", "n", "set", F.coalesce("component", "set").alias("part")
     )
-    more = stored(verify(tree_pairs(stored(groups, "groups"), bitmaps(texts)), texts), "far")
+    more = confirmed(tree_pairs(stored(groups, "groups"), bits), "far")
     found = components(links.unionByName(more)) if not more.isEmpty() else known
     member = rows.join(found.withColumnRenamed("node", "set"), "set", "left").select(
-        "_key", "n_shingles", "set", F.coalesce("component", "set").alias("_c")
+        "_key", "n_shingles", F.coalesce("component", "set").alias("_c")
     )
     least = member.filter("_key is not null and n_shingles > 0").groupBy("_c").agg(F.min("_key").alias("_least"))
     return member.join(least, "_c", "left").select(
@@ -313,3 +385,19 @@ def _checked(texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(_names(h, starts) == batch.column(0).to_numpy()))
 
     return texts.mapInArrow(run, "set long, text string")
+
+
+def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df``, with all their columns, but of each component only the one with the
+    smallest key. Rows without words or without a key stay; of rows that share a kept key, one
+    with words stays."""
+    found = stored(linked(df, key, text), "linked")
+    gone = stored(found.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    kept = df.join(gone, key, "left_anti").select(*df.columns)
+    with_words = found.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
+    if with_words.groupBy(key).count().filter("count > 1").isEmpty():
+        return kept
+    words = F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col(key).isNotNull()
+    return kept.filter(words).dropDuplicates([key]).unionByName(kept.filter(~words))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import sample, slices
 
 # Kinds in their order, and the patterns that find them.
 KINDS = ("email", "ip", "card", "phone")
@@ -169,15 +169,6 @@ class Model:
     pairs: np.ndarray  # kind of edge x LABELS x LABELS, as logarithms
 
 
-def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of the key; twice as many at most."""
-    total = df.count()
-    if total <= rows:
-        return df
-    share = int(rows / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).limit(2 * rows)
-
-
 def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> Model:
     """Learn from what the fixed patterns find in about ``rows`` rows of ``df``.
 
