@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -23,6 +23,31 @@ def eligible(providers: DataFrame) -> DataFrame:
     )
 
 
+def with_profile(slots: DataFrame, saved: DataFrame, owner: str) -> DataFrame:
+    """``slots`` (owner, provider, ...) with endpoint, model and key reference as saved
+    for (owner, provider), blank or missing values being the provider's defaults. A provider
+    that has none keeps nulls; of repeated saved rows the greatest value counts."""
+    defaults = slots.sparkSession.createDataFrame(
+        [(name, endpoint, model) for _, name, endpoint, model in P.PROVIDERS],
+        "provider string, _endpoint string, _model string",
+    )
+
+    def filled(c: str) -> Column:
+        return F.when(~X.is_blank(F.col(c)), X.trim_low(F.col(c)))
+
+    own = saved.groupBy(owner, "provider").agg(
+        *[F.max(filled(c)).alias(c) for c in ("endpoint", "model", "api_key_ref")]
+    )
+    joined = slots.join(own, [owner, "provider"], "left")
+    known = joined.join(F.broadcast(defaults), "provider", "left")  # five rows
+    return known.select(
+        *slots.columns,
+        F.coalesce("endpoint", "_endpoint").alias("endpoint"),
+        F.coalesce("model", "_model").alias("model"),
+        F.coalesce("api_key_ref", F.lit("")).alias("api_key_ref"),
+    )
+
+
 def provider_order(profiles: DataFrame, group: str, free_only: bool, allow_paid: bool) -> DataFrame:
     """Profiles of a user in call order: local first, then by rank, the
     first of equal (name, model, key) entries, paid ones only when allowed.

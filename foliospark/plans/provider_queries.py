@@ -129,7 +129,7 @@ def retry_delay(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "endpoint_normalize", "P19,P20,P47,S15,J16",
+    "endpoint_normalize", "P19,P20,P47,S15",
     rf"""WITH e AS (SELECT event_id, regexp_replace({S.trim_low('e')}, '/+$', '') AS e FROM (SELECT event_id, {ENDPOINT} AS e FROM events)),
         n AS (SELECT event_id, CASE WHEN ends_with(e, '/responses') OR ends_with(e, '/chat/completions') THEN e ELSE e || '/responses' END AS endpoint FROM e)
         SELECT event_id, endpoint,
@@ -372,3 +372,41 @@ def prompt_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("conv_id", "turn", F.explode_outer("items").alias("x")).select(
         "conv_id", "turn", "x.id", X.content_hash(F.col("x.source")).alias("source_hash")
     )
+
+
+_NAMES = [name for _, name, _, _ in P.PROVIDERS] + [P.CUSTOM_PROVIDER]
+
+
+def _name_sql(number: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES))
+    return f"CASE {number} {cases} END"
+
+
+_DEFAULTS = ", ".join(f"('{name}', '{endpoint}', '{model}')" for _, name, endpoint, model in P.PROVIDERS)
+
+
+@query(
+    "profile_lookup", "J16",
+    f"""WITH s AS (SELECT s_suppkey AS owner, {_name_sql("s_suppkey % 6")} AS provider,
+               CASE WHEN s_suppkey % 4 > 0 THEN 'https://host' || s_suppkey || '/v1' END AS endpoint,
+               CASE WHEN s_suppkey % 3 > 0 THEN 'model-' || s_nationkey END AS model, 'key-' || s_suppkey AS api_key_ref FROM supplier),
+        d(provider, endpoint, model) AS (VALUES {_DEFAULTS}),
+        c AS (SELECT event_id, user_id AS owner, {_name_sql("event_id % 6")} AS provider FROM events)
+        SELECT c.event_id, c.provider, coalesce(s.endpoint, d.endpoint) AS endpoint, coalesce(s.model, d.model) AS model,
+               coalesce(s.api_key_ref, '') AS api_key_ref
+        FROM c LEFT JOIN s ON s.owner = c.owner AND s.provider = c.provider LEFT JOIN d ON d.provider = c.provider""",
+)
+def profile_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The profile that each call of the log would use; a third of the saved models and a
+    quarter of the endpoints are blank."""
+    key = F.col("s_suppkey")
+    saved = table(spark, d, "supplier").select(
+        key.alias("owner"), F.expr(_name_sql("s_suppkey % 6")).alias("provider"),
+        F.when(key % 4 > 0, F.concat(F.lit(" https://host"), key, F.lit("/v1"))).otherwise(" ").alias("endpoint"),
+        F.when(key % 3 > 0, F.concat(F.lit("model-"), "s_nationkey")).alias("model"),
+        F.concat(F.lit("key-"), key).alias("api_key_ref"),
+    )
+    slots = table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("owner"), F.expr(_name_sql("event_id % 6")).alias("provider")
+    )
+    return RT.with_profile(slots, saved, "owner").drop("owner")
