@@ -8,7 +8,6 @@ and skips entries whose stored distance rules them out before their own is compu
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -19,12 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Entries of a leaf, and children of an inner node.
-LEAF, FAN = 256, 16
+LEAF, FAN = 1_024, 16
 #: Vectors of a tree and queries that search it in one task.
 BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
 SEED = 7
 #: Distances are roots of integers; this is above their rounding error.
 MARGIN = 1e-6
+#: Bits for the place of a row in its tree; no score.
+SHIFT, NONE = 20, -(1 << 62)
 
 
 class MTree:
@@ -69,49 +70,73 @@ class MTree:
             self.to_center[node] = np.sqrt(((centers - center) ** 2).sum(axis=1))
         return node
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id), ties to the smaller id, without the row whose id is ``own``;
-        and how many distances were computed."""
-        square = float(query @ query)
-        point = np.append(query, 0.0)
-        ids = np.zeros(0, np.int64)
-        scores = np.zeros(0)
-        reach = np.inf  # distance of the k-th best so far
-        first = float(np.sqrt(((self.center[0] - point) ** 2).sum()))
-        heap = [(max(0.0, first - self.radius[0]), 0, first)]
-        computed = 1
-        while heap:
-            least, node, distance = heapq.heappop(heap)
-            if least > reach + MARGIN:
-                break
-            gap = np.abs(distance - self.to_center[node])
-            kids = self.children[node]
+    def _bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves, the distance of each point to their routing objects, and the least distance
+        of what they hold: a page's bound holds for all pages below it."""
+        centers = np.array(self.center)
+        square = (points**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1) - 2 * points @ centers.T
+        far = np.sqrt(np.maximum(square, 0.0))
+        least = np.maximum(far - np.array(self.radius), 0.0)
+        for node, kids in enumerate(self.children):  # a node comes before its children
             if kids is not None:
-                radius = np.array([self.radius[c] for c in kids])
-                kids = kids[gap - radius <= reach + MARGIN]
-                centers = np.array([self.center[c] for c in kids]).reshape(len(kids), len(point))
-                far = np.sqrt(((centers - point) ** 2).sum(axis=1))
-                computed += len(kids)
-                for c, d in zip(kids.tolist(), far.tolist()):
-                    bound = max(least, d - self.radius[c], 0.0)
-                    if bound <= reach + MARGIN:
-                        heapq.heappush(heap, (bound, c, d))
-                continue
-            rows = self.rows[node][gap <= reach + MARGIN]
-            computed += len(rows)
-            found = self.vectors[rows] @ query
-            keep = self.ids[rows] != own
-            if len(ids) == k:
-                keep &= found >= scores[-1]
-            if not keep.any():
-                continue
-            ids = np.concatenate([ids, self.ids[rows[keep]]])
-            scores = np.concatenate([scores, found[keep]])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-            if len(ids) == k:
-                reach = float(np.sqrt(max(square + self.limit - 2 * scores[-1], 0.0)))
-        return [(int(s), int(i)) for s, i in zip(scores, ids)], computed
+                least[:, kids] = np.maximum(least[:, kids], least[:, [node]])
+        leaves = np.array([i for i, kids in enumerate(self.children) if kids is None])
+        return leaves, far[:, leaves], least[:, leaves]
+
+    def search(
+        self, queries: np.ndarray, own: np.ndarray, k: int
+    ) -> tuple[list[list[tuple[int, int]]], int]:
+        """The k best (score, id) of each query, ties to the smaller id, without the rows whose
+        id is the query's own; and how many products were computed.
+
+        Every query opens its leaves from the nearest bound up, until the next one is beyond
+        its k-th best. Queries that open the same leaf share one matrix product, in which rows
+        that the stored distances rule out for all of them have no part."""
+        n = len(queries)
+        leaves, far, least = self._bounds(np.column_stack([queries, np.zeros(n)]))
+        order = np.argsort(least, axis=1, kind="stable")
+        square = (queries**2).sum(axis=1)
+        # Score and place among the ids in one number, so that ties are decided by it.
+        place = np.empty(len(self.ids), np.int64)
+        place[np.argsort(self.ids, kind="stable")[::-1]] = np.arange(len(self.ids))
+        best = np.full((n, k), NONE)
+        reach = np.full(n, np.inf)
+        computed = 0
+        for step in range(len(leaves)):
+            at = order[:, step]
+            live = np.flatnonzero(least[np.arange(n), at] <= reach + MARGIN)
+            if not len(live):
+                break
+            for leaf in np.unique(at[live]):
+                some = live[at[live] == leaf]
+                gap = np.abs(far[some, leaf][:, None] - self.to_center[leaves[leaf]])
+                use = (gap <= reach[some][:, None] + MARGIN).any(axis=0)
+                rows = self.rows[leaves[leaf]][use]
+                found = (queries[some] @ self.vectors[rows].T).astype(np.int64)
+                computed += found.size
+                found = (found << SHIFT) + place[rows]
+                found[own[some][:, None] == self.ids[rows]] = NONE
+                last = best[some].min(axis=1)
+                row, column = np.nonzero(found > last[:, None])
+                if not len(row):
+                    continue
+                # Only what beats a query's k-th best is merged with its best.
+                row = np.concatenate([row, np.repeat(np.arange(len(some)), k)])
+                value = np.concatenate([found[row[: len(column)], column], best[some].ravel()])
+                order_ = np.lexsort((-value, row))
+                row, value = row[order_], value[order_]
+                nth = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+                best[some] = value[nth < k].reshape(len(some), k)
+                last = best[some].min(axis=1)
+                near = np.maximum(square[some] + self.limit - 2.0 * (last >> SHIFT), 0.0)
+                reach[some] = np.where(last == NONE, np.inf, np.sqrt(near))
+        by_place = np.empty(len(self.ids), np.int64)
+        by_place[place] = self.ids
+        best = -np.sort(-best, axis=1)
+        mask = (1 << SHIFT) - 1
+        return [
+            [(v >> SHIFT, int(by_place[v & mask])) for v in row if v != NONE] for row in best.tolist()
+        ], computed
 
 
 def integers(vector: str) -> Column:
@@ -136,7 +161,7 @@ def top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int) -> Data
 
     Rows without a key, and vectors that are null or hold a null or infinite component, take
     no part. A repeated key counts once, with the smallest of its vectors. Short vectors count
-    as filled up with zeros. Scores are exact while they stay below 2 ** 53."""
+    as filled up with zeros. Scores are exact while they stay below 2 ** 43."""
     points = (
         df.select(F.col(key).cast("long").alias("_id"), integers(vector).alias("_v"), queries.alias("_q"))
         .filter("_id is not null and _v is not null")
@@ -151,7 +176,7 @@ def top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int) -> Data
             table.column("_id").to_numpy().astype(np.int64), _matrix(lists, max(map(len, lists)))
         )
         return pa.table(
-            {"_tree": pa.array([pickle.dumps(tree)], pa.binary())}
+            {"_tree": pa.array([pickle.dumps(vars(tree))], pa.binary())}
         )
 
     def pack(table: pa.Table) -> pa.Table:
@@ -164,13 +189,14 @@ def top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int) -> Data
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, asked in zip(batch.column(0), batch.column(1)):
-                tree = pickle.loads(tree.as_py())
+                state, tree = pickle.loads(tree.as_py()), MTree.__new__(MTree)
+                vars(tree).update(state)
                 keys, lists = pickle.loads(asked.as_py())
                 width = tree.vectors.shape[1]
-                out: list[tuple[int, int, int]] = []
                 # Components beyond the longest candidate meet zeros.
-                for own, q in zip(keys, _matrix([v[:width] for v in lists], width).astype(float)):
-                    out += [(own, i, s) for s, i in tree.search(q, own, k)[0]]
+                asked = _matrix([v[:width] for v in lists], width).astype(float)
+                found, _ = tree.search(asked, np.array(keys), k)
+                out = [(own, i, s) for own, row in zip(keys, found) for s, i in row]
                 a, b, c = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in (a, b, c)], names=["query_id", "vec_id", "score"]
