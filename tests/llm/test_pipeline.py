@@ -67,8 +67,19 @@ def test_odd_rows(spark):
                 assert got.columns == docs.columns
 
 
-def test_run(spark):
+def test_run_hands_each_stage_what_the_one_before_kept(spark, monkeypatch):
+    seen = []
+
+    def stage(low):
+        def keep(spark, docs, sf_dir):
+            seen.append(docs.count())
+            return docs.filter(f"doc_id >= {low}")
+
+        return keep
+
+    stages = [("first", stage(50)), ("second", stage(120)), corpus_pipeline.STAGES[-1]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     got = corpus_pipeline.run(spark, SF_DIR)
     assert got.columns == ["doc_id", "n_tokens", "ids", "exact"]
     rows = got.collect()
-    assert 50 < len(rows) < 200 and all(r.exact for r in rows)
+    assert seen == [200, 150] and len(rows) == 80 and all(r.exact for r in rows)
