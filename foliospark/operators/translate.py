@@ -132,7 +132,10 @@ def batch_prompts(batched: DataFrame, keys: list[str]) -> DataFrame:
     return batched.groupBy(*keys).agg(F.concat(F.lit(BATCH), body).alias("prompt"))
 
 
-def batch_candidates(batched: DataFrame, keys: list[str], translator: Translator, contexts: DataFrame | None = None) -> DataFrame:
+def batch_candidates(
+    batched: DataFrame, keys: list[str], translator: Translator,
+    contexts: DataFrame | None = None, in_flight: int | None = None,
+) -> DataFrame:
     """(id, candidate) for the units a batch answer covers with intact markup.
     A batch that fails gives no rows and leaves its units to the single-unit rounds."""
     prompts = batch_prompts(batched, keys)
@@ -143,7 +146,7 @@ def batch_candidates(batched: DataFrame, keys: list[str], translator: Translator
         ).drop("terminology")
     else:
         prompts = prompts.withColumn("context", F.lit(BASE_CONTEXT))
-    answers = durable(ask(prompts, translator))
+    answers = durable(ask(prompts, translator, in_flight=in_flight))
     items = answers.select(
         F.posexplode_outer(R.id_texts(F.col("answer"))).alias("place", "x")
     ).select("place", "x.*")
@@ -170,7 +173,7 @@ def _check(df: DataFrame, answer: Column, step: str) -> DataFrame:
 _KEPT = ("id", "file", "ordinal", "inner", "source_hash", "context", "tokens", "protected")
 
 
-def translate_units(units: DataFrame, translator: Translator, candidates: DataFrame | None = None) -> DataFrame:
+def translate_units(units: DataFrame, translator: Translator, candidates: DataFrame | None = None, in_flight: int | None = None) -> DataFrame:
     """Every unit through the recovery ladder, to a state row each.
 
     Steps: direct for short units, the batch candidate, up to three retries that quote
@@ -195,7 +198,7 @@ def translate_units(units: DataFrame, translator: Translator, candidates: DataFr
     direct_prompt = F.concat(F.lit(DIRECT), "protected")
     short = F.length(X.strip_markup(F.col("inner"))) <= DIRECT_CHARS
     given = pinned(given, {"short": short})
-    first = ask(given.filter("short").withColumn("prompt", direct_prompt), translator)
+    first = ask(given.filter("short").withColumn("prompt", direct_prompt), translator, in_flight=in_flight)
     open_short = settle(_check(first, F.col("answer"), "direct"))
     waiting = given.filter("NOT short").select(*_KEPT, "candidate").unionByName(
         open_short.select(*_KEPT, "candidate")
@@ -210,7 +213,7 @@ def translate_units(units: DataFrame, translator: Translator, candidates: DataFr
     )
     for n in range(1, RETRIES + 1):
         prompt = F.format_string(RETRY, F.coalesce("reason", F.lit("")), F.col("protected"))
-        asked = ask(open_units.select(*_KEPT, prompt.alias("prompt")), translator)
+        asked = ask(open_units.select(*_KEPT, prompt.alias("prompt")), translator, in_flight=in_flight)
         open_units = settle(_check(asked, F.col("answer"), f"retry {n}"))
     sentences = X.split_sentences(F.col("protected"))
     listed = F.transform(
@@ -219,14 +222,14 @@ def translate_units(units: DataFrame, translator: Translator, candidates: DataFr
     many = F.concat(F.lit(SENTENCES), F.array_join(listed, "\n"))
     parts = pinned(open_units.select(*_KEPT), {"sentences": sentences})
     one = F.size("sentences") <= 1
-    asked = ask(parts.withColumn("prompt", F.when(one, direct_prompt).otherwise(many)), translator)
+    asked = ask(parts.withColumn("prompt", F.when(one, direct_prompt).otherwise(many)), translator, in_flight=in_flight)
     answers = F.transform(
         F.from_json(X.json_array_slice(F.col("answer")), "array<string>"), X.trim_low
     )
     whole = (F.size(answers) == F.size("sentences")) & F.forall(answers, lambda s: s != "")
     joined = F.when(one, F.col("answer")).when(whole, F.array_join(answers, " "))
     open_units = settle(_check(asked, joined, "sentences"))
-    last = ask(open_units.select(*_KEPT).withColumn("prompt", direct_prompt), translator)
+    last = ask(open_units.select(*_KEPT).withColumn("prompt", direct_prompt), translator, in_flight=in_flight)
     failed = settle(_check(last, F.col("answer"), "last"))
 
     cols = ["id", "file", "ordinal", "source_hash", "translation", "step", "reason"]
@@ -240,7 +243,7 @@ def translate_units(units: DataFrame, translator: Translator, candidates: DataFr
     return done.unionByName(kept)
 
 
-def translate_pages(units: DataFrame, translator: Translator) -> DataFrame:
+def translate_pages(units: DataFrame, translator: Translator, in_flight: int | None = None) -> DataFrame:
     """(page, unit, source) to (page, text, failed), in three steps.
 
     The page as marked blocks; what is missing as JSON items; what is still missing one
@@ -254,7 +257,7 @@ def translate_pages(units: DataFrame, translator: Translator) -> DataFrame:
         }
     )
     marked = pages.withColumn("prompt", F.concat(F.lit(MARKED), R.build_markers(F.col("sources"))))
-    first = durable(ask(marked.select("page", "sources", "context", "prompt"), translator))
+    first = durable(ask(marked.select("page", "sources", "context", "prompt"), translator, in_flight=in_flight))
     n = F.size("sources")
     got = pinned(first, {"texts": R.parse_markers(F.col("answer"), n)})
     complete = F.size(F.array_except(F.sequence(F.lit(0), n - 1), F.map_keys("texts"))) == 0
@@ -266,7 +269,7 @@ def translate_pages(units: DataFrame, translator: Translator) -> DataFrame:
         lambda s, i: F.to_json(F.struct(i.cast("string").alias("id"), s.alias("source"))),
     )
     as_json = F.concat(F.lit(BATCH), F.array_join(lines, "\n"))
-    second = durable(ask(rest.withColumn("prompt", as_json), translator))
+    second = durable(ask(rest.withColumn("prompt", as_json), translator, in_flight=in_flight))
     none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
     parsed = pinned(second, {"texts": F.coalesce(R.parse_items(F.col("answer"), n), none)})
     missing = F.array_except(F.sequence(F.lit(0), n - 1), F.map_keys("texts"))
@@ -277,7 +280,8 @@ def translate_pages(units: DataFrame, translator: Translator) -> DataFrame:
         F.struct(F.lit("0").alias("id"), F.get("sources", F.col("unit")).alias("source"))
     )
     asked = ask(
-        single.select("page", "unit", "context", F.concat(F.lit(BATCH), item).alias("prompt")), translator
+        single.select("page", "unit", "context", F.concat(F.lit(BATCH), item).alias("prompt")), translator,
+        in_flight=in_flight,
     )
     third = durable(asked)
     texts = third.select(
