@@ -118,6 +118,10 @@ def _windows_of(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lists), np.uint8), np.concatenate(([0], np.cumsum(size)))
 
 
+def digest(seg: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
+
+
 def least_keys(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
     """For each group of (segment, key), and each segment: the least key of each window among
     the group's segments. One suffix array for each group, all sorted side by side."""
@@ -201,40 +205,54 @@ def _small_groups(segs: list[tuple[bytes, int, int]]) -> list[tuple[list[tuple[b
 
 def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows ``(h, at, seg, low, high, block)`` ordered by (h, at, seg), to rows
-    ``(block, h, seg, runs)``: for each block whose greatest key is above the least key of some
-    window of the segment, the keys as runs of (windows, key)."""
-    out: list[tuple[int, int, int, bytes]] = []
+    ``(block, h, seg, least, runs)``: for each block whose greatest key is above the least key
+    of some window of the segment, that key, and where windows differ, their keys as runs of
+    (windows, key). ``h`` is the upper half of the hash, ``seg`` a digest of the segment.
+
+    Where all segments of an anchor are equal there is nothing to sort."""
+    out: list[tuple] = []
     waiting: list[tuple[int, list, list]] = []  # (hash, segments, rows of each)
     size = 0
 
     def flush():
         nonlocal waiting, size
         groups, origin = [], []
+        found: list[list[np.ndarray]] = []
         for n, (_, segs, _) in enumerate(waiting):
+            if len(segs) == 1:
+                found.append([])
+                continue
+            found.append([np.full(len(s) - LENGTH + 1, LAST) for s, _, _ in segs])
             for g, place in _small_groups(segs):
+                if len(g) == 1:  # equal to nothing but itself
+                    for i, w in place[0]:
+                        found[n][i][w : w + len(g[0][0]) - LENGTH + 1] = g[0][1]
+                    continue
                 groups.append(g)
                 origin.append((n, place))
-        found = [[np.full(len(s) - LENGTH + 1, LAST) for s, _, _ in segs] for _, segs, _ in waiting]
         for (n, place), own in zip(origin, least_keys(groups) if groups else []):
             for places, keys in zip(place, own):
                 for i, w in places:
                     found[n][i][w : w + len(keys)] = keys
         for (h, segs, rows), keys in zip(waiting, found):
-            for (seg, _, _), own, blocks in zip(segs, keys, rows):
-                least = int(own.min())
-                cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                runs = np.stack([np.diff(np.append(cut, len(own))), own[cut]]).tobytes()
-                name = int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
-                out.extend((block, h, name, runs) for block, high in blocks if high > least)
+            for i, ((seg, _, low), blocks) in enumerate(zip(segs, rows)):
+                least, runs = low, None
+                if keys:
+                    least = int(keys[i].min())
+                    cut = np.flatnonzero(np.concatenate(([True], keys[i][1:] != keys[i][:-1])))
+                    if len(cut) > 1:
+                        size_ = np.diff(np.append(cut, len(keys[i])))
+                        runs = np.stack([size_, keys[i][cut]]).tobytes()
+                if any(high > least for _, high in blocks):
+                    name = digest(seg)
+                    out.extend((block, h >> 32, name, least, runs) for block, high in blocks if high > least)
         waiting, size = [], 0
 
     def write():
-        a, b, c, d = zip(*out)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        arrays = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
         out.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (a, b, c)] + [pa.array(d, pa.binary())],
-            names=["block", "h", "seg", "runs"],
-        )
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "h", "seg", "least", "runs"])
 
     last_h, last_seg = None, None
     for batch in batches:
@@ -401,26 +419,22 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
                 (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))}})
         keys, texts = _keys(left.column("key").combine_chunks()), left.column("text").combine_chunks()
         runs = {
-            (h, seg): np.frombuffer(r, np.int64).reshape(2, -1)
-            for h, seg, r in zip(*(right.column(c).to_pylist() for c in ("h", "seg", "runs")))
+            seg: (least, r) for seg, least, r in zip(*(right.column(c).to_pylist() for c in ("seg", "least", "runs")))
         }
-        hashes = np.unique(np.array([h for h, _ in runs], np.int64))
+        hashes = np.unique(right.column("h").to_numpy())
         whole, begin = utf8(texts)
         mark = np.zeros(len(whole) + 1, np.int32)
         for row, raw, shift, (h, text_of, first, last, _) in _parts(texts) if runs else ():
-            h = h.view(np.int64)
-            some = np.flatnonzero(np.isin(h, hashes))
+            some = np.flatnonzero(np.isin((h.view(np.int64) >> 32).astype(np.int32), hashes))
             data = raw.tobytes()
             base = int(begin[row]) + shift
-            for hh, k, a, b in zip(
-                h[some].tolist(), keys[row + text_of[some]].tolist(), first[some].tolist(), last[some].tolist()
-            ):
-                seg = hashlib.blake2b(data[a : b + LENGTH], digest_size=8).digest()
-                own = runs.get((hh, int.from_bytes(seg, "little", signed=True)))
-                if own is None:
+            for k, a, b in zip(keys[row + text_of[some]].tolist(), first[some].tolist(), last[some].tolist()):
+                least, cut = runs.get(digest(data[a : b + LENGTH]), (k, None))
+                if least >= k:
                     continue
                 at = base + a
-                for count, least in own.T.tolist():
+                parts = [(b - a + 1, least)] if cut is None else np.frombuffer(cut, np.int64).reshape(2, -1).T.tolist()
+                for count, least in parts:
                     if least < k:
                         mark[at] += 1
                         mark[at + count - 1 + LENGTH] -= 1
@@ -451,7 +465,7 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     ordered = found.repartition("h").sortWithinPartitions("h", "at", "seg")
     least = stored(
-        ordered.mapInArrow(classes, "block long, h long, seg long, runs binary"), "classes"
+        ordered.mapInArrow(classes, "block long, h int, seg long, least long, runs binary"), "classes"
     )
     result = by_block.cogroup(least.groupBy("block")).applyInArrow(
         remove,
