@@ -76,7 +76,7 @@ def translate_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "book_job", "C6,C3,C4,J1,J2,J4,K2,K3,A12",
-    f"""WITH {S.UNITS},
+    rf"""WITH {S.UNITS},
         n AS (SELECT page_id, count(*) FILTER (translatable) AS units FROM units GROUP BY page_id)
         SELECT page_id, sha256(regexp_replace(html, '\s+', '', 'g')) AS content_hash, 0::INTEGER AS misplaced,
                coalesce(units, 0)::BIGINT AS state_rows FROM pages LEFT JOIN n USING (page_id)""",
