@@ -1,8 +1,10 @@
 """Removal of sentence runs that were seen before, anywhere in the corpus.
 
-A run begins at every sentence and takes the fewest sentences that make at least two of them
-and a number of words. Runs are hashed and joined over all texts; every run but the first
-with its hash (smallest key, then earliest place) is removed with all its sentences."""
+A run has at least two sentences and a number of words. The shortest run that begins at each
+sentence and the shortest that ends at each are hashed and joined over all texts; every run but
+the first with its hash (smallest key, then earliest place) is removed with all its sentences.
+Any longer run is covered by these: a sentence too near its end for a run of its own lies in
+the one that ends with it."""
 
 from __future__ import annotations
 
@@ -54,13 +56,14 @@ def pieces(text: str) -> list[tuple[int, int]]:
 def runs(
     text: str, least_sentences: int, least_words: int
 ) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """The sentences, and (hash, first, one past the last sentence) of each run."""
+    """The sentences, and (hash, first, one past the last sentence) of each shortest run that
+    begins or ends at a sentence."""
     import xxhash
 
     spans = pieces(text)
     words = [text[a:b].split() for a, b in spans]
     plain = [" ".join(w) for w in words]
-    found = []
+    places = set()
     end = total = 0
     for first in range(len(spans)):
         if end < first:
@@ -70,9 +73,20 @@ def runs(
             end += 1
         if end - first < least_sentences or total < least_words:
             break
+        places.add((first, end))
+        total -= len(words[first])
+    first = total = 0
+    for end in range(1, len(spans) + 1):
+        total += len(words[end - 1])
+        while end - first > least_sentences and total - len(words[first]) >= least_words:
+            total -= len(words[first])
+            first += 1
+        if end - first >= least_sentences and total >= least_words:
+            places.add((first, end))
+    found = []
+    for first, end in sorted(places):
         value = "\x1e".join(plain[first:end]).encode("utf-8", "surrogatepass")
         found.append((xxhash.xxh3_64_intdigest(value) - (1 << 63), first, end))
-        total -= len(words[first])
     return spans, found
 
 

@@ -57,3 +57,36 @@ def test_given_table(spark):
     assert len(got) == len(rows)
     assert all((r.n_sentences, r.n_removed, r.text) == want[r.doc_id] for r in got)
     assert sum(r.n_removed for r in got) > 100
+
+
+def brute_all(rows, least_sentences=2, least_words=15):
+    """As ``brute``, but runs of every length are looked up."""
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        spans = sentences.pieces(text)
+        words = [tuple(text[a:b].split()) for a, b in spans]
+        off = set()
+        for a in range(len(spans)):
+            for b in range(a + least_sentences, len(spans) + 1):
+                if sum(map(len, words[a:b])) >= least_words:
+                    run = tuple(words[a:b])
+                    if run in seen:
+                        off.update(range(a, b))
+                    seen.add(run)
+        out[key] = "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in off)
+    return out
+
+
+def test_repeated_stretch_goes_to_its_last_sentence(spark):
+    def said(name, n):
+        return " ".join(f"{name}{i}" for i in range(n)) + ". "
+
+    stretch = said("a", 7) + said("b", 5) + said("c", 5)
+    rows = [(1, stretch), (2, stretch), (3, said("x", 9) + stretch + said("y", 9))]
+    rng = random.Random(7)
+    pool = [said(c, rng.randint(1, 7)) for c in "abcdefghijkl"]
+    rows += [(10 + i, "".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentences.dedup(df, "doc_id", "text").collect()}
+    assert got[1] == stretch and got[2] == "" and got[3] == said("x", 9) + said("y", 9)
+    assert got == brute_all(rows)
