@@ -3,7 +3,8 @@ labels to other mentions in the same text.
 
 Nodes are the matches of the patterns and all other words that hold a digit or an at sign.
 Neighbouring nodes share a chain potential; nodes with the same digits or address, or with the
-same last digits, share a skip potential, however far apart they are. Loopy belief propagation
+same last digits, share a skip potential, however far apart they are and however many there are:
+each is joined with a match of the patterns itself. Loopy belief propagation
 runs over the graphs of many texts at once. Matches of the patterns are observed; another node
 becomes a span if its belief in one kind passes one half."""
 
@@ -32,7 +33,12 @@ MARK = re.compile(r"[0-9@]")
 
 LABELS = len(KINDS) + 1  # 0: none of them
 FEATURES = 16
-ROUNDS = 15
+#: Messages of a text that change by less are done.
+SETTLED = 1e-3
+#: Score of what an observed node is not; more than all messages of its repeats together.
+NEVER = -1e9
+#: Loops that never settle end here; a label needs no more than two edges to reach its repeats.
+MOST_ROUNDS = 200
 #: What is added to the counts of labels that meet on an edge.
 PRIOR = 0.1
 #: Rows (as expected, see ``sample``) whose counts the model is fitted to.
@@ -111,6 +117,7 @@ class Graph:
     label: list[int]  # of the fixed patterns; 0: found by none
     bits: list[int]
     edges: list[tuple[int, int, int]]  # kind of edge, node, node
+    pairs: list[tuple[int, int, int]]  # the same, for the counts: each node with the one before
 
 
 def features(word: str, digits: str) -> int:
@@ -126,10 +133,11 @@ def features(word: str, digits: str) -> int:
 
 
 def graph(texts: list[str]) -> Graph:
-    """Chain edges (kind 0) join a node with the next one, skip edges join it with the last
-    node before it that has the same digits or address (1) or the same last digits (2): their
-    number is linear in the text, also where one word is repeated all over."""
-    out = Graph([], [], [], [], [])
+    """Chain edges (kind 0) join a node with the next one if they are not alike, skip edges join nodes that have the
+    same digits or address (1) or the same last digits (2): each with the last match of the
+    patterns before it and the next one behind it, or all with the first node where no pattern
+    matches. Their number is linear in the text, also where one word is repeated all over."""
+    out = Graph([], [], [], [], [], [])
     for number, text in enumerate(texts):
         if not MARK.search(text):
             continue
@@ -143,7 +151,8 @@ def graph(texts: list[str]) -> Graph:
             if a >= reach:
                 nodes.append((a, b, 0))
         nodes.sort()
-        last: dict[tuple[int, str], int] = {}
+        groups: dict[tuple[int, str], list[int]] = {}
+        like: set[tuple[int, str]] = set()
         for k, (a, b, label) in enumerate(nodes):
             word, me = text[a:b], len(out.owner)
             digits = DIGITS.sub("", word)
@@ -152,17 +161,37 @@ def graph(texts: list[str]) -> Graph:
             out.label.append(label)
             out.bits.append(features(word, digits))
             if k:
-                out.edges.append((0, me - 1, me))
+                out.pairs.append((0, me - 1, me))
             keys = [(1, word.casefold())] if "@" in word else [(1, digits)] * (len(digits) > 4)
             if len(digits) > 8 and "@" not in word:
                 keys.append((2, digits[-8:]))
+            if k and not like.intersection(keys):
+                out.edges.append((0, me - 1, me))
+            like = set(keys)
             for key in keys:
-                if (before := last.get(key)) is not None:
-                    out.edges.append((key[0], before, me))
-                last[key] = me
+                groups.setdefault(key, []).append(me)
+        for (kind, _), own in groups.items():
+            out.pairs += [(kind, a, b) for a, b in zip(own, own[1:])]
+            out.edges += [(kind, a, b) for a, b in skips(own, out.label)]
     return out
 
 
+def skips(own: list[int], label: list[int]) -> Iterator[tuple[int, int]]:
+    """Edges of a group of like nodes, none more than two away from any other's label."""
+    if not any(label[i] for i in own):
+        yield from ((own[0], i) for i in own[1:])
+        return
+    before, bare = None, []
+    for i in own:
+        if before is not None:
+            yield before, i
+        if label[i]:
+            yield from ((b, i) for b in bare)
+            before, bare = i, []
+        else:
+            bare.append(i)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # FEATURES x LABELS
@@ -183,7 +212,7 @@ def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> Model:
             g = graph([t or "" for t in batch.column(0).to_pylist()])
             for bits, label in zip(g.bits, g.label):
                 sums[-1, bits, label] = sums.get((-1, bits, label), 0) + 1
-            for kind, a, b in g.edges:
+            for kind, a, b in g.pairs:
                 met = (kind, g.label[a], g.label[b])
                 sums[met] = sums.get(met, 0) + 1
         rows = [(*k, n) for k, n in sums.items()]
@@ -222,13 +251,14 @@ def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def beliefs(g: Graph, model: Model) -> np.ndarray:
-    """Marginals of all nodes by damped loopy message passing over all graphs at once."""
+    """Marginals of all nodes by damped loopy message passing over all graphs at once, each
+    until its own messages stop changing."""
     size = len(g.owner)
     x = (np.array(g.bits)[:, None] >> np.arange(FEATURES)) & 1
     unary = x @ model.weights
     label = np.array(g.label)
     seen = np.flatnonzero(label)
-    unary[seen] = -60.0
+    unary[seen] = NEVER
     unary[seen, label[seen]] = 0.0
     if g.edges:
         edges = np.array(g.edges)
@@ -238,14 +268,22 @@ def beliefs(g: Graph, model: Model) -> np.ndarray:
         back = np.roll(np.arange(len(source)), len(edges))
         potential = model.pairs[kind]
         messages = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        owner = np.array(g.owner)[source]
+        on = np.arange(len(source))
+        for _ in range(MOST_ROUNDS):
             total = unary.copy()
-            np.add.at(total, target, messages)
-            out = (total[source] - messages[back])[:, :, None] + potential
+            np.add.at(total, target[on], messages[on])
+            out = (total[source[on]] - messages[back[on]])[:, :, None] + potential[on]
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            messages = 0.5 * messages + 0.5 * new
+            new = 0.5 * messages[on] + 0.5 * new
+            change = np.zeros(owner.max() + 1)
+            np.maximum.at(change, owner[on], np.abs(new - messages[on]).max(axis=1))
+            messages[on] = new
+            on = on[change[owner[on]] >= SETTLED]
+            if not len(on):
+                break
         np.add.at(unary, target, messages)
     unary -= unary.max(axis=1, keepdims=True)
     p = np.exp(unary)

@@ -92,3 +92,27 @@ def test_label_is_carried_to_a_similar_mention(spark):
     got = {r.doc_id: len(r.spans) for r in pii.find(df, "doc_id", "text", none).collect()}
     assert got[1] in (1, 2) and got[2] == 0
     assert pii.find(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def test_label_reaches_dozens_of_repeats(spark):
+    model = pii.fit(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id", "text")
+    for before, after in ((0, 1), (0, 60), (60, 0), (40, 40), (3, 2000)):
+        for bare in ("then 491701234567 again ", "then 491701234567 costs 55512 of "):
+            text = bare * before + "call +49 170 1234567 now " + bare * after + "or 5551 units"
+            found = pii.spans_of([text, "order 491701234567 of " * 60], model)
+            assert [(KIND_PHONE, i == before) for i in range(before + after + 1)] == [
+                (k, base) for _, k, _, base in found[0]
+            ]
+            assert found[1] == []
+
+
+def test_beliefs_do_not_depend_on_other_texts(spark):
+    model = pii.fit(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id", "text")
+    texts = ["call +49 170 1234567 or 491701234567 " * 5, "7 8 9 " * 50, "", "a@b.cd 17 a@b.cd"]
+    together = pii.beliefs(pii.graph(texts), model)
+    alone = [pii.beliefs(pii.graph([t]), model) for t in texts if t]
+    assert sum(map(len, alone)) == len(together)
+    assert (together == [p for own in alone for p in own]).all()
+
+
+KIND_PHONE = pii.KINDS.index("phone")
