@@ -90,3 +90,20 @@ def test_repeated_stretch_goes_to_its_last_sentence(spark):
     got = {r.doc_id: r.text for r in sentences.dedup(df, "doc_id", "text").collect()}
     assert got[1] == stretch and got[2] == "" and got[3] == said("x", 9) + said("y", 9)
     assert got == brute_all(rows)
+
+
+def test_passages_inside_other_sentences(spark):
+    rng = random.Random(9)
+
+    def said(n):
+        return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+
+    rows = []
+    for i in range(150):
+        passage = said(51)
+        rows += [(2 * i, passage if i % 3 else f"{said(12)} {passage} {said(5)}.")]
+        rows += [(2 * i + 1, f"{said(rng.randint(1, 30))} {passage} {said(rng.randint(0, 30))}.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentences.dedup(df, "doc_id", "text").collect()}
+    assert all(got[i] == t for i, t in rows[::2])
+    assert all(len(t.split()) - len(got[i].split()) >= 15 for i, t in rows[1::2])
