@@ -21,7 +21,12 @@ from .common import slices
 #: Pages (as expected, by a hash of the key) that the weights are learned from.
 SAMPLE_ROWS = 5_000
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: Quotes delimit a value directly behind an equals sign only; elsewhere they are plain.
+TAG = re.compile(
+    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|))*+)>"
+)
+#: A tag that does not parse (a quote that takes the rest of the page) ends at the next ">".
+BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
@@ -100,7 +105,7 @@ def tokens(page: str) -> Iterator[Token]:
                 return
             at = end + 3
             continue
-        m = TAG.match(page, cut)
+        m = TAG.match(page, cut) or BROKEN.match(page, cut)
         if m is None:
             if page[cut + 1] in "!?" or page.startswith("</", cut):
                 end = page.find(">", cut)

@@ -72,3 +72,18 @@ def test_edges(spark, weights):
     assert html.main_text("<p>a b</p>", none) == "a b"
     assert html.extract(df.limit(0), "page_id", "html", none).count() == 0
     assert html.with_text(df, "html", none).columns == df.columns
+
+
+def test_stray_quotes_in_tags(weights):
+    for page, text in (
+        ("<img alt=Bob's><p>all text here</p>", "all text here"),
+        ('<p class="a"">hello</p><p>you</p>', "hello\nyou"),
+        ("<img alt=Bob's><p>we don't know</p>", "we don't know"),
+        ("<p it's>one</p><p title='a>b' x = \"c>d\">two</p>", "one\ntwo"),
+        ("<p title=\"a>one</p><p>two</p>", "one\ntwo"),
+        ("<p title='a>one</p><p>it's two", "one\nit's two"),
+        ('<p title=x?a="b>one</p> "two"', 'one\n"two"'),
+    ):
+        assert html.main_text(page, weights) == text
+    for part in ("<a b=\"", "<a b='>", "<a b=\">'", "<a =", "<a b=  "):
+        html.main_text(part * 50_000, weights)
