@@ -172,19 +172,17 @@ def line_items(prompt: Column) -> Column:
     )
 
 
-_DECODER = json.JSONDecoder()
-
-
 def embedded_objects(prompt: str | None) -> list[dict] | None:
     """Objects with id and source anywhere in a text: at each brace one JSON value is read,
     and the search goes on behind it."""
     if prompt is None:
         return None
+    decoder = json.JSONDecoder()  # not at module level: the package is pickled by value
     out = []
     at = prompt.find("{")
     while at >= 0:
         try:
-            item, end = _DECODER.raw_decode(prompt, at)
+            item, end = decoder.raw_decode(prompt, at)
         except (ValueError, RecursionError):
             end = at + 1
         else:
