@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, langid, mtree, pii, sentences, substrings, toxicity
+from . import (
+    bpe, decontaminate, html, jaccard, langid, mtree, pii, pivots, sentences, substrings, toxicity,
+)
 from .common import fold
 
 #: Name -> plan(spark, sf_dir).
@@ -208,3 +210,28 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the 50-byte strings that an earlier text holds; digests."""
     return substrings.dedup(table(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
+
+
+@query
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    return pivots.near_copies(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+
+
+#: Every pair of one label; the operator finds all of them in the given tables.
+SQL["op11_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), r(vec_id, m) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.vec_id
+), c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.vec_id
+"""
