@@ -138,7 +138,9 @@ def near_words(words: DataFrame) -> DataFrame:
     dealt = met.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     keys = ["size", "side", "half", "_block"]
     dealt = dealt.select(*keys, (F.col("_own") == F.col("_block")).alias("_held"), "word", "n")
-    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, F.desc("_held"), "word")
+    # Few bytes, much work: a given number of partitions is not merged by size.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("_held"), "word")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, index = None, None
