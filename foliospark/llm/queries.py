@@ -105,46 +105,33 @@ def op6_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_row")
 
 
-def _seed_sql(words: str, at: str) -> str:
-    """Per mask, the tokens that it keeps as one string, labelled with the mask."""
-    masks = []
-    for mask in decontaminate.MASKS:
-        kept = [f"{words}[{at} + {i}]" for i, m in enumerate(mask) if m == "1"]
-        masks.append(f"'{mask} ' || " + " || ' ' || ".join(kept))
-    return f"unnest([{', '.join(masks)}])"
-
-
-#: All items of the given tables are at least as long as the span; shorter ones are tested
-#: against a brute-force version only.
-SQL["op6_benchmark_overlap"] = rf"""
-WITH d AS (
-  SELECT DISTINCT doc_id, text, list_filter(
-    string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
-  FROM documents
-), b AS (
-  SELECT DISTINCT item_id, text, list_filter(
-    string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
-  FROM benchmark
-), dp AS (SELECT doc_id, text, w, unnest(range(1, len(w) - 10)) AS p FROM d),
-bp AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS q FROM b),
-ds AS (SELECT doc_id, text, w, p, {_seed_sql("w", "p")} AS seed FROM dp),
-bs AS (SELECT item_id, w AS bw, q, {_seed_sql("w", "q")} AS seed FROM bp),
-first AS (
-  SELECT seed, bw[q:q + 11] AS span, min((item_id, q)) AS m FROM bs GROUP BY ALL
-), hit AS (
-  SELECT ds.doc_id, ds.text, ds.w, ds.p, b.item_id, b.w AS bw, first.m[2] AS q
-  FROM ds JOIN first USING (seed) JOIN b ON b.item_id = first.m[1]
+#: Of four parts of three tokens, one is equal in every span with nine of twelve equal tokens, so
+#: equal parts lead to all of them. All items of the given tables are at least as long as the
+#: span; shorter ones are tested against a brute-force version only.
+SQL["op6_benchmark_overlap"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, w, row_number() OVER () AS r FROM (SELECT DISTINCT doc_id, text, list_filter(
+    string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+), b AS MATERIALIZED (
+  SELECT min(item_id) AS item_id, bw FROM (SELECT item_id, list_filter(
+    string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS bw FROM benchmark)
+  WHERE len(bw) >= 5 GROUP BY bw
+), ds AS (SELECT r, x, w[x] || ' ' || w[x + 1] || ' ' || w[x + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS x FROM d)),
+bs AS (SELECT item_id, y, bw[y] || ' ' || bw[y + 1] || ' ' || bw[y + 2] AS g FROM (SELECT *, unnest(range(1, len(bw) - 1)) AS y FROM b)),
+hit AS (
+  SELECT DISTINCT r, item_id, x - o AS p, y - o AS q FROM ds JOIN bs USING (g), (VALUES (0), (3), (6), (9)) AS t(o)
 ), same AS (
-  SELECT doc_id, text, item_id, p - q AS shift,
+  SELECT d.r, doc_id, b.item_id, p - q AS shift,
     len(list_filter(range(0, 12), lambda i: w[p + i] = bw[q + i])) AS agree,
     len(list_filter(range(greatest(-12, 1 - p, 1 - q), least(24, len(w) - p + 1, len(bw) - q + 1)),
       lambda i: w[p + i] = bw[q + i])) AS around,
     least(24, len(w) - p + 1, len(bw) - q + 1) - greatest(-12, 1 - p, 1 - q) AS seen
-  FROM hit
+  FROM hit JOIN d ON d.r = hit.r JOIN b ON b.item_id = hit.item_id
+  WHERE p >= 1 AND q >= 1 AND p + 11 <= len(w) AND q + 11 <= len(bw)
 )
 SELECT doc_id, item_id, count(DISTINCT shift) AS n_places,
   max((around, seen))[1] AS best_agree, max((around, seen))[2] AS best_seen
-FROM same WHERE agree >= 9 GROUP BY doc_id, text, item_id
+FROM same WHERE agree >= 9 GROUP BY doc_id, r, item_id
 """
 
 
