@@ -87,3 +87,90 @@ def test_stray_quotes_in_tags(weights):
         assert html.main_text(page, weights) == text
     for part in ("<a b=\"", "<a b='>", "<a b=\">'", "<a =", "<a b=  "):
         html.main_text(part * 50_000, weights)
+
+
+TEXT = "some words of a story that goes on for quite a while"
+#: Pages made by hand (``#`` stands for the article's text, ``@`` for words that do not belong),
+#: and what is to be left of them.
+HAND_MADE = [
+    ('<script src="a.js"/><p>#</p>', "#"),
+    ('<script src="a.js"/></script><p>#</p>', "#"),
+    ('<script src="a.js"/><p>#</p><script>x()</script>', "#"),
+    ("<title/><article><p>#</p></article>", "#"),
+    ("<title/>T</title><article><p>#</p></article>", "#"),
+    ('<div class="content has-sidebar"><article><p>#</p></article></div>', "#"),
+    ('<div class="content has-sidebar"><article><p>#</p></article><div class="sidebar">@</div></div>', "#"),
+    ('<div class="no-comments"><p>#</p></div>', "#"),
+    ('<form id=aspnetForm><div><p>#</p></div></form>', "#"),
+    ('<form id=aspnetForm><div><p>#</p></div><div class="footer">@</div></form>', "#"),
+    ('<div class="social-science"><p>#</p></div><p>#</p>', "#\n#"),
+    ('<div class="ad-hoc"><p>#</p></div><p>#</p>', "#\n#"),
+    ('<p>#</p><div class="share-buttons">@</div>', "#"),
+    ('<p>#</p><div class="comment-17"><p>@</p></div>', "#"),
+    ('<div class="site-header"><p>@</p></div><p>#</p>', "#"),
+    ('<div id="post__comments--list">@</div><p>#</p>', "#"),
+    ("<body><nav><a href=x>@</a><article><p>#</p></article></body>", "#"),
+    ("<body><nav><a href=x>@</a></nav><article><p>#</p></article></body>", "#"),
+    ("<main><article><p>#</p></article><div class=comments><article><p>@</p></article></div></main>", "#"),
+    ("<article><p>#</p></article><aside><article><p>@</p></article></aside>", "#"),
+    ('<p class="ad">@<p>#', "#"),
+    ('<ul><li class="share">@<li>#</ul>', "#"),
+    ('<ul><li class="share"><ul><li>@</ul><li>#</ul>', "#"),
+    ('<dl><dt class="ad">@<dd>#</dl>', "#"),
+    ('<table><tr><td class="ad">@<td>#</table>', "#"),
+    ('<table><thead class="menu"><tr><th>@<tbody><tr><td>#</table>', "#"),
+    ('<table><tr class="ad"><td>@<td>@<tr><td>#</table>', "#"),
+    ('<p class="ad">@<div>#</div>', "#"),
+    ('<div><p>#</p><div class="notice"><div><p>@</div></div><p>#</p></div>', "#\n#"),
+    ("<article><h1>#</h1><header>@</header><p>#</div></p><footer>@</footer></article>", "#\n#"),
+    ("<article><p>#<p><b>#</article><footer>@", "#\n#"),
+    ("<p>#</p><footer>@", "#"),
+    ("<article><p>#</p><form>@</form><select><option>@<option>@</select><p>#</article>", "#\n#"),
+    ("<x-app><y-part><p>#</p></y-part></x-app>", "#"),
+]
+
+
+@pytest.mark.parametrize("page,want", HAND_MADE)
+def test_hand_made_pages(weights, page, want):
+    def fill(x):
+        return x.replace("#", TEXT).replace("@", "not of it")
+
+    assert html.main_text(fill(page), weights) == fill(want)
+
+
+@pytest.mark.parametrize("middle,words", [
+    ("<table>" + "<tr><td>cell<td>1</tr>" * 80 + "</table>", 160),
+    ("<figure><img src=x><figcaption>c</figcaption></figure>" * 60, 60),
+    ("<div>" + "<figure><img src=x></figure>" * 60 + "</div>", 0),
+    ("<ul>" + "<li><a href=x>y</a>" * 90 + "</ul>", 90),
+])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_articles_with_tables_stay_whole(weights, middle, words, outer):
+    """The two halves and all between, also where no element marks the article."""
+    text = " ".join([TEXT] * 10)
+    page = f"<body><div><a href=x>menu</a></div><{outer}><p>{text}</p>{middle}<p>{text}</p></{outer}></body>"
+    got = html.main_text(page, weights)
+    assert got.split().count("story") == 20
+    assert len(got.split()) == 2 * len(text.split()) + words + (got.split()[0] == "menu")
+
+
+def test_cost_of_an_element_is_bounded():
+    tokens = html.read("<p>" + "a " * 30 + "<div>" + "<i></i>" * 500 + "</div>" + "b " * 30).tokens
+    weights = html.Weights({"word": 1.0})
+    a, b = html.best_span(tokens, weights)
+    assert sum(t.words for t in tokens[a:b]) == 60
+    weak = html.read("<p>" + "a " * 30 + "<div>" + "<i></i>" * 500 + "</div>" + "b " * 15).tokens
+    a, b = html.best_span(weak, weights)
+    assert sum(t.words for t in weak[a:b]) == 30
+    rng = random.Random(4)
+    for _ in range(300):  # without elements it is the best run
+        tokens = [html.Token("</x" if rng.random() < 0.5 else "word", rng.randint(1, 3)) for _ in range(9)]
+        for t in tokens:
+            t.text = "w" if t.name == "word" else ""
+        assert html.best_span(tokens, weights) == html.best_run([weights.score(t) for t in tokens])
+
+
+def test_given_names_only_reach_the_driver(spark):
+    rows = [(i, f"<article><x{i}>a b</x{i}></article><y{i}>c</y{i}>") for i in range(200)]
+    fitted = html.fit(spark.createDataFrame(rows, "page_id long, html string"), "page_id", "html")
+    assert set(fitted.of) == {"word", "link", "apart", "<article", "</article", "<other", "</other"}
