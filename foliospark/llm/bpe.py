@@ -6,15 +6,20 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, texts_of
 
 #: Pieces whose ids a worker remembers; beyond it the memory is emptied.
-PIECES = 400_000
+PIECES = 60_000
+#: Bytes of text whose pieces are split and merged together; a longer text is read in parts.
+SLICE = 500_000
+#: Pieces of a long text that are held at a time.
+PART_PIECES = 20_000
 #: Longest piece that is remembered, in characters.
 PIECE_CHARS = 64
 
@@ -44,7 +49,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         with open(vocabulary, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
         table = byte_table()
@@ -57,24 +62,34 @@ class Codec:
         self.names = [str(i) for i in range(size)]
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text. Every match of the pattern is merged on its own; pieces met
-        before are not merged again."""
-        pieces = [self.split(t) for t in texts]
-        new = list({p for own in pieces for p in own if p not in self.known})
+    def _merge(self, parts: list[list[str]]) -> Iterator[list[int]]:
+        """Ids of each list of pieces; pieces met before are not merged again."""
+        new = list({p for own in parts for p in own if p not in self.known})
         if len(self.known) + len(new) > PIECES:
             self.known = {}
-            new = list({p for own in pieces for p in own})
+            new = list({p for own in parts for p in own})
         if new:
             coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             self.known.update((p, tuple(c.ids)) for p, c in zip(new, coded))
+            del coded
         get = self.known.__getitem__
-        for own in pieces:
+        for own in parts:
             yield list(chain.from_iterable(map(get, own)))
-        if any(len(p) > PIECE_CHARS for p in new):
-            for p in new:
-                if len(p) > PIECE_CHARS:
-                    del self.known[p]
+        for p in new:
+            if len(p) > PIECE_CHARS:
+                del self.known[p]
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text. Every match of the pattern is merged on its own."""
+        if len(texts) > 1 or len(texts[0]) <= SLICE:
+            yield from self._merge([self.pattern.findall(t) for t in texts])
+            return
+        out: list[int] = []
+        pieces = (m[0] for m in self.pattern.finditer(texts[0]))
+        while part := list(islice(pieces, PART_PIECES)):
+            for ids in self._merge([part]):
+                out += ids
+        yield out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         """Bytes of the ids. A character may be split over several ids, so only the whole
@@ -108,7 +123,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             ids = list(codec.encode(texts_of(batch, text)))
             starts = [codec.starts(i) for i in ids]
             ints = pa.list_(pa.int32())
@@ -142,12 +157,13 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: str, pattern: str) ->
 
 def roundtrip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)``: encodes, then decodes the ids, and
-    keeps only digests, so that ids never leave the task."""
+    keeps only digests, so that ids never leave the task. A null text is an empty one; repeated
+    rows give repeated results."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern)
         sha = hashlib.sha256
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             count, digest, back = [], [], []
             for ids in codec.encode(texts_of(batch, text)):
                 count.append(len(ids))
@@ -169,17 +185,23 @@ def roundtrip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str)
 
 
 def tokens(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
-    """``(key, n_tokens, ids, exact)``: the ids, and whether they decode to the text's bytes."""
+    """``(key, n_tokens, ids, exact)``: the ids, and whether they decode to the text's bytes.
+    A null text is an empty one; repeated rows give repeated results."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary, pattern)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
+            ids, exact = [], []
             texts = texts_of(batch, text)
-            ids = list(codec.encode(texts))
-            exact = [codec.decode_bytes(i) == t.encode() for i, t in zip(ids, texts)]
+            for own, source in zip(codec.encode(texts), texts):
+                exact.append(codec.decode_bytes(own) == source.encode())
+                ids.append(np.array(own, np.int32))
+            size = np.array([len(i) for i in ids], np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())],
+                [batch.column(0), pa.array(size, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))),
+                 pa.array(exact, pa.bool_())],
                 names=[key, "n_tokens", "ids", "exact"],
             )
 
