@@ -26,6 +26,9 @@ SEED = 7
 MARGIN = 1e-6
 #: Bits for the place of a row in its tree; no score.
 SHIFT, NONE = 20, -(1 << 62)
+#: Below this, a product fits beside a place and distances are exact enough.
+SMALL = float(1 << 42)
+LONG = np.iinfo(np.int64)
 
 
 class MTree:
@@ -33,6 +36,8 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.most = float(np.abs(self.vectors).max(initial=0.0))
+        self.whole = vectors if self.most >= 2.0**53 else None  # doubles would round these
         square = (self.vectors**2).sum(axis=1)
         self.limit = float(square.max(initial=0.0))
         self.full = np.column_stack([self.vectors, np.sqrt(self.limit - square)])
@@ -43,7 +48,7 @@ class MTree:
         self.rows: list[np.ndarray | None] = []
         self.to_center: list[np.ndarray] = []  # of each child's routing object, or each row
         self._build(np.arange(len(ids)))
-        del self.rng
+        del self.rng, self.full
 
     def _distances(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.full[rows] - point) ** 2).sum(axis=1))
@@ -93,6 +98,10 @@ class MTree:
         its k-th best. Queries that open the same leaf share one matrix product, in which rows
         that the stored distances rule out for all of them have no part."""
         n = len(queries)
+        most = max(self.most, float(np.abs(queries.astype(np.float64)).max(initial=0.0)))
+        if most * most * (queries.shape[1] + 1) >= SMALL:
+            return self._search_large(queries, own, k), n * len(self.ids)
+        queries = queries.astype(np.float64)
         leaves, far, least = self._bounds(np.column_stack([queries, np.zeros(n)]))
         order = np.argsort(least, axis=1, kind="stable")
         square = (queries**2).sum(axis=1)
@@ -139,6 +148,27 @@ class MTree:
         ], computed
 
 
+    def _search_large(
+        self, queries: np.ndarray, own: np.ndarray, k: int
+    ) -> list[list[tuple[int, int]]]:
+        """The same where products are too large for the distances to tell them apart: all of
+        them, as 64-bit integers, or as Python's where these could overflow. Scores beyond 64
+        bits count as the end of that range."""
+        out = []
+        most = float(np.abs(queries.astype(np.float64)).max(initial=0.0)) * self.most
+        fits = most * queries.shape[1] < 2.0**62
+        vectors = self.vectors.astype(np.int64) if self.whole is None else self.whole
+        if not fits:
+            vectors, queries = vectors.astype(object), queries.astype(object)
+        for query, me in zip(queries, own):
+            found = vectors @ query
+            if not fits:
+                found = np.clip(found, int(LONG.min), int(LONG.max)).astype(np.int64)
+            order = np.lexsort((self.ids, ~found))[: k + 1]
+            out.append([(int(found[i]), int(self.ids[i])) for i in order if self.ids[i] != me][:k])
+        return out
+
+
 def integers(vector: str) -> Column:
     """floor(64 * x) of each component; null if the vector or a component is null or not
     finite."""
@@ -161,7 +191,8 @@ def top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int) -> Data
 
     Rows without a key, and vectors that are null or hold a null or infinite component, take
     no part. A repeated key counts once, with the smallest of its vectors. Short vectors count
-    as filled up with zeros. Scores are exact while they stay below 2 ** 43."""
+    as filled up with zeros. Components and scores beyond 64 bits are cut to the ends of that
+    range."""
     points = (
         df.select(F.col(key).cast("long").alias("_id"), integers(vector).alias("_v"), queries.alias("_q"))
         .filter("_id is not null and _v is not null")
@@ -194,7 +225,7 @@ def top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int) -> Data
                 keys, lists = pickle.loads(asked.as_py())
                 width = tree.vectors.shape[1]
                 # Components beyond the longest candidate meet zeros.
-                asked = _matrix([v[:width] for v in lists], width).astype(float)
+                asked = _matrix([v[:width] for v in lists], width)
                 found, _ = tree.search(asked, np.array(keys), k)
                 out = [(own, i, s) for own, row in zip(keys, found) for s, i in row]
                 a, b, c = zip(*out) if out else ((), (), ())

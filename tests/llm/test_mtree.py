@@ -58,3 +58,21 @@ def test_sql(spark):
     d = "/root/testdata/sf0.001"
     got = queries.op8_top_products(spark, d).toPandas()
     assert difference(got, connect(d).execute(queries.SQL["op8_top_products"]).df()) is None
+
+
+def test_large_values(spark, monkeypatch):
+    """Products beyond 2 ** 42, beyond 2 ** 53, and beyond 64 bits, against Python's integers."""
+    monkeypatch.setattr(mtree, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(5)
+    for scale in (1e3, 1e6, 1e8, 1e16):
+        rows = [(i, [float(x) for x in rng.normal(size=4) * scale]) for i in range(120)]
+        rows += [(200, [1e6, 1.0]), (201, [1e6, 1.0]), (202, [1e6, 0.0]), (240, [1e6, 1.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = mtree.top_k(df, "vec_id", "embedding", df.vec_id % 20 == 0, 20).collect()
+        v = {i: [int(np.floor(64 * x)) for x in r] for i, r in rows}
+        for q in (0, 20, 100, 200, 240):
+            score = {i: sum(x * y for x, y in zip(v[q], v[i])) for i in v if i != q}
+            want = sorted((max(min(s, mtree.LONG.max), mtree.LONG.min), i) for i, s in score.items())
+            own = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
+            want = sorted(((-s, i) for s, i in want))[:20]
+            assert own == [(n + 1, -s, i) for n, (s, i) in enumerate(want)]
