@@ -72,7 +72,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((start, 0, m.end()))
                 free = m.end()
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]  # a part may be very long
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:

@@ -116,3 +116,10 @@ def test_beliefs_do_not_depend_on_other_texts(spark):
 
 
 KIND_PHONE = pii.KINDS.index("phone")
+
+
+def test_very_long_parts():
+    """Parts of an address of more digits than Python reads as one number."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.3") == [(0, 1, 5006)]
+    assert pii.base_spans(f"{zeros}9999.1.2.3") == [] and pii.base_spans("1" * 9000 + ".1.2.3") == []
