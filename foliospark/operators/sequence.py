@@ -20,14 +20,101 @@ from .staging import durable
 ROWS_PER_BLOCK = 65_536
 
 
-def block_width(df: DataFrame, order: str, rows_per_block: int) -> tuple[int, int]:
-    """(lowest value, span) of blocks that hold about ``rows_per_block`` rows.
-
-    ``order`` is a unique integer, so a block never has more rows than its span."""
-    r = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    if not r[2]:
-        return 0, rows_per_block
-    return int(r[0]), max(1, int((r[1] - r[0] + 1) * rows_per_block // r[2]))
+#: Most blocks that splitters make; their list stays below a megabyte at any size of the data.
+MOST_BLOCKS = 65_536
+LAST = np.iinfo(np.int64).max
+
+
+class Even:
+    """Blocks of ``span`` values each, for positions without gaps."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def of(self, value: Column) -> Column:
+        return F.floor(value / F.lit(self.span)).cast("bigint")
+
+    def first(self, block: int) -> int:
+        return block * self.span
+
+    def after(self, block: int) -> int:
+        return (block + 1) * self.span
+
+    def starts(self, values: np.ndarray) -> np.ndarray:
+        return values % self.span == 0
+
+
+class Split:
+    """Blocks between splitters; what lies below the first belongs to block 0."""
+
+    def __init__(self, edges: list[int]):
+        self.edges = edges
+
+    def of(self, value: Column) -> Column:
+        if len(self.edges) == 1:
+            return F.lit(0).cast("bigint")
+        edges = np.array(self.edges, dtype="int64")
+
+        @F.pandas_udf("bigint")
+        def block(values: pd.Series) -> pd.Series:
+            return pd.Series(np.maximum(np.searchsorted(edges, values, side="right") - 1, 0))
+
+        return block(value.cast("bigint"))
+
+    def first(self, block: int) -> int:
+        return self.edges[block]
+
+    def after(self, block: int) -> int:
+        return self.edges[block + 1] if block + 1 < len(self.edges) else LAST
+
+    def starts(self, values: np.ndarray) -> np.ndarray:
+        return np.isin(values, self.edges)
+
+
+def splitters(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> Split:
+    """Blocks of about ``rows_per_block`` neighbouring rows, whatever the values look like.
+
+    Quantiles, which a partial aggregate finds with a bounded error of rank, cut the values;
+    then every block is counted, and one that is still more than twice as large as meant is cut
+    again, with its values taken from its own first one, so that far and near values do not
+    share one scale. Only rows of one single value stay together."""
+    total, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    if not total:
+        return Split([0])
+    split = Split([int(low)])
+    if total <= rows_per_block:
+        return split
+    values = durable(df.select(F.col(order).cast("bigint").alias("v")).filter("v IS NOT NULL"))
+    target = max(rows_per_block, -(-total // MOST_BLOCKS))
+    heavy = {0: (int(total), int(low), int(high))}
+    while heavy:
+        lows = F.create_map(*[F.lit(x) for b, (_, lo, _) in heavy.items() for x in (b, lo)])
+        inside = values.withColumn("b", split.of(F.col("v"))).filter(F.col("b").isin(*heavy))
+        new = set()
+        # One list of quantiles serves all heavy blocks of a round.
+        parts = max(-(-n // target) for n, _, _ in heavy.values()) * 2
+        marks = [i / parts for i in range(1, parts)]
+        above = (F.col("v") - F.element_at(lows, F.col("b").cast("int"))).alias("above")
+        cuts = inside.select("b", above).groupBy("b").agg(
+            F.percentile_approx("above", marks, 4 * parts).alias("q")
+        )
+        for r in cuts.collect():  # at most MOST_BLOCKS numbers
+            n, lo, hi = heavy[r.b]
+            kept = -(-n // target)
+            q = [lo + x for x in r.q]
+            new.update(v for v in q[:: max(len(q) // max(kept * 2 - 1, 1), 1)] if lo < v <= hi)
+            # A value that fills quantiles is cut off on both sides.
+            new.update(v + 1 for v, w in zip(q, q[1:]) if v == w and lo < v + 1 <= hi)
+        before = len(split.edges)
+        split = Split(sorted({*split.edges, *new}))
+        if len(split.edges) == before:
+            break
+        sizes = values.groupBy(split.of(F.col("v")).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        heavy = {
+            r.b: (r.n, r.lo, r.hi)
+            for r in sizes.filter((F.col("n") > 2 * target) & (F.col("hi") > F.col("lo"))).collect()
+        }
+    return split
 
 
 def dense_ordinal(
@@ -36,9 +123,9 @@ def dense_ordinal(
 ) -> DataFrame:
     """0-based position of each row in its key, by the unique integer ``order``.
 
-    Rank inside a block plus the number of rows in earlier blocks of the key."""
-    low, span = block_width(df, order, rows_per_block)
-    blocked = df.withColumn("_blk", F.floor((F.col(order) - low) / F.lit(span)))
+    Rank inside a block plus the number of rows in earlier blocks of the key; a key has at most
+    ``MOST_BLOCKS`` of them."""
+    blocked = df.withColumn("_blk", splitters(df, order, rows_per_block).of(F.col(order)))
     by = [*keys, "_blk"]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     before = F.sum("_n").over(
@@ -111,21 +198,25 @@ def _links(pos: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return nxt, leave
 
 
-def chain(items: DataFrame, key: str, pos: str, reach: str, span: int) -> DataFrame:
+def chain(
+    items: DataFrame, key: str, pos: str, reach: str, blocks: int | Even | Split
+) -> DataFrame:
     """Items on the greedy chain of each key, as (key, pos).
 
     The chain starts at the first item of a key; after an item it goes on with the
     first item whose ``pos`` is at least that item's ``reach``. ``pos`` and ``reach``
     are bigint, (key, pos) is unique and reach > pos. Exact for any data:
 
-    1. each block of ``span`` positions finds where chains through it may leave;
+    1. each block (of so many positions, or between splitters) finds where chains through it
+       may leave;
     2. each block answers where a chain entering at one of those places leaves;
     3. per key, a walk over these answers, a few rows per block, finds the real
        entries;
     4. each block follows the chain from its real entry.
     """
     # rows of a block: items carry a reach, places where a chain enters have reach 0
-    block = F.floor(F.col("p") / F.lit(span)).cast("bigint").alias("b")
+    cut = Even(blocks) if isinstance(blocks, int) else blocks
+    block = cut.of(F.col("p")).alias("b")
     it = items.select(
         F.col(key).alias("k"), F.col(pos).cast("bigint").alias("p"),
         F.col(reach).cast("bigint").alias("r"), F.lit(True).alias("item"),
@@ -153,10 +244,10 @@ def chain(items: DataFrame, key: str, pos: str, reach: str, span: int) -> DataFr
             return keyed(g, e=none, x=none)
         p = g["p"][item]
         _, leave = _links(p, g["r"][item])
-        first = int(g["b"][0]) * span
+        first, after = cut.first(int(g["b"][0])), cut.after(int(g["b"][0]))
         e = np.unique(np.append(g["p"][~item], first))
         at = np.searchsorted(p, e, side="left")
-        out = [leave[i] if i < len(p) else first + span for i in at]
+        out = [leave[i] if i < len(p) else after for i in at]
         return keyed(g, e=e, x=np.array(out, dtype="int64"))
 
     nodes = per_group(
@@ -165,7 +256,7 @@ def chain(items: DataFrame, key: str, pos: str, reach: str, span: int) -> DataFr
 
     def walk(g: Arrays) -> Arrays:
         to = dict(zip(g["e"].tolist(), g["x"].tolist()))
-        heads = g["e"][g["e"] % span == 0]
+        heads = g["e"][cut.starts(g["e"])]
         real, cur = [], int(heads[0])
         while True:
             if cur not in to:  # no block there: enter the next one at its start
