@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import provider as PV
 from ..functions import text as X
-from .sequence import ROWS_PER_BLOCK, block_width, chain
+from .sequence import chain, splitters
+from .staging import durable
 
 HOUR_MS = 60 * 60 * 1000
 
@@ -70,8 +71,8 @@ def cooldown_triggers(calls: DataFrame, provider: str, ts_ms: str, order: str, c
     A failure while the provider is on hold cannot happen, so each trigger hides the
     failures up to its end: a greedy chain over time. Failures of one millisecond
     collapse to the first of them before anything is grouped, which bounds a span of
-    time of one provider however many calls it holds. The span follows from the
-    density of all failures, so it fits even if one provider has most of them."""
+    time of one provider however many calls it holds. The spans lie between splitters of
+    all failures, so they fit even if one provider has most of them or a time is far off."""
     failures = calls.filter(F.col(cooldown) > 0)
     first = failures.groupBy(provider, ts_ms).agg(
         F.min(F.struct(F.col(order).alias("o"), F.col(cooldown).alias("c"))).alias("f")
@@ -79,8 +80,8 @@ def cooldown_triggers(calls: DataFrame, provider: str, ts_ms: str, order: str, c
     spans = first.select(
         provider, ts_ms, (F.col(ts_ms) + F.col("f.c")).alias("until_ms"), F.col("f.o").alias("trigger")
     )
-    _, span = block_width(spans, ts_ms, ROWS_PER_BLOCK)
-    picked = chain(spans, provider, ts_ms, "until_ms", span)
+    spans = durable(spans)
+    picked = chain(spans, provider, ts_ms, "until_ms", splitters(spans, ts_ms))
     return spans.join(picked, [provider, ts_ms], "left_semi")
 
 
@@ -110,3 +111,38 @@ def replay(calls: DataFrame, provider: str, ts_ms: str, order: str, cooldown: st
     )
     joined = calls.withColumn("_h", hour).join(per_hour, [provider, "_h"], "left")
     return joined.withColumn("skipped", F.coalesce(hidden, F.lit(False))).drop("_h", "_holds")
+
+
+def route(calls: DataFrame, group: str, ts_ms: str, order: str, failures: list[str]) -> DataFrame:
+    """``calls`` with the provider that answers each: ``served`` (its place in the
+    list, from 0; null if none does), ``failed`` and ``held`` (providers that failed and that
+    were on hold before).
+
+    ``failures`` has a column for each provider, in call order: null where it would answer a
+    call, else how long this failure keeps it out (0: not at all). A call goes to the first
+    provider that is not on hold, and on to the next one where it fails; (group, ts_ms, order)
+    tells the order of calls.
+
+    The holds depend on one another, but only forwards: what reaches a provider is settled by
+    those before it. So the list is walked once, and the holds of a provider are a chain over
+    the calls that reach it, which blocks of time solve side by side (``cooldown_triggers``);
+    no group is ever in one task."""
+    open_calls = calls.withColumns({
+        "failed": F.lit(0), "held": F.lit(0), "served": F.lit(None).cast("int"),
+    })
+    settled = []
+    for place, failure in enumerate(failures):
+        open_calls = durable(open_calls)
+        seen = replay(open_calls, group, ts_ms, order, failure)
+        answers = ~F.col("skipped") & F.col(failure).isNull()
+        seen = durable(seen.withColumns({
+            "served": F.when(answers, place),
+            "failed": F.col("failed") + F.when(F.col("skipped") | answers, 0).otherwise(1),
+            "held": F.col("held") + F.col("skipped").cast("int"),
+        }).drop("skipped"))
+        settled.append(seen.filter("served IS NOT NULL"))
+        open_calls = seen.filter("served IS NULL")
+    out = open_calls
+    for rows in settled:
+        out = out.unionByName(rows)
+    return out

@@ -83,6 +83,57 @@ def cooldown_replay(spark: SparkSession, d: str) -> DataFrame:
     return replayed.select("user_id", "event_id", "skipped")
 
 
+#: What each of three providers would say to a call; null where it answers.
+_STEPS = (7, 11, 13)
+OUTCOMES = tuple(
+    f"CASE (event_id * {n} + {k}) % 9 WHEN 0 THEN 'HTTP 429 rate limit'"
+    " WHEN 1 THEN 'Provider HTTP 429: quota exceeded, 20 requests per minute' WHEN 2 THEN 'Connection reset by peer'"
+    " WHEN 3 THEN CASE WHEN event_type = 'error' THEN 'Free model requests per day used; add 10 credits' END END"
+    for k, n in enumerate(_STEPS)
+)
+_COSTS = ", ".join(
+    f"CASE WHEN m{k} IS NOT NULL THEN {_SQL_COOLDOWN.replace('(m, ', f'(lower(m{k}), ')} END AS c{k}"
+    for k in range(len(OUTCOMES))
+)
+
+
+@query(
+    "route_calls", "C14,F5,T4",
+    f"""WITH RECURSIVE o AS (
+          SELECT event_id, CASE WHEN user_id % 3 = 0 THEN user_id % 40 ELSE -1 END AS account, epoch_us(ts) // 1000 AS t,
+            {", ".join(f"{o} AS m{k}" for k, o in enumerate(OUTCOMES))} FROM events),
+        c AS MATERIALIZED (SELECT account, event_id, t, {_COSTS},
+          row_number() OVER (PARTITION BY account ORDER BY t, event_id) AS n FROM o),
+        r AS (
+          SELECT DISTINCT account, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::BIGINT AS h0, 0::BIGINT AS h1, 0::BIGINT AS h2,
+            NULL::INTEGER AS served, 0 AS failed, 0 AS held FROM c
+          UNION ALL
+          SELECT account, n, event_id, h0, h1, h2, served, failed, held FROM (
+            SELECT c.account, c.n, c.event_id, r.h0 <= c.t AS a0, a0 AND c.c0 IS NULL AS s0,
+              NOT s0 AND r.h1 <= c.t AS a1, a1 AND c.c1 IS NULL AS s1,
+              NOT s0 AND NOT s1 AND r.h2 <= c.t AS a2, a2 AND c.c2 IS NULL AS s2,
+              CASE WHEN a0 AND c.c0 > 0 THEN c.t + c.c0 ELSE r.h0 END AS h0,
+              CASE WHEN a1 AND c.c1 > 0 THEN c.t + c.c1 ELSE r.h1 END AS h1,
+              CASE WHEN a2 AND c.c2 > 0 THEN c.t + c.c2 ELSE r.h2 END AS h2,
+              CASE WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 END::INTEGER AS served,
+              (a0 AND NOT s0)::INTEGER + (a1 AND NOT s1)::INTEGER + (a2 AND NOT s2)::INTEGER AS failed,
+              (NOT a0)::INTEGER + (NOT s0 AND NOT a1)::INTEGER + (NOT s0 AND NOT s1 AND NOT a2)::INTEGER AS held
+            FROM r JOIN c ON c.account = r.account AND c.n = r.n + 1))
+        SELECT account, event_id, served, failed, held FROM r WHERE event_id IS NOT NULL""",
+)
+def route_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of all calls share one account, and so its holds."""
+    calls = table(spark, d, "events").select(
+        "event_id", F.expr("CASE WHEN user_id % 3 = 0 THEN user_id % 40 ELSE -1 END").alias("account"),
+        F.unix_millis("ts").alias("t"),
+        *[F.expr(o).alias(f"m{k}") for k, o in enumerate(OUTCOMES)],
+    )
+    costs = {f"c{k}": F.when(F.col(f"m{k}").isNotNull(), PV.cooldown_ms(F.col(f"m{k}"))) for k in range(len(OUTCOMES))}
+    calls = calls.select("account", "event_id", "t", *[c.alias(n) for n, c in costs.items()])
+    routed = RT.route(calls, "account", "t", "event_id", list(costs))
+    return routed.select("account", "event_id", "served", "failed", "held")
+
+
 CODE = "CASE event_id % 6 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 403 ELSE 418 END"
 
 
