@@ -43,24 +43,40 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word (A-Z lower-cased; words are cut at white space) and the text it is
-    in. The hash of a word is that of its bytes, the same wherever it stands."""
+def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; words are cut at white space and at the ends of texts."""
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[raw]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     before = np.concatenate(([False], inside[:-1])) & ~edge[:n]
     begin = np.flatnonzero(inside & ~before)
     after = np.concatenate((inside[1:], [False])) & ~edge[1:]
-    end = np.flatnonzero(inside & ~after) + 1
+    return begin, np.flatnonzero(inside & ~after) + 1
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word (A-Z lower-cased) and the text it is in."""
+    begin, end = words(raw, starts)
+    return hashes_of(raw, begin, end, _LOWER), np.searchsorted(starts, begin, side="right") - 1
+
+
+def hashes_of(
+    raw: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray | None = None
+) -> np.ndarray:
+    """A hash of the bytes of each word, the same wherever it stands; ``table`` maps bytes to
+    what they count as."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    n = len(raw)
     length = end - begin
     # The sum of byte * b ** place over a word, by differences of running sums; places count
     # from the end of the word, so that they do not depend on where the word is.
     out = np.zeros(len(begin), np.uint64)
-    value = (_LOWER + np.uint64(1))[raw]
+    table = np.arange(256, dtype=np.uint64) if table is None else table
+    value = (table + np.uint64(1))[raw]
     longest = int(length.max(initial=0))
     if longest <= 64:
         at = begin.copy()
@@ -79,7 +95,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
         down = np.multiply.accumulate(steps)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * down, dtype=np.uint64)))
         out = (total[end] - total[begin]) * powers(n)[end - 1]
-    return mix(out + length.astype(np.uint64)), np.searchsorted(starts, begin, side="right") - 1
+    return mix(out + length.astype(np.uint64))
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Sentence runs against a loop over all texts."""
 
 import random
+import re
 
 from foliospark.llm import queries, sentences
 
@@ -8,24 +9,61 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 def brute(rows, least_sentences=2, least_words=15):
-    """Texts in key order; every run is looked up in a dictionary of its sentences."""
-    seen, out = {}, {}
+    """Texts in key order; runs of every length are looked up in a dictionary of their sentences.
+    Of a longer run that was seen all shorter ones were too, so 60 sentences are long enough."""
+    seen, out = set(), {}
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         spans = sentences.pieces(text or "")
-        words = [text[a:b].split() for a, b in spans]
+        words = [tuple(re.findall(r"[^ \t\n\v\f\r]+", text[a:b])) for a, b in spans]
+        total = [0]
+        for w in words:
+            total.append(total[-1] + len(w))
         off = set()
         for a in range(len(spans)):
-            for b in range(a + least_sentences, len(spans) + 1):
-                if sum(map(len, words[a:b])) >= least_words:
-                    run = tuple(tuple(w) for w in words[a:b])
+            for b in range(a + least_sentences, min(len(spans), a + 60) + 1):
+                if total[b] - total[a] >= least_words:
+                    run = hash(tuple(words[a:b]))
                     if run in seen:
                         off.update(range(a, b))
-                    seen.setdefault(run, (key, a))
-                    break
+                    seen.add(run)
         out[key] = (len(spans), len(off), text and "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in off))
     return out
 
 
+def plain_pieces(text):
+    """Pieces by the definition, word by word."""
+    import numpy as np
+
+    from foliospark.llm import shingles
+
+    spans = [m.span() for m in re.finditer(r"[^ \t\n\v\f\r]+", text)]
+    if not spans:
+        return [(0, len(text))] if text else []
+    sums = []
+    for a, b in spans:
+        raw = np.frombuffer(text[a:b].encode(), np.uint8)
+        sums.append(int(shingles.hashes_of(raw, np.array([0]), np.array([len(raw)]))[0]))
+    cut = {0}
+    sentence = [0]
+    for i in range(1, len(spans)):
+        if "\n" in text[spans[i - 1][1]: spans[i][0]] or text[spans[i - 1][1] - 1] in ".!?":
+            cut.add(i)
+        sentence.append(sentence[-1] + (i in cut))
+    for i in range(len(spans) - sentences.WINDOW + 1):
+        if sentence[i] == sentence[i + sentences.WINDOW - 1]:
+            window = sums[i: i + sentences.WINDOW]
+            cut.add(i + window.index(min(window)) + 1)
+    at = [0] + [spans[i][0] for i in sorted(cut - {0}) if i < len(spans)] + [len(text)]
+    return list(zip(at, at[1:]))
+
+
+def test_pieces_by_definition():
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "bé", "c.", "d!", " ", " ", " ", "\n", "\t ", "  \n\n", "\u00a0", "中"]) for _ in range(rng.randint(0, 120)))
+        assert sentences.pieces(text) == plain_pieces(text)
+
+
 def test_pieces():
     text = "One two. Three!\n\n  Four?? five. " + " ".join(f"w{i}" for i in range(100))
     spans = sentences.pieces(text)
