@@ -7,7 +7,8 @@ bitmap has and another has not bounds what the sets share.
    quarter (prefix filter), so only those are shuffled, and only those that two sets share are
    kept. Equal sets count as one.
 2. Neighbours in the order of size within a shingle are compared first: near copies become
-   components, and most shingles then hold one component only.
+   components, and most shingles then hold one component only. Where they do not, neighbours of
+   different components in other orders are compared, in rounds, as long as these find enough.
 3. In all other shingles' groups, signature trees (pages with OR-ed bitmaps and size ranges)
    are traversed pairwise; pairs of pages that cannot overlap enough are pruned, and the pairs
    of sets that are left are verified.
@@ -31,10 +32,13 @@ from .components import components
 #: The least overlap, as a fraction of the union.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Bits of the trees' bitmaps; those of single sets are folded to it. Both are powers of two.
-BITS, MOST_BITS = 1024, 1 << 18
+BITS, MOST_BITS = 1024, 1 << 15
 #: Shingles of many sets come last in every set's order: those that at least so many sets of a
 #: sample hold, and the most frequent ones of them. The order changes no result.
 SAMPLE_ROWS, OFTEN, MOST_FREQUENT = 20_000, 6, 50_000
+#: Orders in which neighbours are looked for in a round, and the share of the links of the first
+#: round that a round has to find for another one to follow. They change the work, not the result.
+ORDERS, WORTH = 8, 0.05
 #: Pairs of pages that are looked at together.
 PAIRS = 250_000
 #: Keys of texts to be verified that are sent to the tasks; more are shuffled.
@@ -189,6 +193,31 @@ def neighbours(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _several(groups: DataFrame) -> DataFrame:
+    """The rows of shingles that hold more than one component."""
+    mixed = groups.groupBy("h").agg(F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x <> _y")
+    return groups.join(mixed.select("h"), "h")
+
+
+def strangers(groups: DataFrame, number: int) -> DataFrame:
+    """Distinct pairs of sets of different components that follow each other in a shingle, in
+    one of ``ORDERS`` orders, others in each round."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n, s, part = (batch.column(i).to_numpy() for i in range(4))
+            if len(h) < 2:
+                continue
+            ok = (h[1:] == h[:-1]) & (part[1:] != part[:-1]) & near(n[1:].astype(np.int64), n[:-1].astype(np.int64))
+            pair = np.unique(np.stack([s[:-1][ok], s[1:][ok]]).reshape(2, -1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair], names=["a", "b"])
+
+    place = F.xxhash64("set", F.pmod("h", F.lit(ORDERS)), F.lit(number))
+    ordered = groups.select("h", "n", "set", "part", place.alias("_o")).repartition("h").sortWithinPartitions("h", "_o")
+    pairs = ordered.drop("_o").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets do overlap by three quarters."""
 
@@ -363,8 +392,31 @@ def linked(df: DataFrame, key: str, text: str) -> DataFrame:
     groups = shared.join(known.withColumnRenamed("node", "set"), "set", "left").select(
         "h", "n", "set", F.coalesce("component", "set").alias("part")
     )
-    more = confirmed(tree_pairs(stored(groups, "groups"), bits), "far")
-    found = components(links.unionByName(more)) if not more.isEmpty() else known
+    groups = stored(_several(groups), "groups")
+    number, least_links = 0, None
+    while True:
+        new = confirmed(compared(strangers(groups, number), bits), "more")
+        count = new.count()
+        if not count:
+            break
+        links = links.unionByName(new)
+        # Only components are joined on: the links between them are few.
+        name = groups.select("set", "part").distinct()
+        ends = new.join(name.select(F.col("set").alias("a"), F.col("part").alias("x")), "a")
+        ends = ends.join(name.select(F.col("set").alias("b"), F.col("part").alias("y")), "b")
+        merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        groups = groups.join(merged.withColumnRenamed("node", "part"), "part", "left").select(
+            "h", "n", "set", F.coalesce("component", "part").alias("part")
+        )
+        groups = stored(_several(groups), "groups")
+        least_links = WORTH * count if least_links is None else least_links
+        number += 1
+        if count < least_links:
+            break
+    more = confirmed(tree_pairs(groups, bits), "far")
+    found = known
+    if number or not more.isEmpty():
+        found = components(links.unionByName(more))
     member = rows.join(found.withColumnRenamed("node", "set"), "set", "left").select(
         "_key", "n_shingles", F.coalesce("component", "set").alias("_c")
     )
