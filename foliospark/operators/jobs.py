@@ -1,11 +1,15 @@
-"""Whole jobs: a book from its content files and saved state to new files and new state."""
+"""Whole jobs: a book from its content files and saved state to new files and new state, and
+pages in slices that are committed one by one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
+from ..sources import state as SS
+from . import profile as PR
 from . import sequence as SQ
 from . import state as ST
 from . import translate as TR
@@ -39,3 +43,52 @@ def book_job(
     texts = done.select(*place).unionByName(new.filter("status = 'DONE'").select(*place))
     state = ST.merge(once, new.select(*once.columns))
     return U.rebuild(files, "file", "html", texts), state
+
+
+def page_job(
+    units: DataFrame, path: str, translator: TR.Translator, pages_per_slice: int = 1_000,
+    slices: int | None = None, in_flight: int | None = None,
+) -> DataFrame:
+    """Units (file, page, unit, source) to saved pages (file, page, text,
+    failed), resumable.
+
+    A file with a page that has no text at all ends the job before any call is made. Pages that
+    ``path`` holds as finished in the current layout are not asked for again; the others go
+    through the page recovery in slices, in order of file and page, and a slice is committed as
+    a version of its own when it is done, so that a run that dies loses one slice at most.
+    ``slices`` ends a run early. Failed pages keep their source, are marked, and are asked for
+    again by the next run."""
+    spark = units.sparkSession
+    texts = units.groupBy("file", "page").agg(
+        F.max(F.when(~X.is_blank(F.col("source")), F.col("source"))).alias("text")
+    )
+    PR.require_text_layer(PR.page_text_profile(texts, "file", "text")).agg(F.count("*")).collect()
+    finished = SS.read_pages(spark, path).filter(~F.col("failed") & ~X.is_blank(F.col("text")))
+    todo = texts.select("file", "page").join(finished, ["file", "page"], "left_anti")
+    numbered = durable(_numbered(todo, ["file", "page"], "_place"))
+    total = numbered.count()
+    wanted = -(-total // pages_per_slice)
+    for n in range(wanted if slices is None else min(slices, wanted)):
+        low = n * pages_per_slice
+        part = numbered.filter(F.col("_place").between(low, low + pages_per_slice - 1)).select("file", "page")
+        some = units.join(part, ["file", "page"]).withColumn("page", F.struct("file", "page"))
+        pages = TR.translate_pages(some, translator, in_flight=in_flight)
+        SS.write_pages(
+            pages.select("page.file", "page.page", "text", "failed", F.lit(P.LAYOUT_VERSION).alias("layout_version")),
+            path, whole=False,
+        )
+    return SS.read_pages(spark, path)
+
+
+def _numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``rows`` with their place in ``order``, from 0: sorted ranges, the place in the range and
+    the rows in the ranges before, which is a sum over one row for each range."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = durable(ranges.withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(before, F.lit(0)).alias("_before")
+    )
+    placed = ranges.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn(out, F.col("_before") + inside).select(*rows.columns, out)

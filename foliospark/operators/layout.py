@@ -1,14 +1,20 @@
 """Page layout: rows, pieces, paragraphs, ruled tables, flow.
 
-Every operator works per page, a physical sheet with a bounded number of marks. Marks
-are reduced first (glyphs to baselines, gaps to positions) and the order-dependent
-folds run on those small arrays, next to plain joins, windows and aggregates.
+Every operator works per page, a physical sheet with a bounded number of marks. The folds
+that depend on the order of marks run over Arrow batches of pages sorted within a partition,
+in time linear in the marks; the rest is plain joins, windows and aggregates. Coordinates are
+of single precision throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -25,7 +31,7 @@ from ..functions.geometry import (
     unique_floats,
     wrap_lines,
 )
-from .staging import bound, by_page, pinned
+from .staging import bound, by_page, pinned, whole_groups
 
 REGION = (
     "struct<x0:float,x1:float,top:float,bottom:float,verticals:array<float>,horizontals:array<float>>"
@@ -142,50 +148,48 @@ def graphics_tokens(tokens: DataFrame) -> DataFrame:
 # --- rows and pieces ----------------------------------------------------------------------
 
 
+def _floats(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[n].to_numpy().astype(np.float32) for n in names]
+
+
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys, one past the last row of its group."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    cuts = np.append(np.flatnonzero(new), n)
+    return cuts[np.searchsorted(cuts, np.arange(n), side="right")]
+
+
 def row_numbers(glyphs: DataFrame) -> DataFrame:
     """A glyph joins the current row when its baseline is within max(2, 0.28 size)
     of the row's first glyph, in (y, x) order; otherwise it opens the next row.
 
-    Whether a row opens at a baseline depends only on the baseline's sizes and where
-    each first appears, so glyphs are reduced to baselines before the fold, and get
-    their row back by an equi-join on (page, y)."""
-    tol = F.greatest(f32(2), F.col("size") * f32(0.28))
-    sizes = glyphs.groupBy("page", "y", tol.alias("tol")).agg(
-        F.min(F.struct("x", "seq")).alias("first")
-    )
-    baselines = sizes.groupBy("page", "y").agg(
-        F.collect_list(F.struct("tol", "first")).alias("sizes")
-    )
-    per_page = baselines.groupBy("page").agg(
-        F.sort_array(F.collect_list(F.struct("y", "sizes"))).alias("b")
-    )
-    spot = "struct<x:float,seq:bigint>"
-    zero = F.struct(
-        F.lit(-1).alias("row"), F.lit(None).cast("float").alias("at"),
-        F.array().cast(f"array<struct<y:float,row:int,opens:{spot}>>").alias("out"),
-    )
-
-    def step(acc: Column, b: Column) -> Column:
-        outside = F.filter(
-            b["sizes"], lambda s: acc["at"].isNull() | (b["y"] - acc["at"] > s["tol"])
-        )
-        opens = F.array_min(F.transform(outside, lambda s: s["first"])).cast(spot)
-        return F.struct(
-            (acc["row"] + F.when(opens.isNull(), 0).otherwise(1)).alias("row"),
-            F.when(opens.isNull(), acc["at"]).otherwise(b["y"]).alias("at"),
-            F.array_append(
-                acc["out"], F.struct(b["y"].alias("y"), acc["row"].alias("row"), opens.alias("opens"))
-            ).alias("out"),
-        )
-
-    rows = per_page.select(
-        "page", F.explode_outer(F.aggregate("b", zero, step, lambda a: a["out"])).alias("r")
-    ).select("page", "r.y", F.col("r.row").alias("_row"), F.col("r.opens").alias("_opens"))
-    spot_of = F.struct("x", F.col("seq").cast("bigint").alias("seq"))
-    opened = F.coalesce(spot_of >= F.col("_opens"), F.lit(False)).cast("int")
-    return glyphs.join(rows, ["page", "y"]).withColumn("row", F.col("_row") + opened).drop(
-        "_row", "_opens"
-    )
+    One pass over the sorted glyphs of a page: from the first glyph of a row, the next one out
+    of reach is looked for in a few comparisons of arrays. Adds ``row``."""
+    ordered = by_page(glyphs).sortWithinPartitions("page", "y", "x", "seq")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["page"]):
+            y, size = _floats(table, "y", "size")
+            reach = np.maximum(np.float32(2), size * np.float32(0.28))
+            ends = _ends(table["page"].to_numpy())
+            row = np.empty(len(y), np.int32)
+            i, number, end = 0, 0, 0
+            while i < len(y):
+                number = number + 1 if i < end else 0
+                end = j = ends[i]
+                for low in range(i + 1, end, 128):
+                    out = np.flatnonzero(y[low: min(low + 128, end)] - y[i] > reach[low: min(low + 128, end)])
+                    if len(out):
+                        j = low + out[0]
+                        break
+                row[i:j] = number
+                i = j
+            yield from table.append_column("row", pa.array(row)).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(run, T.StructType([*glyphs.schema.fields, T.StructField("row", T.IntegerType())]))
 
 
 def _in_row() -> Window:
@@ -250,52 +254,62 @@ def pieces(rows: DataFrame, page_width: float, extras: DataFrame | None = None)
         rows = rows.withColumns(
             {"region": F.lit(None).cast(REGION), "dividers": F.lit(None).cast("array<float>")}
         )
-    # the whole glyph travels in its row's array, (x, y, seq) first for the order
-    rest = [c for c in rows.columns if c not in ("page", "row", "x", "y", "seq", "region", "dividers")]
-    per_row = rows.groupBy("page", "row").agg(
-        F.sort_array(F.collect_list(F.struct("x", "y", "seq", *rest))).alias("g"),
-        F.first("region").alias("region"),
-        F.coalesce(F.first("dividers"), F.array().cast("array<float>")).alias("dividers"),
-    )
-    spot = "struct<x:float,y:float,seq:bigint,w:float,size:float>"
-    none = F.lit(None).cast(spot)
-    zero = F.struct(
-        F.lit(0).alias("piece"), none.alias("head"), none.alias("prev"),
-        F.array().cast("array<int>").alias("out"),
-    )
-    region = F.col("region")
-
-    def step(acc: Column, g: Column) -> Column:
-        head, prev = acc["head"], acc["prev"]
-        end = prev["x"] + prev["w"]
-        gap = g["x"] - end
-        gutter = (end < pw * f32(0.49)) & (g["x"] > pw * f32(0.51)) & (gap > f32(8))
-        between = lambda d: (d > head["x"] + f32(0.5)) & (d < g["x"] - f32(0.5))
-        level = (head["y"] >= region["top"] - f32(3)) & (head["y"] <= region["bottom"] + f32(3))
-        ruled = F.coalesce(level & F.exists(region["verticals"], between), F.lit(False))
-        spaced = F.exists("dividers", lambda d: between(d) & (F.abs(d - end) > f32(0.5)))
-        cut = prev.isNotNull() & (
-            (gap > F.greatest(f32(24), prev["size"] * f32(3.5))) | gutter | ruled | spaced
-        )
-        n = acc["piece"] + F.when(cut, 1).otherwise(0)
-        return F.struct(
-            n.alias("piece"),
-            F.when(cut | head.isNull(), g).otherwise(head).alias("head"),
-            g.alias("prev"), F.array_append(acc["out"], n).alias("out"),
-        )
-
-    slim = F.transform(
-        "g",
-        lambda g: F.struct(
-            g["x"].alias("x"), g["y"].alias("y"), g["seq"].cast("bigint").alias("seq"),
-            g["w"].alias("w"), g["size"].alias("size"),
-        ),
-    )
-    numbered = per_row.select(
-        "page", "row", "g", F.aggregate(slim, zero, step, lambda a: a["out"]).alias("n")
-    )
-    flat = numbered.select("page", "row", F.explode_outer(F.arrays_zip("g", "n")).alias("z"))
-    return flat.select("page", "row", "z.g.*", F.col("z.n").alias("piece"))
+    ordered = rows.withColumns({
+        "_top": F.col("region.top"), "_bottom": F.col("region.bottom"), "_rules": F.col("region.verticals"),
+    }).drop("region").sortWithinPartitions("page", "row", "x", "y", "seq")
+    kept = [c for c in rows.columns if c not in ("region", "dividers")]
+    width = np.float32(page_width)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half, some = np.float32(0.5), np.float32(3)
+        for table in whole_groups(batches, ["page", "row"]):
+            x, y, w, size, top, bottom = _floats(table, "x", "y", "w", "size", "_top", "_bottom")
+            ends = _ends(table["page"].to_numpy(), table["row"].to_numpy())
+            # Cuts that depend on a glyph and the one before it.
+            end = np.concatenate((x[:1], (x + w)[:-1]))
+            gap = x - end
+            gutter = (end < width * np.float32(0.49)) & (x > width * np.float32(0.51)) & (gap > np.float32(8))
+            before = np.concatenate((size[:1], size[:-1]))
+            cut = (gap > np.maximum(np.float32(24), before * np.float32(3.5))) | gutter
+            lines = [table[c].combine_chunks() for c in ("dividers", "_rules")]
+            plain = np.logical_and.reduce([
+                v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == 0 for v in lines
+            ])
+            piece = np.zeros(len(x), np.int32)
+            i = 0
+            while i < len(x):
+                stop = ends[i]
+                if plain[i]:
+                    piece[i + 1: stop] = np.cumsum(cut[i + 1: stop])
+                    i = stop
+                    continue
+                # Cuts at lines between a glyph and the first of its piece.
+                spaced, ruled = (np.array(v[i].as_py() or (), np.float32) for v in lines)
+                head, number = i, 0
+                while True:
+                    rest = slice(head + 1, stop)
+                    hit = cut[rest].copy()
+                    for lines_, rule in ((spaced, False), (ruled, True)):
+                        if rule and not (y[head] >= top[i] - some and y[head] <= bottom[i] + some):
+                            continue
+                        ahead = lines_[lines_ > x[head] + half]
+                        if len(ahead):
+                            passed = ahead[:, None] < x[rest][None, :] - half
+                            if not rule:
+                                passed &= np.abs(ahead[:, None] - end[rest][None, :]) > half
+                            hit |= passed.any(axis=0)
+                    at = np.flatnonzero(hit)
+                    last = head + 1 + at[0] if len(at) else stop
+                    piece[head:last] = number
+                    if last == stop:
+                        break
+                    head, number = last, number + 1
+                i = stop
+            done = table.select(kept).append_column("piece", pa.array(piece))
+            yield from done.combine_chunks().to_batches()
+
+    fields = [f for f in rows.schema.fields if f.name in kept]
+    return ordered.mapInArrow(run, T.StructType([*fields, T.StructField("piece", T.IntegerType())]))
 
 
 def _word_gap(a_size: Column, b_size: Column) -> Column:
@@ -330,11 +344,6 @@ def lines(piece_glyphs: DataFrame) -> DataFrame:
 
 # --- paragraphs ----------------------------------------------------------------------------
 
-UNIT = (
-    "struct<source:string,x:float,y:float,width:float,height:float,size:float,bottom:float,lines:int>"
-)
-
-
 def paragraphs(line_rows: DataFrame, page_width: float, regions: DataFrame | None = None) -> DataFrame:
     """Merge the lines of a column into blocks.
 
@@ -348,60 +357,66 @@ def paragraphs(line_rows: DataFrame, page_width: float, regions: DataFrame | Non
         cols = cols.join(regions.select("page", "region"), "page", "left")
     else:
         cols = cols.withColumn("region", F.lit(None).cast(REGION))
-    line = F.struct("y", "x", "row", "piece", "source", "width", "height", "size")
-    per_column = cols.groupBy("page", "col").agg(
-        F.sort_array(F.collect_list(line)).alias("l"), F.first("region").alias("region")
-    )
-    r = F.col("region")
-
-    def crosses_column(u: Column, n: Column) -> Column:
-        left, mid = u["x"] + u["width"], (u["y"] + n["y"]) * f32(0.5)
-        level = (mid >= r["top"] - f32(3)) & (mid <= r["bottom"] + f32(3))
-        hit = F.exists(
-            r["verticals"], lambda g: (g > left + f32(1)) & (g < n["x"] - f32(0.5))
-        )
-        return F.coalesce((n["x"] > left + f32(1)) & level & hit, F.lit(False))
-
-    def crosses_row(u: Column, n: Column) -> Column:
-        low, high = F.least(u["bottom"], n["y"]), F.greatest(u["y"], n["y"])
-        mid = (u["y"] + n["y"]) * f32(0.5)
-        level = (mid >= r["top"] - f32(3)) & (mid <= r["bottom"] + f32(3))
-        hit = F.exists(
-            r["horizontals"], lambda h: (h > low + f32(0.8)) & (h < high - f32(0.3))
-        )
-        return F.coalesce(level & hit, F.lit(False))
-
-    def step(acc: Column, n: Column) -> Column:
-        u = acc["cur"]
-        fresh = (
-            u.isNull() | (n["y"] - u["bottom"] > f32(8)) | (F.abs(n["x"] - u["x"]) > f32(24))
-            | crosses_column(u, n) | crosses_row(u, n)
-        )
-        opened = F.struct(
-            n["source"].alias("source"), n["x"].alias("x"), n["y"].alias("y"),
-            n["width"].alias("width"), n["height"].alias("height"), n["size"].alias("size"),
-            (n["y"] + n["height"]).alias("bottom"), F.lit(1).alias("lines"),
-        )
-        right = F.greatest(u["x"] + u["width"], n["x"] + n["width"])
-        grown = F.struct(
-            F.concat(u["source"], F.lit(" "), n["source"]).alias("source"),
-            u["x"].alias("x"), u["y"].alias("y"), (right - u["x"]).alias("width"),
-            F.greatest(u["height"], n["y"] + n["height"] - u["y"]).alias("height"),
-            F.least(u["size"], n["size"]).alias("size"),
-            F.greatest(u["bottom"], n["y"] + n["height"]).alias("bottom"),
-            (u["lines"] + 1).alias("lines"),
-        )
-        return F.struct(
-            F.when(fresh & u.isNotNull(), F.array_append(acc["out"], u)).otherwise(acc["out"]).alias("out"),
-            F.when(fresh, opened).otherwise(grown).cast(UNIT).alias("cur"),
-        )
+    ordered = by_page(cols.select(
+        "page", "col", "y", "x", "row", "piece", "source", "width", "height", "size",
+        F.col("region.top").alias("_top"), F.col("region.bottom").alias("_bottom"),
+        F.col("region.verticals").alias("_v"), F.col("region.horizontals").alias("_h"),
+    )).sortWithinPartitions("page", "col", "y", "x", "row", "piece")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = np.float32
+        for table in whole_groups(batches, ["page", "col"]):
+            page, col = table["page"].to_numpy(), table["col"].to_numpy()
+            x, y, w, h, size, top, bottom = _floats(table, "x", "y", "width", "height", "size", "_top", "_bottom")
+            ends = _ends(page, col)
+            rules = [table[c].combine_chunks() for c in ("_v", "_h")]
+            source = table["source"].to_pylist()
+            at, texts, count, boxes = [], [], [], []
+            i = 0
+            while i < len(x):
+                stop = ends[i]
+                vert, hor = (np.array(v[i].as_py() or (), f) for v in rules)
+                open_ = False
+                for k in range(i, stop):
+                    nx, ny = x[k], y[k]
+                    fresh = not open_ or ny - ub > f(8) or abs(nx - ux) > f(24)
+                    if not fresh and (len(vert) or len(hor)):
+                        mid = (uy + ny) * f(0.5)
+                        if top[i] - f(3) <= mid <= bottom[i] + f(3):
+                            left = ux + uw
+                            low, high = min(ub, ny), max(uy, ny)
+                            fresh = bool(
+                                (nx > left + f(1) and ((vert > left + f(1)) & (vert < nx - f(0.5))).any())
+                                or ((hor > low + f(0.8)) & (hor < high - f(0.3))).any()
+                            )
+                    if fresh:
+                        if open_:
+                            boxes.append((ux, uy, uw, uh, us, ub))
+                        open_ = True
+                        ux, uy, uw, uh, us, ub = nx, ny, w[k], h[k], size[k], ny + h[k]
+                        at.append(k)
+                        texts.append([source[k]])
+                        count.append(1)
+                    else:
+                        uw = max(ux + uw, nx + w[k]) - ux
+                        uh = max(uh, ny + h[k] - uy)
+                        us = min(us, size[k])
+                        ub = max(ub, ny + h[k])
+                        texts[-1].append(source[k])
+                        count[-1] += 1
+                boxes.append((ux, uy, uw, uh, us, ub))
+                i = stop
+            box = np.array(boxes, f).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(page[at]), pa.array(col[at]), pa.array(map(" ".join, texts), pa.string()),
+                 *[pa.array(np.ascontiguousarray(c)) for c in box.T], pa.array(count, pa.int32())],
+                names=["page", "col", "source", "x", "y", "width", "height", "size", "bottom", "lines"],
+            )
 
-    zero = F.struct(
-        F.array().cast(f"array<{UNIT}>").alias("out"), F.lit(None).cast(UNIT).alias("cur")
-    )
-    units = F.aggregate("l", zero, step, lambda a: F.array_append(a["out"], a["cur"]))
-    return per_column.select("page", "col", F.explode_outer(units).alias("u")).select(
-        "page", F.col("col"), "u.*"
+    kinds = {c: ordered.schema[c].dataType.simpleString() for c in ("page", "col")}
+    return ordered.mapInArrow(
+        run, f"page {kinds['page']}, col {kinds['col']}, source string, x float, y float, width float, "
+        "height float, size float, bottom float, lines int",
     )
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,12 +38,31 @@ def by_page(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "page")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that hold whole groups of ``keys``; only the last group of a
+    batch is held back for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        last = [batch[k][batch.num_rows - 1] for k in keys]
+        marks = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        same = np.logical_and.reduce([m == v.as_py() for m, v in zip(marks, last)])
+        other = np.flatnonzero(~same)
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and (cut or [held[-1][k][held[-1].num_rows - 1] for k in keys] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
-    The result survives a lost executor and is not computed again. Only a local
-    session without the setting gets a folder of its own."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session. Only a local session without the setting
+    gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,4 +71,11 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder of the session. The result survives
+    a lost executor and is not computed again."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
