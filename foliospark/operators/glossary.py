@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
 
 TERM_COLUMNS = ("english", "vietnamese", "category", "note")
-# A glossary of at most this many terms of at most this length is sent to every task
-# (some ten megabytes); a larger one is shuffled.
-BROADCAST_TERMS = 50_000
-BROADCAST_LENGTH = 200
+# A gram that this share of a sample of texts holds is dealt to this many tasks.
+HOT_SHARE, HOT_PARTS, HOT_SAMPLE = 0.01, 64, 5_000
+# Fewer texts than this make no key too large for a task.
+HOT_TEXTS = 1_000_000
 
 # Needles up to this length are looked up whole.
 EXACT_LENGTH = 6
@@ -140,74 +136,66 @@ def _text_grams(classes: list[tuple[bool, int]]) -> Column:
     return F.concat(*[grams(*c) for c in classes])
 
 
-def _match_in_rows(texts: DataFrame, key: str, text: str, rows: list, top: int | None) -> DataFrame:
-    """Bounded glossary: one pass over each text, nothing is exploded or shuffled."""
-    sent = texts.sparkSession.sparkContext.broadcast([(r["ord"], r["needle"]) for r in rows])
-
-    def first_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        by_needle: dict[str, list[int]] = {}
-        for place, needle in sent.value:
-            by_needle.setdefault(needle, []).append(place)
-        automaton = ahocorasick.Automaton()
-        for needle, places in by_needle.items():
-            automaton.add_word(needle, tuple(places))
-        automaton.make_automaton()
-
-        def found(t: str | None) -> list[int]:
-            groups = {places for _, places in automaton.iter(t or "")}
-            return sorted(p for places in groups for p in places)[:top]
-
-        for batch in batches:
-            yield batch.map(found)
-
-    lookup = F.pandas_udf(first_terms, T.ArrayType(T.LongType()))
-    found = texts.select(key, lookup(F.lower(F.col(text))).alias("_ords"))
-    ranked = found.select(key, F.posexplode_outer("_ords").alias("_at", "ord"))
-    return ranked.filter("ord IS NOT NULL").select(key, "ord", (F.col("_at") + 1).alias("rank"))
+def _hot_grams(grams: DataFrame, anchors: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame | None:
+    """Grams that many texts hold, from a sample; None where texts are too few to matter. Of
+    ``HOT_SAMPLE`` texts and a share of ``HOT_SHARE`` these are a few thousand at most."""
+    total = texts.count()
+    if total < HOT_TEXTS:
+        return None
+    share = int(HOT_SAMPLE / total * (1 << 30))
+    some = grams.filter(F.pmod("_row", F.lit(1 << 30)) < share).select("_row", *by).distinct()
+    met = some.join(anchors.select(*by).distinct(), by, "left_semi")
+    return met.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= HOT_SHARE * HOT_SAMPLE).select(*by)
 
 
-def _match_by_grams(texts: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
-    """Glossary of any size: an equi-join on grams proposes terms, ``contains`` decides.
-    The texts themselves travel once, for the proposals that need checking."""
-    anchors = _anchors(needles)
-    kinds = sorted((r[0], r[1]) for r in anchors.select("cut", "q").distinct().collect())  # <= 7
-    low = texts.select(key, F.lower(F.col(text)).alias("_low"))
-    # outer: an inner explode of a computed array is evaluated again in an inferred filter
-    grams = low.select(key, F.explode_outer(_text_grams(kinds)).alias("g"))
-    grams = grams.filter("g.gram IS NOT NULL").select(key, "g.cut", "g.q", "g.gram")
+def _proposals(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_row, ord, cut) for every gram that a text and a term share. A gram that many texts hold
+    is dealt to several tasks, and its terms to each of them."""
     by = ["cut", "q", "gram"]
-    proposed = grams.join(anchors.select("ord", *by), by).select(key, "ord", "cut").distinct()
-    checked = proposed.filter("cut").join(needles, "ord").join(low, key)
-    checked = checked.filter(F.contains("_low", "needle")).select(key, "ord")
-    return proposed.filter("NOT cut").select(key, "ord").unionByName(checked)
+    hot = _hot_grams(grams, anchors, texts, by)
+    if hot is not None:
+        hot = F.broadcast(hot.withColumn("_hot", F.lit(HOT_PARTS)))  # bounded by the sample
+        part = F.pmod("_row", F.coalesce("_hot", F.lit(1))).cast("int")
+        grams = grams.join(hot, by, "left").withColumn("_part", part).drop("_hot")
+        last = F.coalesce("_hot", F.lit(1)) - 1
+        anchors = anchors.join(hot, by, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+        by = [*by, "_part"]
+    return grams.join(anchors.select("ord", *by), by).select("_row", "ord", "cut").distinct()
 
 
 def match_terms(
-    texts: DataFrame, key: str, text: str, terms: DataFrame,
-    top: int | None = P.GLOSSARY_TOP, broadcast_terms: int = BROADCAST_TERMS,
+    texts: DataFrame, key: str, text: str, terms: DataFrame, top: int | None = P.GLOSSARY_TOP
 ) -> DataFrame:
-    """Terms whose English side occurs anywhere in a text, in any case and
-    regardless of word boundaries; per text the first ``top`` in glossary order.
+    """(key, ord, rank) for terms whose English side occurs anywhere in a text, in any
+    case and regardless of word boundaries; per text the first ``top`` in glossary order.
+
+    A substring join that never compares every text with every term: texts and terms meet in
+    an equi-join on grams, each term represented by its rarest ones, and for longer terms
+    ``contains`` decides. The texts themselves travel once, for what needs that decision. Each
+    partition keeps ``top`` terms of a text before anything is grouped by text.
 
-    A substring join that never compares every text with every term. Up to
-    ``broadcast_terms`` terms, each of bounded length, go to every task and the texts
-    stay where they are; a larger glossary meets the texts in a shuffled gram join."""
+    Texts may repeat and share keys, also null ones: each row has its own terms. Null texts have
+    none."""
     needles = _needles(terms)
-    fits = (F.length("needle") <= BROADCAST_LENGTH).alias("fits")
-    head = F.left("needle", F.lit(BROADCAST_LENGTH)).alias("needle")
-    rows = needles.select("ord", head, fits).limit(broadcast_terms + 1).collect()
-    if len(rows) <= broadcast_terms and all(r["fits"] for r in rows):
-        return _match_in_rows(texts, key, text, rows, top)
-    if not rows:
-        return texts.select(key).limit(0).withColumns(
-            {"ord": F.lit(0).cast("bigint"), "rank": F.lit(0)}
-        )
-    hits = _match_by_grams(texts, key, text, needles)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
-    ranked = hits.withColumn("rank", rank)
-    return ranked.filter(F.col("rank") <= top) if top else ranked
+    anchors = _anchors(needles)
+    kinds = sorted((r[0], r[1]) for r in anchors.select("cut", "q").distinct().collect())  # <= 8
+    if not kinds:
+        none = {"ord": F.lit(0).cast("bigint"), "rank": F.lit(0)}
+        return texts.select(key).limit(0).withColumns(none)
+    # Equal rows share a number, and so their terms; they part again at the end.
+    row = F.xxhash64(key, text).alias("_row")
+    low = texts.select(row, F.lower(F.col(text)).alias("_low")).filter("_low IS NOT NULL")
+    # outer: an inner explode of a computed array is evaluated again in an inferred filter
+    grams = low.select("_row", F.explode_outer(_text_grams(kinds)).alias("g"))
+    grams = grams.filter("g.gram IS NOT NULL").select("_row", "g.cut", "g.q", "g.gram")
+    proposed = _proposals(grams, anchors, texts)
+    checked = proposed.filter("cut").join(needles, "ord").join(low, "_row")
+    checked = checked.filter(F.contains("_low", "needle")).select("_row", "ord").distinct()
+    hits = proposed.filter("NOT cut").select("_row", "ord").unionByName(checked)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_row").orderBy("ord")))
+    if top:
+        ranked = ranked.filter(F.col("rank") <= top)
+    return texts.select(key, row).join(ranked, "_row").select(key, "ord", "rank")
 
 
 def prompt_lines(matched: DataFrame, key: str, terms: DataFrame) -> DataFrame:
