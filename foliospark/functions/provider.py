@@ -46,6 +46,17 @@ def cooldown_ms(message: Column) -> Column:
     )
 
 
+def hold_ms(message: str) -> int:
+    """``cooldown_ms`` of one message, for a task that is to stop calling."""
+    low = message.lower()
+    if any(w in low for w in P.DAILY_WORDS):
+        return P.DAILY_COOLDOWN_MS
+    if any(w in low for w in P.QUOTA_WORDS):
+        temporary = any(w in low for w in P.TEMPORARY_WORDS)
+        return P.TEMPORARY_COOLDOWN_MS if temporary else P.RATE_COOLDOWN_MS
+    return 0
+
+
 def mask_key(key: Column) -> Column:
     """P18."""
     shown = F.concat(F.left(key, F.lit(4)), F.lit("•" * 4), F.right(key, F.lit(4)))

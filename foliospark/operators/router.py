@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import provider as PV
 from ..functions import text as X
-from .sequence import chain, splitters
+from . import sequence as SQ
 from .staging import durable
 
 HOUR_MS = 60 * 60 * 1000
@@ -81,7 +81,8 @@ def cooldown_triggers(calls: DataFrame, provider: str, ts_ms: str, order: str, c
         provider, ts_ms, (F.col(ts_ms) + F.col("f.c")).alias("until_ms"), F.col("f.o").alias("trigger")
     )
     spans = durable(spans)
-    picked = chain(spans, provider, ts_ms, "until_ms", splitters(spans, ts_ms))
+    blocks = SQ.splitters(spans, ts_ms, SQ.ROWS_PER_BLOCK)
+    picked = SQ.chain(spans, provider, ts_ms, "until_ms", blocks)
     return spans.join(picked, [provider, ts_ms], "left_semi")
 
 

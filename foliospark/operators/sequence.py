@@ -88,23 +88,19 @@ def splitters(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -
     target = max(rows_per_block, -(-total // MOST_BLOCKS))
     heavy = {0: (int(total), int(low), int(high))}
     while heavy:
-        lows = F.create_map(*[F.lit(x) for b, (_, lo, _) in heavy.items() for x in (b, lo)])
+        lows = F.create_map(*[F.lit(x).cast("bigint") for b, (_, lo, _) in heavy.items() for x in (b, lo)])
         inside = values.withColumn("b", split.of(F.col("v"))).filter(F.col("b").isin(*heavy))
-        new = set()
-        # One list of quantiles serves all heavy blocks of a round.
-        parts = max(-(-n // target) for n, _, _ in heavy.values()) * 2
+        above = F.try_subtract(F.col("v"), F.element_at(lows, F.col("b")))
+        # One list of quantiles serves all heavy blocks of a round; their error is a quarter block.
+        parts = max(-(-n // target) for n, _, _ in heavy.values())
         marks = [i / parts for i in range(1, parts)]
-        above = (F.col("v") - F.element_at(lows, F.col("b").cast("int"))).alias("above")
-        cuts = inside.select("b", above).groupBy("b").agg(
-            F.percentile_approx("above", marks, 4 * parts).alias("q")
-        )
+        cuts = inside.groupBy("b").agg(F.percentile_approx(above, marks, 4 * parts).alias("q"))
+        new = set()
         for r in cuts.collect():  # at most MOST_BLOCKS numbers
-            n, lo, hi = heavy[r.b]
-            kept = -(-n // target)
-            q = [lo + x for x in r.q]
-            new.update(v for v in q[:: max(len(q) // max(kept * 2 - 1, 1), 1)] if lo < v <= hi)
+            _, lo, hi = heavy[r.b]
+            q = [lo + x for x in r.q or ()]
             # A value that fills quantiles is cut off on both sides.
-            new.update(v + 1 for v, w in zip(q, q[1:]) if v == w and lo < v + 1 <= hi)
+            new.update(v for v in [*q, *(v + 1 for v, w in zip(q, q[1:]) if v == w)] if lo < v <= hi)
         before = len(split.edges)
         split = Split(sorted({*split.edges, *new}))
         if len(split.edges) == before:

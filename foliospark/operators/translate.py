@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markup as M
+from ..functions import provider as PV
 from ..functions import response as R
 from ..functions import text as X
 from .staging import durable, pinned
@@ -91,10 +92,13 @@ def with_backoff(call: Translator, attempts: int = 3, unit_seconds: float = 0.7)
 
 def ask(
     df: DataFrame, translator: Translator, prompt: str = "prompt", context: str = "context",
-    in_flight: int | None = None,
+    in_flight: int | None = None, stop_on_hold: bool = False,
 ) -> DataFrame:
     """Add ``answer`` and ``error``; a failed call never fails the task.
 
+    ``stop_on_hold``: after a failure that puts the provider on hold, a task calls no more and
+    leaves both null.
+
     T2: ``in_flight`` bounds the calls running at once (a local engine wants one per
     machine, a metered provider a few); by default every task calls."""
     if in_flight:
@@ -104,15 +108,21 @@ def ask(
     ])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = False
         for pdf in batches:
             answers, errors = [], []
             for p, c in zip(pdf[prompt], pdf[context]):
+                if held:
+                    answers.append(None)
+                    errors.append(None)
+                    continue
                 try:
                     answers.append(translator(p, c))
                     errors.append(None)
                 except Exception as e:
                     answers.append(None)
                     errors.append(str(e) or type(e).__name__)
+                    held = stop_on_hold and PV.hold_ms(errors[-1]) > 0
             yield pdf.assign(
                 answer=pd.Series(answers, index=pdf.index, dtype=object),
                 error=pd.Series(errors, index=pdf.index, dtype=object),
@@ -121,6 +131,47 @@ def ask(
     return df.mapInPandas(call, schema)
 
 
+def ask_in_order(
+    df: DataFrame, providers: list[tuple[str, Translator]], holds: DataFrame | None = None,
+    now_ms: Callable[[], int] = lambda: int(time.time() * 1000), in_flight: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``ask`` with failover and holds, in a round for each provider.
+
+    ``holds`` (provider, until_ms) is read before each round: a provider on hold is left out,
+    and all rows that are still open go to the next one. In a round a task stops calling after
+    a failure that earns a hold, and the longest of them becomes a row of the holds that the
+    next round and the next call of this function read. Returns the rows with ``answer``,
+    ``provider`` and ``error`` (the failures, one to a line; null where there is an answer), and
+    the holds."""
+    spark = df.sparkSession
+    schema = "provider string, until_ms bigint"
+    kept = spark.createDataFrame([], schema) if holds is None else holds.select("provider", "until_ms")
+    columns = df.columns
+    none = F.lit(None).cast("string")
+    open_rows = df.withColumn("failures", F.array().cast("array<string>"))
+    settled: list[DataFrame] = []
+    for name, call in providers:
+        until = kept.filter(F.col("provider") == name).agg(F.max("until_ms")).first()[0]
+        if until is not None and until > now_ms():
+            continue
+        asked = durable(ask(open_rows, call, in_flight=in_flight, stop_on_hold=True))
+        settled.append(asked.filter("answer IS NOT NULL").withColumn("provider", F.lit(name)))
+        told = F.when(
+            F.col("error").isNotNull(), F.array_append("failures", F.concat(F.lit(f"{name}: "), "error"))
+        ).otherwise(F.col("failures"))
+        open_rows = asked.filter("answer IS NULL").withColumn("failures", told).drop("answer", "error")
+        hold = asked.agg(F.max(PV.cooldown_ms(F.col("error")))).first()[0]
+        if hold:
+            kept = kept.unionByName(spark.createDataFrame([(name, now_ms() + hold)], schema))
+    out = open_rows.select(
+        *columns, none.alias("answer"), none.alias("provider"),
+        F.concat_ws("\n", F.lit("all providers failed"), F.array_join("failures", "\n")).alias("error"),
+    )
+    for rows in settled:
+        out = out.unionByName(rows.select(*columns, "answer", "provider", none.alias("error")))
+    return out, kept.groupBy("provider").agg(F.max("until_ms").alias("until_ms"))
+
+
 def batch_prompts(batched: DataFrame, keys: list[str]) -> DataFrame:
     """C4: one prompt per batch, at most eight lines, in unit order."""
     line = F.concat(

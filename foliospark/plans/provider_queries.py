@@ -125,7 +125,7 @@ def route_calls(spark: SparkSession, d: str) -> DataFrame:
     """Two thirds of all calls share one account, and so its holds."""
     calls = table(spark, d, "events").select(
         "event_id", F.expr("CASE WHEN user_id % 3 = 0 THEN user_id % 40 ELSE -1 END").alias("account"),
-        F.unix_millis("ts").alias("t"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
         *[F.expr(o).alias(f"m{k}") for k, o in enumerate(OUTCOMES)],
     )
     costs = {f"c{k}": F.when(F.col(f"m{k}").isNotNull(), PV.cooldown_ms(F.col(f"m{k}"))) for k in range(len(OUTCOMES))}

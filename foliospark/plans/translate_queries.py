@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..operators import state as ST
 from ..operators import translate as TR
 from ..operators import units as U
 from ..operators.offline import prompt_adapter
+from ..operators.staging import checkpoint_folder, durable
+from ..sources import state as ST_SRC
 from . import sqltext as S
 from .registry import query, spread, table
 
@@ -74,6 +78,37 @@ def translate_pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "page_job", "C13,C12,S7,S14,K9,T5,L6",
+    rf"""WITH p AS (
+          SELECT doc_id // 800 AS file, doc_id // 10 AS page, count(*)::BIGINT AS units,
+            sha256(string_agg('[[[UNIT_' || (doc_id % 10) || ']]] ' || {S.trim_low(r"regexp_replace(text, '\s+', ' ', 'g')")}, ' ' ORDER BY doc_id)) AS text_hash
+          FROM documents GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (ORDER BY file, page) - 1 AS place FROM p)
+        SELECT 'book' || file AS file, page, units, text_hash, false AS failed,
+          CASE WHEN place // 16 < 2 THEN 1 ELSE 2 END::BIGINT AS run FROM n""",
+)
+def page_job(spark: SparkSession, d: str) -> DataFrame:
+    """A first run commits two slices and ends, a second one does the rest; ``run`` tells which
+    run a page is from."""
+    units = table(spark, d, "documents").select(
+        F.expr("concat('book', doc_id div 800)").alias("file"), F.expr("doc_id div 10").alias("page"),
+        (F.col("doc_id") % 10).cast("int").alias("unit"),
+        X.trim_low(F.regexp_replace("text", r"\s+", " ")).alias("source"),
+    )
+    path = f"{checkpoint_folder(spark)}/page-job-{uuid.uuid4().hex}"
+    jobs.page_job(units, path, lossy, pages_per_slice=16, slices=2)
+    first = ST_SRC.read_pages(spark, path).select("file", "page", F.lit(1).cast("bigint").alias("run"))
+    first = durable(first)
+    pages = jobs.page_job(units, path, lossy, pages_per_slice=4_000)
+    flat = X.trim_low(F.regexp_replace("text", r"\s+", " "))
+    return pages.join(first, ["file", "page"], "left").select(
+        "file", "page", "failed",
+        F.regexp_count("text", F.lit(r"\[\[\[UNIT_\d+\]\]\]")).cast("bigint").alias("units"),
+        X.content_hash(flat).alias("text_hash"), F.coalesce("run", F.lit(2).cast("bigint")).alias("run"),
+    )
+
+
 @query(
     "book_job", "C6,C3,C4,J1,J2,J4,K2,K3,A12",
     rf"""WITH {S.UNITS},

@@ -14,6 +14,7 @@ from foliospark.operators import units as U
 from foliospark.operators.closure import reachable
 from foliospark.sources import archive as A
 from foliospark.sources import glossary_csv, logs, state
+from foliospark.sources.layout import read_marks
 
 CONTAINER = (
     '<?xml version="1.0"?><container xmlns="urn:oasis:names:tc:opendocument:xmlns:container">'
@@ -179,6 +180,46 @@ def test_failed_write_keeps_the_old_state(spark, tmp_path):
     state.write_manifest(one.select("id"), str(tmp_path / "manifest"))
 
 
+def test_a_dead_writer_leaves_no_version(spark, tmp_path):
+    """Half of a version's files, and a record without content, are never read; two writers do
+    not share a number."""
+    path = str(tmp_path / "state")
+    one = spark.createDataFrame([("1", "f", "h", "t", "DONE", 0)], ST.STATE_SCHEMA)
+    two = one.withColumn("id", F.lit("2"))
+    assert state.write_state(one, path) == 1
+    two.write.json(f"{path}/data/half")
+    (tmp_path / "state" / "commits" / "000000000002.json").write_text("")
+    assert [r.id for r in state.read_state(spark, path).collect()] == ["1"]
+    # Another writer took number 3 after this one had looked.
+    assert state.commit(spark, path, 1, {"folder": "data/half", "whole": True}) == 3
+    assert state.commit(spark, path, 1, {"folder": "data/half", "whole": True}) == 4
+    assert [r.id for r in state.read_state(spark, path).collect()] == ["2"]
+    assert state.write_state(one, path) == 5
+    assert [r.id for r in state.read_state(spark, path).collect()] == ["1"]
+
+
+def test_pages_are_added(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    rows = lambda *r: spark.createDataFrame([("f", p, t, x, P.LAYOUT_VERSION) for p, t, x in r], state.PAGE_SCHEMA)
+    assert state.read_pages(spark, path).count() == 0
+    state.write_pages(rows((1, "a", False), (2, "", True)), path)
+    state.write_pages(rows((2, "b", False), (3, "c", False)), path, whole=False)
+    key = lambda: sorted((r.page, r.text) for r in state.read_pages(spark, path).collect())
+    assert key() == [(1, "a"), (2, "b"), (3, "c")]
+    state.write_pages(rows((3, "d", False)), path)
+    assert key() == [(3, "d")]
+
+
+def test_marks_are_read_with_their_schema(spark, tmp_path):
+    glyphs = [(1, 0, "a"), (1, 1, ""), (1, 2, None), (2, 0, "é")]
+    df = spark.createDataFrame([(*g, 0.0, 0.0, 1.0, 1.0, 9.0) for g in glyphs], "page bigint, seq bigint, u string, x double, y double, w double, h double, size double")
+    schema = read_marks.__globals__["SCHEMAS"]["glyphs"]
+    df.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]})" for c in schema.split(", ")]).write.parquet(str(tmp_path / "g"))
+    got = read_marks(spark, "glyphs", str(tmp_path / "g"))
+    assert sorted((r.page, r.seq) for r in got.collect()) == [(1, 0), (2, 0)]
+    assert got.schema["x"].dataType.simpleString() == "float"
+
+
 def test_closure_has_no_depth_limit(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(12)] + [(1, 12, 3)], "page int, parent int, child int")
     roots = spark.createDataFrame([(1, 0), (2, 5)], "page int, node int")
@@ -186,6 +227,21 @@ def test_closure_has_no_depth_limit(spark):
     assert sorted((r.page, r.node) for r in got) == [(1, i) for i in range(13)] + [(2, 5)]
 
 
+def test_closure_of_a_deep_page_is_one_shuffle(spark):
+    """A chain of 10,000, a cycle, links of other pages and null nodes."""
+    edges = [(1, i, i + 1) for i in range(10_000)] + [(2, 1, 2), (2, 2, 1), (2, None, 9), (3, 5, 6), (None, 5, 7), (2, 1, None)]
+    df = spark.createDataFrame(edges, "page int, parent bigint, child bigint")
+    roots = spark.createDataFrame([(1, 0), (2, 2), (4, 1), (1, 0), (3, None)], "page int, node bigint")
+    got = reachable(df, roots)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    rows = [(r.page, r.node) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(1, i) for i in range(10_001)} | {(2, 1), (2, 2), (4, 1)}
+    words = spark.createDataFrame([(1, "a", "b"), (1, "b", "a")], "page int, parent string, child string")
+    start = spark.createDataFrame([(1, "a")], "page int, node string")
+    assert {r.node for r in reachable(words, start).collect()} == {"a", "b"}
+
+
 def test_state_roundtrip_and_merge(spark, tmp_path):
     path = tmp_path / "units"
     path.mkdir()

@@ -1,6 +1,7 @@
 """The translation ladder with translators that fail in different ways, and the streams."""
 
 import json
+import os
 import sys
 
 import pandas as pd
@@ -9,8 +10,10 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.operators import jobs
 from foliospark.operators import offline as O
 from foliospark.operators import translate as TR
+from foliospark.sources import state
 from foliospark.streaming import cooldown, incremental
 
 # workers do not have this module on their path
@@ -153,6 +156,130 @@ def test_incremental_stream(spark, tmp_path):
     assert incremental.latest_state(spark, folder, before=1).count() == 2
 
 
+def test_incremental_state_is_read_by_bucket(spark, tmp_path, monkeypatch):
+    """With ten times the state a batch of the same size reads no more; runs are merged; an
+    epoch that is repeated takes the place of its first try."""
+    monkeypatch.setattr(incremental, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(incremental, "FAN", 3)
+    folder = str(tmp_path / "state")
+
+    def rows(low, high, text, epoch):
+        df = spark.range(low, high).selectExpr("cast(id as string) id", "'f' file", "'h' source_hash", f"'{text}' translation", "'DONE' status", "0 attempts")
+        return df.withColumn("epoch", F.lit(epoch).cast("bigint"))
+
+    def read_bytes():
+        live = incremental.runs(spark, folder)
+        ids = spark.createDataFrame([("7",), ("8",)], "id string")
+        total = 0
+        for run, buckets in incremental.touched(spark, folder, live, ids):
+            for b in buckets:
+                total += sum(f.stat().st_size for f in (tmp_path / "state" / run.folder / f"bucket={b}").glob("*.parquet"))
+        return total, sum(f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet"))
+
+    incremental._add(rows(0, 400, "a", 0), folder, 0, 0, 0)
+    small, _ = read_bytes()
+    incremental._add(rows(400, 4000, "b", 1), folder, 0, 1, 1)
+    more, _ = read_bytes()
+    assert small < more <= 3.5 * small
+    incremental._add(rows(7, 8, "c", 2), folder, 0, 2, 2)
+    incremental._add(rows(7, 9, "d", 2), folder, 0, 2, 2)
+    incremental.compact(spark, folder)
+    live = incremental.runs(spark, folder)
+    assert [(r.level, r.first, r.last) for r in live] == [(1, 0, 2)] and live[0].buckets == 128
+    merged, whole = read_bytes()
+    assert merged <= 2.5 * small and whole > 10 * merged
+    ids = spark.createDataFrame([("7",), ("8",), ("9",)], "id string")
+    got = {r.id: r.translation for r in incremental.latest_state(spark, folder, ids=ids).collect()}
+    assert (got["7"], got["8"], got["9"]) == ("d", "d", "a")
+    assert incremental.latest_state(spark, folder).count() == 4000
+    before = incremental.latest_state(spark, folder, before=2)  # the runs that were merged
+    assert before.count() == 4000 and before.filter("id = '7'").first().translation == "a"
+
+
+def test_page_job_resumes(spark, tmp_path):
+    """Killed in its third slice; the second run asks only for the rest; a page without text
+    ends the job before a call."""
+    asked = str(tmp_path / "asked")
+    units = spark.createDataFrame([(f, p, u, f"text {f}.{p}.{u}") for f, n in (("a", 5), ("b", 3)) for p in range(n) for u in range(2)], "file string, page bigint, unit int, source string")
+
+    def note(prompt, fail):
+        import os
+        import uuid
+
+        os.makedirs(asked, exist_ok=True)
+        with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        if fail and "text b.0" in prompt:
+            os._exit(1)
+
+    def dies(prompt, context):
+        note(prompt, True)
+        return O.prompt_adapter(same)(prompt, context)
+
+    def works(prompt, context):
+        note(prompt, False)
+        if "text b.1" in prompt:
+            raise RuntimeError("HTTP 503")
+        return O.prompt_adapter(same)(prompt, context)
+
+    def prompts():
+        import os
+
+        return [open(f"{asked}/{n}").read() for n in os.listdir(asked)]
+
+    path = str(tmp_path / "pages")
+    with pytest.raises(Exception):
+        jobs.page_job(units, path, dies, pages_per_slice=2)
+    first = {(r.file, r.page) for r in state.read_pages(spark, path).collect()}
+    assert first == {("a", 0), ("a", 1), ("a", 2), ("a", 3)}
+    for name in os.listdir(asked):
+        os.remove(f"{asked}/{name}")
+    got = {(r.file, r.page): (r.text, r.failed) for r in jobs.page_job(units, path, works, pages_per_slice=3).collect()}
+    assert len(got) == 8 and got["b", 2] == ("[[[UNIT_0]]]\ntext b.2.0\n[[[UNIT_1]]]\ntext b.2.1", False)
+    assert got["b", 1][1] and not got["b", 0][1]
+    assert not any(f"text a.{p}." in x for x in prompts() for p in range(4))
+    for name in os.listdir(asked):
+        os.remove(f"{asked}/{name}")
+    again = {(r.file, r.page): r.failed for r in jobs.page_job(units, path, dies, pages_per_slice=3).collect()}
+    assert not any(again.values()) and all("text b.1" in x for x in prompts())
+    empty = units.unionByName(spark.createDataFrame([("c", 0, 0, " ")], units.schema))
+    with pytest.raises(Exception, match="no text layer: c"):
+        jobs.page_job(empty, str(tmp_path / "none"), dies)
+    with pytest.raises(Exception, match="no text layer: c"):
+        jobs.page_job(empty.filter("file = 'c'"), str(tmp_path / "none"), dies)
+
+
+def test_ask_in_order(spark):
+    """A provider that earns a hold is left by its tasks and skipped by the next call; the
+    failures of a row are told when no provider answers."""
+    def limited(prompt, context):
+        if prompt == "3":
+            raise RuntimeError("HTTP 429 rate limit")
+        return "first " + prompt
+
+    def second(prompt, context):
+        if prompt == "5":
+            raise RuntimeError("HTTP 503")
+        return "second " + prompt
+
+    rows = spark.range(8).coalesce(1).selectExpr("cast(id as string) prompt", "'' context")
+    clock = [1_000]
+    got, holds = TR.ask_in_order(rows, [("a", limited), ("b", second)], now_ms=lambda: clock[0])
+    found = {r.prompt: (r.provider, r.answer, r.error) for r in got.collect()}
+    assert found["0"] == ("a", "first 0", None) and found["3"] == ("b", "second 3", None)
+    assert found["7"] == ("b", "second 7", None)  # not sent to the first any more
+    assert found["5"] == (None, None, "all providers failed\nb: HTTP 503")
+    assert [tuple(r) for r in holds.collect()] == [("a", 61_000)]
+    clock[0] = 60_000
+    got, holds = TR.ask_in_order(rows, [("a", limited), ("b", second)], holds, now_ms=lambda: clock[0])
+    assert {r.provider for r in got.collect()} == {"b", None}
+    clock[0] = 61_000
+    got, _ = TR.ask_in_order(rows.limit(2), [("a", limited), ("b", second)], holds, now_ms=lambda: clock[0])
+    assert {r.provider for r in got.collect()} == {"a"}
+    none, kept = TR.ask_in_order(rows, [], holds)
+    assert none.filter("answer IS NULL").count() == 8 and kept.count() == 1
+
+
 def test_cooldown_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [("a", 1, 0, 1000), ("a", 2, 500, 0), ("a", 3, 1000, 0), ("b", 4, 100, 0)]
