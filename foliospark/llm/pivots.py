@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import bound
 from .common import sample, stored
 from .components import components
 from .vectors import dot, finite, lists, matrix
@@ -40,10 +41,16 @@ def _unit(vector: str) -> Column:
     """The vector divided by its length; null if it is null, zero, or holds a null or infinite
     component. Divided by its largest component first, so that no square overflows."""
     x, good = finite(vector)
-    most = F.array_max(F.transform(x, F.abs))
-    y = F.transform(x, lambda v: v / most)
-    length = F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(good & (most > 0), F.transform(y, lambda v: v / length))
+
+    def over(y: Column) -> Column:
+        length = F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v))
+        return bound(length, lambda l: F.transform(y, lambda v: v / l))
+
+    def scaled(x: Column) -> Column:
+        most = F.array_max(F.transform(x, F.abs))
+        return bound(most, lambda m: F.when(m > 0, bound(F.transform(x, lambda v: v / m), over)))
+
+    return F.when(good, bound(x, scaled))
 
 
 def choose(vectors: np.ndarray, most: int) -> np.ndarray:
@@ -72,21 +79,22 @@ def permutation(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(some, order, axis=1)
 
 
-def gather(centres: np.ndarray, n: np.ndarray, r: np.ndarray, reach: float):
-    """Balls merged into balls of at most ``reach``: ``(members, centre, radius)`` for each.
+def gather(
+    centres: np.ndarray, n: np.ndarray, r: np.ndarray, code: np.ndarray, reach: float
+) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Balls of one ``code`` merged into balls of at most ``reach``: ``(members, centre, radius)``
+    for each that has several.
 
     The ball with most others in reach goes first; it is centred on the mean of what it holds."""
     near = centres @ centres.T >= np.cos(np.maximum(reach - r, 0.0))[None, :]
-    near &= (r <= reach)[None, :]
+    near &= (r <= reach)[None, :] & (code[:, None] == code[None, :])
     np.fill_diagonal(near, True)
     degree = near.sum(axis=1)
     free = np.ones(len(centres), bool)
     for i in np.argsort(-degree, kind="stable"):
         if degree[i] < 2:
             break
-        if not free[i]:
-            continue
-        members = np.flatnonzero(free & near[i])
+        members = np.flatnonzero(free & near[i]) if free[i] else ()
         if len(members) < 2:
             continue
         centre = (centres[members] * n[members, None]).sum(axis=0)
@@ -94,22 +102,22 @@ def gather(centres: np.ndarray, n: np.ndarray, r: np.ndarray, reach: float):
         if length == 0:
             continue
         centre /= length
-        rest = np.flatnonzero(free)
+        rest = np.flatnonzero(free & (code == code[i]))
         radius = np.arccos(np.clip(centres[rest] @ centre, -1.0, 1.0)) + r[rest] + MARGIN / 100
         inside = radius <= reach
         if inside.sum() < 2:
             continue
         free[rest[inside]] = False
         yield rest[inside], centre, float(radius[inside].max())
-    for i in np.flatnonzero(free):
-        yield np.array([i]), centres[i], float(r[i])
 
 
 def _merge(cells: DataFrame, pivots: np.ndarray, reach: float, label: str) -> DataFrame:
     """One round: each cell with its parent, and the parent's own row with the merged cell.
 
     Cells with the same nearest pivot are compared in chunks. Partitions are ranges that a hash
-    subdivides, so a pivot that most cells share is dealt to many tasks."""
+    subdivides, so a pivot that most cells share is dealt to many tasks. Cells that a chunk's
+    end parts are merged in the next round, or stay two cells."""
+
     def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
@@ -120,45 +128,42 @@ def _merge(cells: DataFrame, pivots: np.ndarray, reach: float, label: str) -> Da
                 )
 
     def merged(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
         cell = table["cell"].to_numpy()
-        centres = matrix(table["centre"])
-        n, r, low = table["n"].to_numpy(), table["r"].to_numpy(), table["low"].to_pylist()
+        centres = matrix(table["centre"]).copy()
+        n, r = table["n"].to_numpy().copy(), table["r"].to_numpy().copy()
+        low = table["low"].to_pylist()
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        code = label * np.int64(len(pivots)) + table["pivot"].to_numpy()
         parent = cell.copy()
-        own: dict[int, tuple] = {}
-        for members, centre, radius in gather(centres, n, r, reach):
+        for members, centre, radius in gather(centres.copy(), n.copy(), r.copy(), code, reach):
             head = members[np.argmin(cell[members])]
             parent[members] = cell[head]
-            known = [low[i] for i in members if low[i] is not None]
-            own[int(head)] = (centre.tolist(), int(n[members].sum()), radius, min(known, default=None))
-        heads = [own.get(i) for i in range(len(cell))]
-
-        def part(k: int, kind: pa.DataType) -> pa.Array:
-            return pa.array([h and h[k] for h in heads], kind)
-
+            centres[head], n[head], r[head] = centre, n[members].sum(), radius
+            low[head] = min((low[i] for i in members if low[i] is not None), default=None)
+        own = parent == cell
+        ends = np.concatenate(([0], np.cumsum(own))).astype(np.int32) * centres.shape[1]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(cell, pa.int64()), pa.array(parent, pa.int64()), table["label"].combine_chunks(),
-                part(0, pa.list_(pa.float64())), part(1, pa.int64()), part(2, pa.float64()), part(3, pa.int64()),
+                pa.array(cell), pa.array(parent), table["label"].combine_chunks(),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(centres[own].ravel())),
+                pa.array(n), pa.array(r), pa.array(low, pa.int64()),
             ],
             names=["cell", "parent", "label", "centre", "n", "r", "low"],
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, key = 0, None
+        size = 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys = list(zip(batch["label"].to_pylist(), batch["pivot"].to_pylist()))
-            start = 0
-            for i in range(1, len(keys) + 1):
-                if i < len(keys) and keys[i] == keys[start] and i - start < CHUNK:
-                    continue
-                if held and (keys[start] != key or size + i - start > CHUNK):
+            while batch.num_rows:
+                part = batch.slice(0, CHUNK - size)
+                held.append(part)
+                size += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if size == CHUNK:
                     yield merged(pa.Table.from_batches(held))
                     held, size = [], 0
-                held.append(batch.slice(start, i - start))
-                size, key, start = size + i - start, keys[start], i
         if held:
             yield merged(pa.Table.from_batches(held))
 
