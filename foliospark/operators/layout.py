@@ -117,10 +117,15 @@ def image_boxes(images: DataFrame) -> DataFrame:
     return boxed.withColumn("top", F.col("page_height") - (F.col("y") + F.col("height")))
 
 
-def filled_rects(rects: DataFrame) -> DataFrame:
-    """Filled boxes of at least 8 x 4, plain colours only."""
+def is_filled_rect() -> Column:
+    """A box of at least 8 x 4, of a plain colour."""
     big = (F.col("width") >= f32(8)) & (F.col("height") >= f32(4))
-    return rects.filter(big & ~F.col("pattern"))
+    return F.coalesce(big & ~F.col("pattern"), F.lit(False))
+
+
+def filled_rects(rects: DataFrame) -> DataFrame:
+    """The filled boxes."""
+    return rects.filter(is_filled_rect())
 
 
 def graphics_tokens(tokens: DataFrame) -> DataFrame:

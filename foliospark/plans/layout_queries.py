@@ -118,28 +118,32 @@ def path_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page", "seq", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+#: A vector of 64 values makes eleven matrices of six, one after the other; the last one goes on
+#: at the beginning.
+_MATRIX_SQL = ", ".join(
+    f"(embedding[(image * 6 + {i}) % 64 + 1] * {100 if i < 4 else 500})::FLOAT AS {c}" for i, c in enumerate("abcdef")
+)
+
+
 @query(
     "image_boxes", "S10,S11,D17",
-    """WITH i AS (SELECT vec_id, (embedding[1] * 100)::FLOAT AS a, (embedding[2] * 100)::FLOAT AS b, (embedding[3] * 100)::FLOAT AS c,
-                         (embedding[4] * 100)::FLOAT AS d, (embedding[5] * 500)::FLOAT AS e, (embedding[6] * 500)::FLOAT AS f, label FROM embeddings),
-       m AS (SELECT vec_id, label, least(e, a + e, c + e, a + c + e) AS x, least(f, b + f, d + f, b + d + f) AS y,
+    f"""WITH i AS (SELECT vec_id, image, {_MATRIX_SQL}, label FROM (SELECT *, unnest(range(0, 11))::INTEGER AS image FROM embeddings)),
+       m AS (SELECT vec_id, image, label, least(e, a + e, c + e, a + c + e) AS x, least(f, b + f, d + f, b + d + f) AS y,
                     greatest(e, a + e, c + e, a + c + e) - least(e, a + e, c + e, a + c + e) AS width,
                     greatest(f, b + f, d + f, b + d + f) - least(f, b + f, d + f, b + d + f) AS height FROM i)
-       SELECT vec_id, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height,
+       SELECT vec_id, image, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height,
               (792::FLOAT - (y + height))::DOUBLE AS top, width >= 8 AND height >= 4 AND label % 2 = 0 AS filled FROM m""",
 )
 def image_boxes(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda i, k: (F.element_at("embedding", i) * f32(k)).cast("float")
-    images = table(spark, d, "embeddings").select(
-        "vec_id", (F.col("label") % 2 == 1).alias("pattern"), f32(PAGE_HEIGHT).alias("page_height"),
-        *[at(i + 1, 100 if i < 4 else 500).alias(c) for i, c in enumerate("abcdef")],
+    vectors = table(spark, d, "embeddings").withColumn("image", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    at = lambda i, k: (F.get("embedding", (F.col("image") * 6 + i) % 64) * f32(k)).cast("float")
+    images = vectors.select(
+        "vec_id", "image", (F.col("label") % 2 == 1).alias("pattern"), f32(PAGE_HEIGHT).alias("page_height"),
+        *[at(i, 100 if i < 4 else 500).alias(c) for i, c in enumerate("abcdef")],
     )
-    boxes = L.image_boxes(images)
-    filled = L.filled_rects(boxes).select("vec_id", F.lit(True).alias("filled"))
-    joined = boxes.join(filled, "vec_id", "left")
-    return joined.select(
-        "vec_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "top")],
-        F.coalesce("filled", F.lit(False)).alias("filled"),
+    return L.image_boxes(images).select(
+        "vec_id", "image", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "top")],
+        L.is_filled_rect().alias("filled"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,25 +34,41 @@ def lossy(prompt: str, context: str) -> str:
     return answer if items < 0 else answer[:items] + "]"
 
 
+def careless(prompt: str, context: str) -> str:
+    """Answers like ``echo``, but of texts with one ``w`` (or 6, 11, ...) nothing until it is told
+    what was wrong, and of texts with two (or 7, 12, ...) nothing at all."""
+    head, _, fragment = prompt.rpartition("\n\n")
+
+    def answered(text: str) -> bool:
+        n = text.count("w") % 5
+        return n not in (1, 2) or (n == 1 and head.startswith("Translate the whole unit"))
+
+    if prompt.startswith(TR.BATCH):
+        items = [i for i in json.loads(prompt_adapter(echo)(prompt, context)) if answered(i["translation"])]
+        return json.dumps(items, ensure_ascii=False)
+    return prompt_adapter(echo)(prompt, context) if answered(fragment) else ""
+
+
+#: What ``careless`` leaves of a unit, from its text without markup.
+_W = "(length(plain) - length(replace(plain, 'w', ''))) % 5"
+
+
 @query(
     "translate_units", "C3,C4,C5,C6,C15,C16,P46",
     f"""WITH {S.UNITS}
-        SELECT id, 'DONE' AS status, CASE WHEN length(plain) <= 80 THEN 'direct' ELSE 'batch' END AS step, sha256(plain) AS text_hash
+        SELECT id, CASE {_W} WHEN 2 THEN 'SOURCE_ONLY' ELSE 'DONE' END AS status,
+          CASE {_W} WHEN 2 THEN 'last' WHEN 1 THEN 'retry 1' ELSE CASE WHEN length(plain) <= 80 THEN 'direct' ELSE 'batch' END END AS step,
+          sha256(CASE {_W} WHEN 2 THEN '' ELSE plain END) AS text_hash
         FROM units WHERE translatable""",
 )
 def translate_units(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("OEBPS/page"), F.col("page_id").cast("string"), F.lit(".xhtml"))
-    site = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    pages = spread(
-        table(spark, d, "pages").select("page_id", site.alias("site"), name.alias("file"), "html")
-    )
-    units = U.extract_units(pages, "file", "html", keep=("page_id", "site")).filter("translatable")
-    placed = units.withColumn("place", F.col("page_id") * (1 << 20) + F.col("ordinal"))
-    batches = SQ.greedy_batches(placed, "site", "place", X.utf16_length(F.col("inner")))
-    batched = placed.join(batches.drop("size"), ["site", "place"])
-    translator = prompt_adapter(echo)
-    candidates = TR.batch_candidates(batched, ["site", "batch_no"], translator)
-    rows = TR.translate_units(units, translator, candidates)
+    pages = spread(table(spark, d, "pages").select(name.alias("file"), "html"))
+    units = U.extract_units(pages, "file", "html").filter("translatable")
+    batches = SQ.greedy_batches(units, "file", "ordinal", X.utf16_length(F.col("inner")))
+    batched = units.join(batches.drop("size"), ["file", "ordinal"])
+    candidates = TR.batch_candidates(batched, ["file", "batch_no"], careless)
+    rows = TR.translate_units(units, careless, candidates)
     return rows.select(
         "id", "status", "step", X.content_hash(X.strip_markup(F.col("translation"))).alias("text_hash")
     )
@@ -112,13 +129,16 @@ def page_job(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "book_job", "C6,C3,C4,J1,J2,J4,K2,K3,A12",
     rf"""WITH {S.UNITS},
-        n AS (SELECT page_id, count(*) FILTER (translatable) AS units FROM units GROUP BY page_id)
+        n AS (SELECT page_id, count(*) FILTER (translatable) AS units,
+          count(*) FILTER (translatable AND ordinal % 3 <> 0 AND {_W} = 2) AS kept FROM units GROUP BY page_id)
         SELECT page_id, sha256(regexp_replace(html, '\s+', '', 'g')) AS content_hash, 0::INTEGER AS misplaced,
-               coalesce(units, 0)::BIGINT AS state_rows FROM pages LEFT JOIN n USING (page_id)""",
+               coalesce(units, 0)::BIGINT AS state_rows, coalesce(kept, 0)::BIGINT AS kept_source
+        FROM pages LEFT JOIN n USING (page_id)""",
 )
 def book_job(spark: SparkSession, d: str) -> DataFrame:
     """A third of the units are saved as done, a third with a hash that is out of date. The
-    translator returns its source, so the book comes out as it was."""
+    translator returns its source or nothing, so the book comes out as it was; units without an
+    answer keep their source and are marked."""
     name = F.concat(F.lit("OEBPS/page"), F.col("page_id").cast("string"), F.lit(".xhtml"))
     files = table(spark, d, "pages").select(name.alias("file"), "html")
     units = U.extract_units(files, "file", "html").filter("translatable AND ordinal % 3 < 2")
@@ -127,10 +147,12 @@ def book_job(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("ordinal") % 3 == 0, F.col("source_hash")).otherwise("old").alias("source_hash"),
         F.col("inner").alias("translation"), F.lit(ST.DONE).alias("status"), F.lit(0).alias("attempts"),
     )
-    content, state = jobs.book_job(files, saved, prompt_adapter(echo))
-    rows = state.groupBy("file").agg(F.count(F.lit(1)).alias("state_rows"))
+    content, state = jobs.book_job(files, saved, careless)
+    rows = state.groupBy("file").agg(
+        F.count(F.lit(1)).alias("state_rows"), F.count_if(F.col("status") == ST.SOURCE_ONLY).alias("kept_source")
+    )
     return content.join(rows, "file", "left").select(
         F.regexp_extract("file", r"page(\d+)\.xhtml$", 1).cast("bigint").alias("page_id"),
         X.content_hash(F.regexp_replace("content", r"\s+", "")).alias("content_hash"), "misplaced",
-        F.coalesce("state_rows", F.lit(0)).cast("bigint").alias("state_rows"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("state_rows", "kept_source")],
     )

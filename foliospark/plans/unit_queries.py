@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..operators import glossary as G
 from ..operators import profile as PF
 from ..operators import units as U
+from ..sources import archive as A
 from . import sqltext as S
 from .registry import query, spread, table
 
@@ -130,3 +132,102 @@ def rebuild_replace(spark: SparkSession, d: str) -> DataFrame:
         X.content_hash(F.col("content")).alias("content_hash"),
         "misplaced",
     )
+
+
+#: A book for each page: what its package document lists, and its first bytes.
+_SQL_BOOK = """page_id % 4 + 1 AS xhtml, page_id % 3 AS css, page_id % 5 AS image, page_id % 2 AS other"""
+_XML = '<?xml version="1.0"?>'
+
+
+def book_entries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of the books, and their entries as an archive reader gives them: the
+    declared type (missing or wrong in some), the container, and a package document that lists
+    content files, styles and pictures under a base folder."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.col("page_id").cast("string").alias("path"))
+    head = F.element_at(
+        F.array(*[F.unhex(F.lit(x)) for x in ("504B0304AA", "255044462D31", "504B0506", "3C68746D6C3E", "504B0304")]),
+        (F.col("page_id") % 5 + 1).cast("int"),
+    )
+    files = pages.select(F.concat("path", F.lit(".epub")).alias("path"), head.alias("content"))
+
+    def listed(kind: str, n: Column, media: str, place: str) -> Column:
+        item = lambda i: F.format_string(f'<item media-type="{media}" href="{place}"/>', i)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), n), item), "")).otherwise("")
+
+    p = F.col("page_id")
+    items = F.concat(
+        listed("xhtml", p % 4 + 1, "application/xhtml+xml", "../text/c%d.xhtml"), listed("css", p % 3, "text/css", "s%d.css"),
+        listed("image", p % 5, "image/png", "./img/%d.png"), listed("other", p % 2, "font/otf", "f%d.otf"),
+    )
+    title = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    package = F.concat(
+        F.lit(f'{_XML}<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> '),
+        title, F.lit(" </dc:title></metadata><manifest>"), items, F.lit("</manifest></package>"),
+    )
+    opf = F.concat(F.lit("B"), (p % 7).cast("string"), F.lit("/p.opf"))
+    container = F.concat(
+        F.lit(f'{_XML}<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="'),
+        opf, F.lit('"/></rootfiles></container>'),
+    )
+    declared = F.when(p % 6 == 1, "text/plain").when(p % 6 != 2, " application/epub+zip ")
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), name.alias("name"), text.alias("text"))
+        for i, (name, text) in enumerate([
+            (F.lit("mimetype"), declared), (F.lit("META-INF/container.xml"), container), (opf, package),
+        ])
+    ])
+    unpacked = pages.select(F.concat("path", F.lit(".epub")).alias("path"), F.explode(rows).alias("e")).select(
+        "path", "e.ordinal", "e.name", F.encode("e.text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")
+    )
+    return files, unpacked.filter("content IS NOT NULL")
+
+
+@query(
+    "package_documents", "S1,S2,S3,S4,S21",
+    f"""WITH b AS (SELECT page_id, trim(url) AS title, {_SQL_BOOK} FROM pages)
+        SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'pdf' WHEN 3 THEN NULL ELSE 'zip' END AS kind,
+          CASE WHEN page_id % 5 = 3 THEN 'not a PDF or EPUB file' WHEN page_id % 5 = 1 THEN NULL
+            WHEN page_id % 6 = 2 THEN 'mimetype is missing' WHEN page_id % 6 = 1 THEN 'mimetype is not valid' END AS problem,
+          'B' || page_id % 7 || '/p.opf' AS opf, title, xhtml::BIGINT AS xhtml, css::BIGINT AS css, image::BIGINT AS image,
+          'text/c' || xhtml || '.xhtml' AS last_text, CASE WHEN image > 0 THEN 'B' || page_id % 7 || '/img/1.png' END AS first_image
+        FROM b""",
+)
+def package_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Books that the page table describes, through the checks and the package reader."""
+    files, unpacked = book_entries(spark, d)
+    items = A.package_items(unpacked)
+    name = F.struct("place", "name")
+    per_book = items.groupBy("path").agg(
+        F.first("title").alias("title"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("xhtml", "css", "image")],
+        F.max(F.when(F.col("kind") == "xhtml", name))["name"].alias("last_text"),
+        F.min(F.when(F.col("kind") == "image", name))["name"].alias("first_image"),
+    )
+    verdicts = A.checked(files, unpacked).select("path", "kind", "problem")
+    joined = verdicts.join(A.package_paths(unpacked), "path").join(per_book, "path")
+    return joined.select(
+        F.regexp_extract("path", r"^(\d+)\.epub$", 1).cast("bigint").alias("page_id"), "kind", "problem", "opf", "title",
+        "xhtml", "css", "image", "last_text", "first_image",
+    )
+
+
+@query(
+    "glossary_lines", "S12",
+    """SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN 'English word' ELSE p_name END AS english,
+              'a' || chr(10) || p_brand AS vietnamese, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS category, '' AS note
+       FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0""",
+)
+def glossary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a terminology file: headers in any case, missing sides, blanks around fields,
+    written line breaks."""
+    k = F.col("p_partkey")
+    english = (
+        F.when(k % 7 == 0, F.lit(" ENGLISH")).when(k % 11 == 0, F.lit("  ")).when(k % 5 == 0, F.lit("English word "))
+        .otherwise(F.concat(F.lit("\t"), "p_name", F.lit(" ")))
+    )
+    lines = table(spark, d, "part").select(
+        k.alias("ord"), english.alias("english"),
+        F.when(k % 13 == 0, "").otherwise(F.concat(F.lit(" a\\n"), "p_brand")).alias("vietnamese"),
+        F.when(k % 4 != 0, F.concat("p_type", F.lit("  "))).alias("category"), F.lit(" ").alias("note"),
+    )
+    return G.clean_terms(lines)
