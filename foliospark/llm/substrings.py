@@ -16,6 +16,7 @@ with one anchor form a segment, and windows of different anchors need not be com
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +24,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored
 from .grouping import suffix_arrays
-from .shingles import mix, utf8
+from .shingles import hashes_of, mix, utf8
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1  # anchors that a window chooses from
@@ -118,8 +120,38 @@ def _windows_of(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lists), np.uint8), np.concatenate(([0], np.cumsum(size)))
 
 
-def digest(seg: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
+def _packed(keys: pa.Array, texts: pa.Array) -> bytes:
+    """A block's rows as one compressed value: what is moved between tasks."""
+    out = io.BytesIO()
+    batch = pa.RecordBatch.from_arrays([keys, texts], names=["key", "text"])
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
+def _unpacked(block: bytes) -> tuple[pa.Array, pa.Array]:
+    table = pa.ipc.open_stream(block).read_all().combine_chunks()
+    if not table.num_rows:
+        return pa.array([], table.schema.field(0).type), pa.array([], pa.string())
+    return table["key"].combine_chunks(), table["text"].combine_chunks()
+
+
+def _binary(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """raw[begin[i]:end[i]] of every i, as a binary column."""
+    size = end - begin
+    ends = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[at].tobytes())]
+    ).cast(pa.binary())
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column in a row, and where each value begins (one more: the end)."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return raw[at[0]: at[-1]], at - at[0]
 
 
 def least_keys(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
@@ -203,80 +235,105 @@ def _small_groups(segs: list[tuple[bytes, int, int]]) -> list[tuple[list[tuple[b
     ]
 
 
+ANSWERS = ("block", "h", "seg", "least", "runs")
+
+
+def _differing(
+    h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, name: np.ndarray,
+    raw: np.ndarray, begin: np.ndarray,
+) -> pa.RecordBatch:
+    """Answers for anchors with several segments, from rows ordered by (h, at, name)."""
+    out: list[tuple] = []
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1]) | (name[1:] != name[:-1])
+    head = np.flatnonzero(new)
+    least = np.minimum.reduceat(low, head)
+    data = raw.tobytes()
+    segs = [data[a:b] for a, b in zip(begin[head].tolist(), begin[head + 1].tolist())]
+    anchor = np.flatnonzero(np.concatenate(([True], h[head[1:]] != h[head[:-1]])))
+    groups, origin, found = [], [], []
+    rows = list(zip(segs, at[head].tolist(), least.tolist()))
+    for a, b in zip(anchor.tolist(), [*anchor[1:].tolist(), len(head)]):
+        found += [np.full(len(s) - LENGTH + 1, LAST) for s in segs[a:b]]
+        for g, place in _small_groups(rows[a:b]):
+            if len(g) == 1:  # equal to nothing but itself
+                for i, w in place[0]:
+                    found[a + i][w : w + len(g[0][0]) - LENGTH + 1] = g[0][1]
+                continue
+            groups.append(g)
+            origin.append((a, place))
+    for (a, place), own in zip(origin, least_keys(groups) if groups else []):
+        for places, keys in zip(place, own):
+            for i, w in places:
+                found[a + i][w : w + len(keys)] = keys
+    ends = np.append(head[1:], len(h))
+    for i, keys in enumerate(found):
+        low_ = int(keys.min())
+        some = np.flatnonzero(high[head[i]: ends[i]] > low_) + head[i]
+        if not len(some):
+            continue
+        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        runs = None
+        if len(cut) > 1:
+            runs = np.stack([np.diff(np.append(cut, len(keys))), keys[cut]]).tobytes()
+        first = head[i]
+        out.extend((b, int(h[first] >> 32), int(name[first]), low_, runs) for b in block[some].tolist())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    columns = list(zip(*out)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(ANSWERS))
+
+
 def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ``(h, at, seg, low, high, block)`` ordered by (h, at, seg), to rows
+    """From rows ``(h, at, name, seg, low, high, block)`` ordered by (h, at, name), to rows
     ``(block, h, seg, least, runs)``: for each block whose greatest key is above the least key
     of some window of the segment, that key, and where windows differ, their keys as runs of
-    (windows, key). ``h`` is the upper half of the hash, ``seg`` a digest of the segment.
+    (windows, key). ``h`` is the upper half of the hash, ``seg`` the segment's name, a hash.
 
     Where all segments of an anchor are equal there is nothing to sort."""
-    out: list[tuple] = []
-    waiting: list[tuple[int, list, list]] = []  # (hash, segments, rows of each)
-    size = 0
-
-    def flush():
-        nonlocal waiting, size
-        groups, origin = [], []
-        found: list[list[np.ndarray]] = []
-        for n, (_, segs, _) in enumerate(waiting):
-            if len(segs) == 1:
-                found.append([])
-                continue
-            found.append([np.full(len(s) - LENGTH + 1, LAST) for s, _, _ in segs])
-            for g, place in _small_groups(segs):
-                if len(g) == 1:  # equal to nothing but itself
-                    for i, w in place[0]:
-                        found[n][i][w : w + len(g[0][0]) - LENGTH + 1] = g[0][1]
-                    continue
-                groups.append(g)
-                origin.append((n, place))
-        for (n, place), own in zip(origin, least_keys(groups) if groups else []):
-            for places, keys in zip(place, own):
-                for i, w in places:
-                    found[n][i][w : w + len(keys)] = keys
-        for (h, segs, rows), keys in zip(waiting, found):
-            for i, ((seg, _, low), blocks) in enumerate(zip(segs, rows)):
-                least, runs = low, None
-                if keys:
-                    least = int(keys[i].min())
-                    cut = np.flatnonzero(np.concatenate(([True], keys[i][1:] != keys[i][:-1])))
-                    if len(cut) > 1:
-                        size_ = np.diff(np.append(cut, len(keys[i])))
-                        runs = np.stack([size_, keys[i][cut]]).tobytes()
-                if any(high > least for _, high in blocks):
-                    name = digest(seg)
-                    out.extend((block, h >> 32, name, least, runs) for block, high in blocks if high > least)
-        waiting, size = [], 0
-
-    def write():
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        arrays = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-        out.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "h", "seg", "least", "runs"])
-
-    last_h, last_seg = None, None
+
+    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        h, at, name, low, high, block = (table[c].to_numpy() for c in ("h", "at", "name", "low", "high", "block"))
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        other = np.zeros(len(h), np.int64)
+        other[1:] = (h[1:] == h[:-1]) & ((at[1:] != at[:-1]) | (name[1:] != name[:-1]))
+        equal = np.add.reduceat(other, head) == 0
+        size = np.diff(np.append(head, len(h)))
+        least = np.repeat(np.minimum.reduceat(low, head), size)
+        some = np.flatnonzero(np.repeat(equal, size) & (high > least))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[some]), pa.array((h[some] >> 32).astype(np.int32)), pa.array(name[some]),
+             pa.array(least[some]), pa.nulls(len(some), pa.binary())],
+            names=list(ANSWERS),
+        )
+        rest = np.flatnonzero(np.repeat(~equal, size))
+        if not len(rest):
+            return
+        segs = table["seg"].combine_chunks().take(pa.array(rest))
+        raw, begin = _bytes_of(segs)
+        # Whole anchors of about TOGETHER bytes are sorted side by side.
+        edge = np.flatnonzero(np.concatenate(([True], h[rest][1:] != h[rest][:-1])))
+        part = np.searchsorted(np.arange(TOGETHER, begin[-1] + TOGETHER, TOGETHER), begin[edge], side="right")
+        cuts = np.append(edge[np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))], len(rest))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            r = rest[a:b]
+            yield _differing(
+                h[r], at[r], low[r], high[r], block[r], name[r], raw[begin[a]: begin[b]], begin[a : b + 1] - begin[a]
+            )
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for h, at, seg, low, high, block in zip(*(c.to_pylist() for c in batch.columns)):
-            if h != last_h:
-                if size > TOGETHER:
-                    flush()
-                    if len(out) > 20_000:
-                        yield write()
-                waiting.append((h, [], []))
-                last_h, last_seg = h, None
-            segs, rows = waiting[-1][1:]
-            if (at, seg) != last_seg:
-                segs.append((seg, at, low))
-                rows.append([])
-                last_seg = (at, seg)
-                size += len(seg)
-            elif low < segs[-1][2]:
-                segs[-1] = (seg, at, low)
-            rows[-1].append((block, high))
-    if waiting:
-        flush()
-    if out:
-        yield write()
+        if not batch.num_rows:
+            continue
+        h = batch["h"].to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
+        if cut or (held and held[-1]["h"][held[-1].num_rows - 1].as_py() != h[0]):
+            if held or cut:
+                yield from settled(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from settled(pa.Table.from_batches(held))
 
 
 def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -290,25 +347,32 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            own = []
-            for s in size:
-                if held and held + s > BLOCK_BYTES:
-                    number, held = number + 1, 0
-                held += s
-                own.append(number)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int64()), pa.array(size, pa.int64()), batch.column(0), batch.column(1)],
-                names=["block", "size", "key", "text"],
+        number, size = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            data = _packed(table.column(0).combine_chunks(), table.column(1).combine_chunks())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())],
+                names=["block", "size", "rows"],
             )
 
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            start = 0
+            for i, own in enumerate(sizes):
+                if size and size + own > BLOCK_BYTES:
+                    held.append(batch.slice(start, i - start))
+                    yield block()
+                    held, size, start, number = [], 0, i, number + 1
+                size += own
+            held.append(batch.slice(start))
+        if sum(b.num_rows for b in held):
+            yield block()
+
     docs = stored(
-        df.select(key, F.coalesce(text, F.lit(""))).mapInArrow(
-            label, f"block long, size long, key {kind}, text string"
-        ),
-        "blocks",
+        df.select(key, F.coalesce(text, F.lit(""))).mapInArrow(label, "block long, size long, rows binary"), "blocks"
     )
     total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = max(1, -(-total // BIN_BYTES))
@@ -346,19 +410,15 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
             )
 
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(blocks)) + 1
-            for a, b in zip([0, *edges], [*edges, len(blocks)]):
-                if hashes and blocks[a] != now:
-                    yield send()
-                now = int(blocks[a])
-                keys, texts = _keys(batch.column(1).slice(a, b - a)), batch.column(2).slice(a, b - a)
+            for now, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, texts = _unpacked(data.as_py())
+                keys = _keys(keys)
                 for row, _, _, (h, text_of, _, _, _) in _parts(texts):
                     if len(h):
                         hashes.append(h >> np.uint64(16))
                         owners.append(keys[row + text_of])
-        if hashes:
-            yield send()
+                if hashes:
+                    yield send()
 
     def repeated(table: pa.Table) -> pa.Table:
         raw, starts = _windows_of(table.column("hashes").to_pylist())
@@ -386,59 +446,71 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
         return np.unique(h.view("<u8").ravel())
 
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The segments of a block that may repeat; equal ones once."""
-        columns: list[list] = [[], [], [], [], [], []]
-        if left.num_rows and right.num_rows:
+        """The segments of a block that may repeat; equal ones of a part of it once."""
+        out = []
+        for block, data in zip(left.column("block").to_pylist(), left.column("rows")) if right.num_rows else ():
             want = wanted(right)
-            found: dict[tuple[int, int, bytes], tuple[int, int]] = {}
-            left = left.combine_chunks()
-            keys, texts = _keys(left.column("key").combine_chunks()), left.column("text").combine_chunks()
+            keys, texts = _unpacked(data.as_py())
+            keys = _keys(keys)
             for row, raw, _, (h, text_of, first, last, anchor) in _parts(texts):
                 some = np.flatnonzero(np.isin(h >> np.uint64(16), want))
-                data = raw.tobytes()
-                for hh, k, a, b, c in zip(
-                    h[some].view(np.int64).tolist(), keys[row + text_of[some]].tolist(),
-                    first[some].tolist(), last[some].tolist(), anchor[some].tolist(),
-                ):
-                    name = (hh, c - a, data[a : b + LENGTH])
-                    low, high = found.get(name, (k, k))
-                    found[name] = (min(low, k), max(high, k))
-            block = int(left.column("block")[0].as_py())
-            for (hh, at, seg), (low, high) in found.items():
-                for column, value in zip(columns, (hh, at, seg, low, high, block)):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = ("h", "at", "seg", "low", "high", "block")
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)})
+                if not len(some):
+                    continue
+                hh, first, end = h[some].view(np.int64), first[some], last[some] + LENGTH
+                at, key = (anchor[some] - first), keys[row + text_of[some]]
+                name = hashes_of(raw, first, end).view(np.int64)
+                order = np.lexsort((name, at, hh))
+                a, b, c = hh[order], at[order], name[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+                head = np.flatnonzero(new)
+                one = order[head]
+                out.append(pa.table({
+                    "h": hh[one], "at": at[one].astype(np.int32), "name": name[one],
+                    "seg": _binary(raw, first[one], end[one]),
+                    "low": np.minimum.reduceat(key[order], head), "high": np.maximum.reduceat(key[order], head),
+                    "block": np.full(len(one), block),
+                }))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = ("h", "at", "name", "seg", "low", "high", "block")
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        if not left.num_rows:
-            return pa.table({"key": left.column("key"), **{c: pa.array([], t) for c, t in zip(
-                ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"),
-                (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))}})
-        keys, texts = _keys(left.column("key").combine_chunks()), left.column("text").combine_chunks()
-        runs = {
-            seg: (least, r) for seg, least, r in zip(*(right.column(c).to_pylist() for c in ("seg", "least", "runs")))
-        }
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+        done = [
+            pa.table({"key": keys, **{n: pa.array(c, t) for n, t, c in zip(names, kinds, rest)}})
+            for keys, *rest in (cut(_unpacked(data.as_py()), right) for data in left.column("rows"))
+        ]
+        return pa.concat_tables(done) if done else pa.table({"key": pa.array([], key_type), **{n: pa.array([], t) for n, t in zip(names, kinds)}})
+
+    def cut(block: tuple[pa.Array, pa.Array], right: pa.Table) -> tuple:
+        own, texts = block
+        keys = _keys(own)
+        names, place = np.unique(right.column("seg").to_numpy(), return_index=True)
+        least_of = right.column("least").to_numpy()
+        runs_of = right.column("runs").combine_chunks()
         hashes = np.unique(right.column("h").to_numpy())
         whole, begin = utf8(texts)
         mark = np.zeros(len(whole) + 1, np.int32)
-        for row, raw, shift, (h, text_of, first, last, _) in _parts(texts) if runs else ():
+        for row, raw, shift, (h, text_of, first, last, _) in _parts(texts) if len(names) else ():
             some = np.flatnonzero(np.isin((h.view(np.int64) >> 32).astype(np.int32), hashes))
-            data = raw.tobytes()
+            first, last, key = first[some], last[some], keys[row + text_of[some]]
+            name = hashes_of(raw, first, last + LENGTH).view(np.int64)
+            at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+            answer = place[at]
+            hit = np.flatnonzero((names[at] == name) & (least_of[answer] < key))
             base = int(begin[row]) + shift
-            for k, a, b in zip(keys[row + text_of[some]].tolist(), first[some].tolist(), last[some].tolist()):
-                least, cut = runs.get(digest(data[a : b + LENGTH]), (k, None))
-                if least >= k:
-                    continue
-                at = base + a
-                parts = [(b - a + 1, least)] if cut is None else np.frombuffer(cut, np.int64).reshape(2, -1).T.tolist()
-                for count, least in parts:
-                    if least < k:
-                        mark[at] += 1
-                        mark[at + count - 1 + LENGTH] -= 1
-                    at += count
+            whole_ = np.flatnonzero(runs_of.take(pa.array(answer[hit])).is_null().to_numpy(zero_copy_only=False))
+            plain = hit[whole_]
+            np.add.at(mark, base + first[plain], 1)
+            np.add.at(mark, base + last[plain] + LENGTH, -1)
+            for i in np.delete(hit, whole_).tolist():
+                count, least = np.frombuffer(runs_of[int(answer[i])].as_py(), np.int64).reshape(2, -1)
+                starts = base + first[i] + np.cumsum(count) - count
+                less = least < key[i]
+                np.add.at(mark, starts[less], 1)
+                np.add.at(mark, (starts + count - 1 + LENGTH)[less], -1)
         gone = np.cumsum(mark[:-1]) > 0
         rows: list[list] = [[], [], [], [], []]
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
@@ -447,23 +519,20 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
             spans = int(off[:1].sum() + (off[1:] & ~off[:-1]).sum())
             for column, value in zip(rows, (b - a, int(off.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)):
                 column.append(value)
-        return pa.table({
-            "key": left.column("key"), "n_bytes": pa.array(rows[0], pa.int64()),
-            "n_removed": pa.array(rows[1], pa.int64()), "n_spans": pa.array(rows[2], pa.int64()),
-            "kept_sha256": pa.array(rows[3], pa.string()), "kept": pa.array(rows[4], pa.binary()),
-        })
-
-    by_block = docs.select("block", "key", "text").groupBy("block")
-    sent = docs.select("block", "key", "text").mapInArrow(
+        return own, *rows
+
+    key_type = to_arrow_type(df.schema[key].dataType)
+    by_block = docs.select("block", "rows").groupBy("block")
+    sent = docs.select("block", "rows").mapInArrow(
         anchors, "bin long, block long, hashes binary, many binary"
     )
     back = stored(
         sent.groupBy("bin").applyInArrow(repeated, "block long, hashes binary"), "repeated"
     )
     found = by_block.cogroup(back.groupBy("block")).applyInArrow(
-        collect, "h long, at int, seg binary, low long, high long, block long"
+        collect, "h long, at int, name long, seg binary, low long, high long, block long"
     )
-    ordered = found.repartition("h").sortWithinPartitions("h", "at", "seg")
+    ordered = found.repartition("h").sortWithinPartitions("h", "at", "name")
     least = stored(
         ordered.mapInArrow(classes, "block long, h int, seg long, least long, runs binary"), "classes"
     )
