@@ -38,7 +38,7 @@ BITS, MOST_BITS = 1024, 1 << 15
 SAMPLE_ROWS, OFTEN, MOST_FREQUENT = 20_000, 6, 50_000
 #: Orders in which neighbours are looked for in a round, and the share of the links of the first
 #: round that a round has to find for another one to follow. They change the work, not the result.
-ORDERS, WORTH = 8, 0.05
+ORDERS, WORTH = 8, 0.2
 #: Pairs of pages that are looked at together.
 PAIRS = 250_000
 #: Keys of texts to be verified that are sent to the tasks; more are shuffled.
