@@ -30,8 +30,9 @@ LEAST_DOCUMENTS = 4
 BEGINNINGS = (4, 5)
 #: Least log-likelihood ratio of a feature of toxic words; about one chance in 10 ** 5.
 LEAST_RATIO = 20.0
-#: Labelled rows, toxic and other, that the model is fitted to.
-SAMPLE_ROWS = (800, 2_400)
+#: Labelled rows, toxic and other, that the model is fitted to, and the most bytes of their
+#: texts: the driver holds them while it learns.
+SAMPLE_ROWS, SAMPLE_BYTES = (600, 1_500), (1_500_000, 3_500_000)
 STEPS = 30
 #: Words that a worker remembers; beyond it the memory is emptied.
 WORDS = 400_000
@@ -235,22 +236,27 @@ def scale_inputs(total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, key: str, text: str, label: str, rows: tuple[int, int] = SAMPLE_ROWS
+    labelled: DataFrame, key: str, text: str, label: str, rows: tuple[int, int] = SAMPLE_ROWS,
+    sizes: tuple[int, int] = SAMPLE_BYTES,
 ) -> Model:
     """Fit to a bounded sample: at most ``rows`` rows labelled 1 and 0, the ones whose keys
-    have the smallest hashes. Rows without a label or with another one do not count. With no
-    toxic row every text scores near 0, with no other row 0.5."""
+    have the smallest hashes, without those that would bring their texts to more than ``sizes``
+    bytes. Rows without a label or with another one do not count. With no toxic row every text
+    scores near 0, with no other row 0.5."""
     texts: list[str] = []
     labels: list[int] = []
-    for value, most in ((1, rows[0]), (0, rows[1])):
+    for value, most, room in ((1, rows[0], sizes[0]), (0, rows[1], sizes[1])):
         own = labelled.filter(F.col(label) == value)
         # The ids are chosen first, so that texts are only carried for the rows that stay.
-        ids = [
-            r[0] for r in own.select(F.xxhash64(key).alias("h")).orderBy("h").limit(most).collect()
-        ]
+        size = F.coalesce(F.octet_length(text), F.lit(0)).alias("size")
+        ids = []
+        for r in own.select(F.xxhash64(key).alias("h"), size).orderBy("h", "size").limit(most).collect():
+            if r.size <= room:
+                room -= r.size
+                ids.append(r.h)
         if not ids:
             continue
-        picked = own.filter(F.xxhash64(key) <= max(ids)).select(text).limit(most)
+        picked = own.filter(F.xxhash64(key).isin(ids)).select(text).limit(most)
         for (t,) in picked.collect():
             texts.append(t or "")
             labels.append(value)
