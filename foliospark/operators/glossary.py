@@ -14,8 +14,11 @@ HOT_SHARE, HOT_PARTS, HOT_SAMPLE = 0.01, 64, 5_000
 # Fewer texts than this make no key too large for a task.
 HOT_TEXTS = 1_000_000
 
-# Needles up to this length are looked up whole.
-EXACT_LENGTH = 6
+# Needles up to this length are looked up by their first characters (all of two, three of
+# longer ones) at every position of a text, which shows as many characters there.
+EXACT_LENGTH, HEAD = 6, 3
+# Anchors (about 60 bytes each) that are sent to every task, counted first; more are shuffled.
+BROADCAST_ANCHORS = 500_000
 # Longer ones: (shortest length, gram length q). A text cut into consecutive grams of
 # length q holds one whole gram of every occurrence of a needle of 2q - 1 characters
 # or more, whichever of the needle's q phases it falls on.
@@ -86,11 +89,12 @@ def _needles(terms: DataFrame) -> DataFrame:
 def _anchors(needles: DataFrame) -> DataFrame:
     """(cls, gram) pairs that lead to each needle; ``cls`` is the gram length.
 
-    A short needle is its own gram. A longer one takes the q consecutive grams it
+    A short needle has its first characters. A longer one takes the q consecutive grams it
     shares least with other needles, so that a common prefix makes no hot gram."""
     size = F.length("needle")
+    first = F.least(size, F.lit(HEAD))
     short = needles.filter(size <= EXACT_LENGTH).select(
-        "ord", "needle", F.lit(False).alias("cut"), size.alias("q"), F.col("needle").alias("gram")
+        "ord", "needle", F.lit(False).alias("cut"), first.alias("q"), F.left("needle", first).alias("gram")
     )
     q = F.lit(None).cast("int")
     for least, n in LONG_CLASSES:
@@ -122,15 +126,22 @@ def _anchors(needles: DataFrame) -> DataFrame:
 
 
 def _text_grams(classes: list[tuple[bool, int]]) -> Column:
-    """Distinct grams of a text, every position for whole needles, consecutive ones
-    for cut needles; one linear pass per class."""
+    """Distinct grams of a text: for short needles what stands at every position (``seen``, its
+    first characters being the gram), for cut needles consecutive grams; one linear pass per
+    class."""
 
     def grams(cut: bool, q: int) -> Column:
-        pattern, group = (f"(?s).{{{q}}}", 0) if cut else (f"(?s)(?=(.{{{q}}})).", 1)
-        found = F.regexp_extract_all(F.col("_low"), F.lit(pattern), F.lit(group))
+        if cut:
+            found = F.regexp_extract_all(F.col("_low"), F.lit(f"(?s).{{{q}}}"), F.lit(0))
+        else:
+            most = EXACT_LENGTH if q == HEAD else q
+            found = F.regexp_extract_all(F.col("_low"), F.lit(f"(?s)(?=(.{{{q},{most}}}))."), F.lit(1))
         return F.transform(
             F.array_distinct(found),
-            lambda g: F.struct(F.lit(cut).alias("cut"), F.lit(q).alias("q"), g.alias("gram")),
+            lambda g: F.struct(
+                F.lit(cut).alias("cut"), F.lit(q).alias("q"),
+                (g if cut else F.left(g, F.lit(q))).alias("gram"), g.alias("seen"),
+            ),
         )
 
     return F.concat(*[grams(*c) for c in classes])
@@ -149,18 +160,25 @@ def _hot_grams(grams: DataFrame, anchors: DataFrame, texts: DataFrame, by: list[
 
 
 def _proposals(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_row, ord, cut) for every gram that a text and a term share. A gram that many texts hold
-    is dealt to several tasks, and its terms to each of them."""
+    """(_row, ord, cut) for every gram that a text and a term share; a short term stands there
+    whole. Anchors go to the texts where they are few. Otherwise both are shuffled, and a gram
+    that many texts hold is dealt to several tasks, and its terms to each of them."""
     by = ["cut", "q", "gram"]
-    hot = _hot_grams(grams, anchors, texts, by)
-    if hot is not None:
-        hot = F.broadcast(hot.withColumn("_hot", F.lit(HOT_PARTS)))  # bounded by the sample
-        part = F.pmod("_row", F.coalesce("_hot", F.lit(1))).cast("int")
-        grams = grams.join(hot, by, "left").withColumn("_part", part).drop("_hot")
-        last = F.coalesce("_hot", F.lit(1)) - 1
-        anchors = anchors.join(hot, by, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
-        by = [*by, "_part"]
-    return grams.join(anchors.select("ord", *by), by).select("_row", "ord", "cut").distinct()
+    anchors = anchors.select("ord", *by, F.when(~F.col("cut"), F.col("needle")).alias("short"))
+    if anchors.count() <= BROADCAST_ANCHORS:
+        anchors = F.broadcast(anchors)
+    else:
+        hot = _hot_grams(grams, anchors, texts, by)
+        if hot is not None:
+            hot = F.broadcast(hot.withColumn("_hot", F.lit(HOT_PARTS)))  # bounded by the sample
+            part = F.pmod("_row", F.coalesce("_hot", F.lit(1))).cast("int")
+            grams = grams.join(hot, by, "left").withColumn("_part", part).drop("_hot")
+            last = F.coalesce("_hot", F.lit(1)) - 1
+            anchors = anchors.join(hot, by, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+            by = [*by, "_part"]
+    met = grams.join(anchors, by)
+    stands = F.col("cut") | F.coalesce(F.startswith("seen", "short"), F.lit(False))
+    return met.filter(stands).select("_row", "ord", "cut").distinct()
 
 
 def match_terms(
@@ -187,7 +205,7 @@ def match_terms(
     low = texts.select(row, F.lower(F.col(text)).alias("_low")).filter("_low IS NOT NULL")
     # outer: an inner explode of a computed array is evaluated again in an inferred filter
     grams = low.select("_row", F.explode_outer(_text_grams(kinds)).alias("g"))
-    grams = grams.filter("g.gram IS NOT NULL").select("_row", "g.cut", "g.q", "g.gram")
+    grams = grams.filter("g.gram IS NOT NULL").select("_row", "g.cut", "g.q", "g.gram", "g.seen")
     proposed = _proposals(grams, anchors, texts)
     checked = proposed.filter("cut").join(needles, "ord").join(low, "_row")
     checked = checked.filter(F.contains("_low", "needle")).select("_row", "ord").distinct()

@@ -87,7 +87,8 @@ def test_glossary_matches(spark, monkeypatch):
         (i, o) for i, t in texts for o, w in enumerate(words)
         if len(w.strip().lower()) >= 2 and w.strip().lower() in t.lower()
     }
-    for texts_at_least in (1_000_000, 1):
+    for few, texts_at_least in ((500_000, 1), (0, 1_000_000), (0, 1)):
+        monkeypatch.setattr(G, "BROADCAST_ANCHORS", few)
         monkeypatch.setattr(G, "HOT_TEXTS", texts_at_least)
         monkeypatch.setattr(G, "HOT_SAMPLE", 40)
         hits = G.match_terms(docs, "id", "text", terms, top=None)
