@@ -111,7 +111,6 @@ PROVIDERS = (
 )
 CUSTOM_PROVIDER = "Custom OpenAI-compatible"
 OFFLINE_PROVIDER = "Offline NLLB-600M"
-OFFLINE_MODEL = "nllb-600m-Q4_0"
 MODEL_MIN_BYTES = 450 * 1024 * 1024
 OFFLINE_SCHEME = "offline://nllb"
 MODEL_EXCLUDED = (
