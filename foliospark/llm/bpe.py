@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import slices, texts_of
 
 #: Pieces whose ids a worker remembers; beyond it the memory is emptied.
-PIECES = 200_000
+PIECES = 300_000
 #: Bytes of text whose pieces are split and merged together; a longer text is read in parts.
 SLICE = 500_000
 #: Pieces of a long text that are held at a time.
