@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .common import slices, stored
@@ -33,6 +34,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: Bytes of text whose words are looked at together.
+SLICE = 1_000_000
+
+
 @dataclass
 class Pieces:
     """The pieces of some texts, whose bytes stand in a row. Arrays of pieces have one entry
@@ -140,7 +145,7 @@ def dedup(
     of one key in the order of a hash; equal rows count as one text and are all kept alike."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             raw, starts = shingles.utf8(batch.column(2))
             own, value, first, last = runs(cut_pieces(raw, starts), least_sentences, least_words)
             at = pa.array(own)
@@ -151,7 +156,7 @@ def dedup(
             )
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             raw, starts = shingles.utf8(batch.column(1))
             p = cut_pieces(raw, starts)
             removed, kept = [], []
@@ -181,7 +186,13 @@ def dedup(
     places = stored(
         docs.mapInArrow(find, f"_row long, _key {kind}, _hash long, _first int, _last int"), "runs"
     )
-    order = F.struct(F.col("_key").isNull().alias("n"), "_key", "_row", "_first")
+    # Null keys come last. For whole numbers the largest one stands for them, which spares a flag
+    # in every row that is shuffled; a text with that very key then ties with them.
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        place = [F.coalesce(F.col("_key").cast("long"), F.lit((1 << 63) - 1)).alias("_key")]
+    else:
+        place = [F.col("_key").isNull().alias("n"), F.col("_key")]
+    order = F.struct(*place, "_row", "_first")
     # A hash that stands for a third of the rows is reduced before the shuffle, and meets the
     # rows in a join that can be split.
     first = stored(
