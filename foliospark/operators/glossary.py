@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
+from .staging import durable
 
 TERM_COLUMNS = ("english", "vietnamese", "category", "note")
 # A gram that this share of a sample of texts holds is dealt to this many tasks.
@@ -17,6 +24,13 @@ HOT_TEXTS = 1_000_000
 # Needles up to this length are looked up by their first characters (all of two, three of
 # longer ones) at every position of a text, which shows as many characters there.
 EXACT_LENGTH, HEAD = 6, 3
+# Terms (about 200 bytes each in a Python worker) that are sent to every task, counted first; with
+# more of them texts and terms are shuffled.
+BROADCAST_TERMS = 100_000
+# Words of texts, of at most so many characters, whose terms a task remembers.
+MEMO_WORDS, MEMO_LENGTH = 200_000, 32
+# Texts of a batch that are turned into Python strings at a time.
+TEXTS_AT_ONCE = 256
 # Anchors (about 60 bytes each) that are sent to every task, counted first; more are shuffled.
 BROADCAST_ANCHORS = 500_000
 # Longer ones: (shortest length, gram length q). A text cut into consecutive grams of
@@ -181,21 +195,111 @@ def _proposals(grams: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFr
     return met.filter(stands).select("_row", "ord", "cut").distinct()
 
 
+class WordIndex:
+    """Terms by a word they hold. Each word of a term (what stands between white space) lies inside
+    one word of a text; a term of several words is found by the one that the fewest terms hold, of
+    equals the longest, and whether the text has all of it is seen in the text."""
+
+    def __init__(self, terms: list[tuple[int, str]]):
+        self.terms = sorted(terms)
+        split = [needle.split() for _, needle in self.terms]
+        held = Counter(w for words in split for w in set(words))
+        #: Every beginning of a word of the index, with the places of the terms that are the word
+        #: and of those that have others too. White space alone stands at the empty word.
+        self.places: dict[str, tuple[list[int], list[int]]] = {"": ([], [])}
+        for place, ((_, needle), words) in enumerate(zip(self.terms, split)):
+            word = min(words, key=lambda w: (held[w], -len(w)), default="")
+            for n in range(1, len(word)):
+                self.places.setdefault(word[:n], ([], []))
+            self.places.setdefault(word, ([], []))[word != needle].append(place)
+        self.memo: dict[str, tuple[list[int], list[int]]] = {}
+
+    def inside(self, word: str) -> tuple[list[int], list[int]]:
+        """Places of the terms that stand in a word of a text, in order, and of those of which
+        only a word does."""
+        known = self.memo.get(word)
+        if known is not None:
+            return known
+        whole: set[int] = set()
+        part: set[int] = set()
+        get, size = self.places.get, len(word)
+        for i in range(size):
+            for j in range(i + 1, size + 1):
+                places = get(word[i:j])
+                if places is None:
+                    break
+                whole.update(places[0])
+                part.update(places[1])
+        found = (sorted(whole), sorted(part))
+        if size <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo.clear()
+            self.memo[word] = found
+        return found
+
+    def first(self, text: str, top: int | None) -> list[int]:
+        """The first ``top`` terms of a text, in order."""
+        met: set[int] = set()
+        open_ = set(self.places[""][1])
+        last = len(self.terms)  # ``top`` terms are known that do not come after this one
+        for word in set(text.split()):
+            whole, part = self.inside(word)
+            if whole and whole[0] <= last:
+                met.update(whole[: bisect_right(whole, last)])
+                if top and len(met) > 2 * top:
+                    met = set(sorted(met)[:top])
+                    last = max(met)
+            if part:
+                open_.update(part)
+        met.update(p for p in open_ if p <= last and self.terms[p][1] in text)
+        return [self.terms[p][0] for p in (sorted(met)[:top] if top else sorted(met))]
+
+
+def _match_in_tasks(low: DataFrame, needles: DataFrame, top: int | None) -> DataFrame:
+    """(key, ord, rank) with all terms in every task, text by text."""
+    terms = low.sparkSession.sparkContext.broadcast([(r.ord, r.needle) for r in needles.collect()])
+    schema = T.StructType([low.schema[0], T.StructField("ord", needles.schema["ord"].dataType), T.StructField("rank", T.IntegerType())])
+    name = low.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = WordIndex(terms.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                found = [index.first(t, top) for t in some.column(1).to_pylist()]
+                rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0).take(rows), pa.array([o for f in found for o in f], pa.int64()),
+                        pa.array([n for f in found for n in range(1, len(f) + 1)], pa.int32()),
+                    ],
+                    [name, "ord", "rank"],
+                )
+
+    return low.mapInArrow(run, schema)
+
+
 def match_terms(
     texts: DataFrame, key: str, text: str, terms: DataFrame, top: int | None = P.GLOSSARY_TOP
 ) -> DataFrame:
     """(key, ord, rank) for terms whose English side occurs anywhere in a text, in any
-    case and regardless of word boundaries; per text the first ``top`` in glossary order.
+    case and regardless of word boundaries; per text the first ``top`` in glossary order. ``ord``
+    is the term's own number, a bigint.
 
-    A substring join that never compares every text with every term: texts and terms meet in
-    an equi-join on grams, each term represented by its rarest ones, and for longer terms
-    ``contains`` decides. The texts themselves travel once, for what needs that decision. Each
-    partition keeps ``top`` terms of a text before anything is grouped by text.
+    A substring join that never compares every text with every term. Up to ``BROADCAST_TERMS``
+    terms go to the tasks, indexed by a word of theirs, and meet each text there word by word
+    (``WordIndex``); nothing is shuffled. With more, texts and terms meet in an equi-join on
+    grams, each term represented by its rarest ones, and for longer terms ``contains`` decides.
+    The texts themselves travel once, for what needs that decision. Each partition keeps ``top``
+    terms of a text before anything is grouped by text.
 
     Texts may repeat and share keys, also null ones: each row has its own terms. Null texts have
     none."""
-    needles = _needles(terms)
-    anchors = _anchors(needles)
+    needles = durable(_needles(terms).withColumn("ord", F.col("ord").cast("bigint")))
+    if needles.count() <= BROADCAST_TERMS:
+        low = texts.select(key, F.lower(F.col(text)).alias("_low")).filter("_low IS NOT NULL")
+        return _match_in_tasks(low, needles, top)
+    anchors = durable(_anchors(needles))
     kinds = sorted((r[0], r[1]) for r in anchors.select("cut", "q").distinct().collect())  # <= 8
     if not kinds:
         none = {"ord": F.lit(0).cast("bigint"), "rank": F.lit(0)}
@@ -206,7 +310,7 @@ def match_terms(
     # outer: an inner explode of a computed array is evaluated again in an inferred filter
     grams = low.select("_row", F.explode_outer(_text_grams(kinds)).alias("g"))
     grams = grams.filter("g.gram IS NOT NULL").select("_row", "g.cut", "g.q", "g.gram", "g.seen")
-    proposed = _proposals(grams, anchors, texts)
+    proposed = durable(_proposals(grams, anchors, texts))
     checked = proposed.filter("cut").join(needles, "ord").join(low, "_row")
     checked = checked.filter(F.contains("_low", "needle")).select("_row", "ord").distinct()
     hits = proposed.filter("NOT cut").select("_row", "ord").unionByName(checked)

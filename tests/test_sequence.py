@@ -181,3 +181,32 @@ def test_route(spark, monkeypatch):
         want[i] = (served, failed, held)
     assert got == want
     assert RT.route(df.limit(0), "g", "ts", "i", ["c0"]).count() == 0
+
+
+def test_a_small_glossary_meets_texts_in_their_tasks(spark, monkeypatch):
+    """Nothing is shuffled, and both ways give the terms that ``in`` gives."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("ab \n é") for _ in range(n))
+    docs = [(i, text(rng.randrange(60))) for i in range(300)] + [(300, None), (300, "A B"), (None, "a b")]
+    needles = sorted({text(rng.randrange(1, 9)).strip() for _ in range(300)} - {""} | {"  ", "a b", "a\nb a"})
+    terms = spark.createDataFrame([(n * 3, w) for n, w in enumerate(needles)], "ord bigint, english string")
+    frame = spark.createDataFrame(docs, "id int, text string").repartition(3)
+    keys = [r.needle for r in G._needles(terms).collect()]
+    assert "  " in keys
+    ordered = G._needles(terms).orderBy("ord").collect()
+    for top in (None, 4):
+        want = []
+        for i, t in docs:
+            hits = [r.ord for r in ordered if r.needle in t.lower()] if t else []
+            want += [(i or -1, o, n + 1) for n, o in enumerate(hits) if not top or n < top]
+        for most, anchors in ((G.BROADCAST_TERMS, 0), (0, G.BROADCAST_ANCHORS), (0, 0)):
+            with monkeypatch.context() as m:
+                m.setattr(G, "BROADCAST_TERMS", most)
+                m.setattr(G, "BROADCAST_ANCHORS", anchors)
+                m.setattr(G, "HOT_TEXTS", 1)
+                m.setattr(G, "HOT_SAMPLE", 40)
+                got = G.match_terms(frame, "id", "text", terms, top=top)
+                assert sorted((r.id or -1, r.ord, r.rank) for r in got.collect()) == sorted(want)
+                if most:
+                    plan = got._jdf.queryExecution().optimizedPlan().toString()
+                    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
