@@ -13,10 +13,8 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import markup as M
 from ..functions import provider as PV
@@ -103,32 +101,23 @@ def ask(
     machine, a metered provider a few); by default every task calls."""
     if in_flight:
         df = df.repartition(in_flight)
-    schema = T.StructType(df.schema.fields + [
-        T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()),
-    ])
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = False
-        for pdf in batches:
-            answers, errors = [], []
-            for p, c in zip(pdf[prompt], pdf[context]):
-                if held:
-                    answers.append(None)
-                    errors.append(None)
-                    continue
-                try:
-                    answers.append(translator(p, c))
-                    errors.append(None)
-                except Exception as e:
-                    answers.append(None)
-                    errors.append(str(e) or type(e).__name__)
-                    held = stop_on_hold and PV.hold_ms(errors[-1]) > 0
-            yield pdf.assign(
-                answer=pd.Series(answers, index=pdf.index, dtype=object),
-                error=pd.Series(errors, index=pdf.index, dtype=object),
-            )
-
-    return df.mapInPandas(call, schema)
+    held = [False]  # of one task: each gets a copy of its own
+
+    def call(prompt: str, context: str) -> tuple[str | None, str | None]:
+        if held[0]:
+            return None, None
+        try:
+            return translator(prompt, context), None
+        except Exception as e:
+            error = str(e) or type(e).__name__
+            held[0] = stop_on_hold and PV.hold_ms(error) > 0
+            return None, error
+
+    # A plain function gets about a hundred rows at a time, and of a row only prompt and context;
+    # an Arrow batch has 10,000 whole rows, however long. Not deterministic: called once a row.
+    said = F.udf(call, "answer string, error string", useArrow=False).asNondeterministic()
+    asked = df.withColumn("_said", said(F.col(prompt), F.col(context)))
+    return asked.select(*df.columns, "_said.answer", "_said.error")
 
 
 def ask_in_order(

@@ -16,6 +16,7 @@ from ..operators import translate as TR
 from ..operators import units as U
 from ..operators.offline import prompt_adapter
 from ..operators.staging import checkpoint_folder, durable
+from ..operators.translate import BATCH
 from ..sources import state as ST_SRC
 from . import sqltext as S
 from .registry import query, spread, table
@@ -43,7 +44,7 @@ def careless(prompt: str, context: str) -> str:
         n = text.count("w") % 5
         return n not in (1, 2) or (n == 1 and head.startswith("Translate the whole unit"))
 
-    if prompt.startswith(TR.BATCH):
+    if prompt.startswith(BATCH):
         items = [i for i in json.loads(prompt_adapter(echo)(prompt, context)) if answered(i["translation"])]
         return json.dumps(items, ensure_ascii=False)
     return prompt_adapter(echo)(prompt, context) if answered(fragment) else ""

@@ -289,3 +289,21 @@ def test_cooldown_stream(spark, tmp_path):
     q = cooldown.mark_skipped(calls).writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.call_id: r.skipped for r in spark.table("held").collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_ask_hands_over_prompts_only(spark):
+    """A call for each row, and no batch of whole rows in Python."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer(prompt, context):
+        calls.add(1)
+        if prompt == "p3":
+            raise ValueError("no")
+        return prompt.upper()
+
+    rows = spark.range(20).selectExpr("id", "concat('p', id) AS prompt", "'c' AS context", "repeat('x', 1000) AS wide")
+    asked = TR.ask(rows, answer)
+    got = {r.id: (r.answer, r.error, len(r.wide)) for r in asked.filter("answer IS NOT NULL OR error IS NOT NULL").collect()}
+    assert got == {i: (None, "no", 1000) if i == 3 else (f"P{i}", None, 1000) for i in range(20)}
+    assert calls.value == 20
+    assert "InPandas" not in asked._jdf.queryExecution().executedPlan().toString()
