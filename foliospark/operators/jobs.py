@@ -3,6 +3,8 @@ pages in slices that are committed one by one."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ from . import sequence as SQ
 from . import state as ST
 from . import translate as TR
 from . import units as U
-from .staging import durable
+from .staging import checkpoint_folder, durable
+
+# Files of a slice at most, so that several tasks write and read it.
+SLICE_FILES = 8
 
 
 def book_job(
@@ -57,22 +62,29 @@ def page_job(
     through the page recovery in slices, in order of file and page, and a slice is committed as
     a version of its own when it is done, so that a run that dies loses one slice at most.
     ``slices`` ends a run early. Failed pages keep their source, are marked, and are asked for
-    again by the next run."""
+    again by the next run. The units of all slices are first put into a folder for each slice,
+    beside the checkpoints, so that a slice reads its own and not all units again."""
     spark = units.sparkSession
-    texts = units.groupBy("file", "page").agg(
-        F.max(F.when(~X.is_blank(F.col("source")), F.col("source"))).alias("text")
-    )
+    some_text = F.bool_or(~X.is_blank(F.col("source")))
+    texts = durable(units.groupBy("file", "page").agg(F.when(some_text, "text").alias("text")))
     PR.require_text_layer(PR.page_text_profile(texts, "file", "text")).agg(F.count("*")).collect()
     finished = SS.read_pages(spark, path).filter(~F.col("failed") & ~X.is_blank(F.col("text")))
     todo = texts.select("file", "page").join(finished, ["file", "page"], "left_anti")
     numbered = durable(_numbered(todo, ["file", "page"], "_place"))
     total = numbered.count()
     wanted = -(-total // pages_per_slice)
-    for n in range(wanted if slices is None else min(slices, wanted)):
-        low = n * pages_per_slice
-        part = numbered.filter(F.col("_place").between(low, low + pages_per_slice - 1)).select("file", "page")
-        some = units.join(part, ["file", "page"]).withColumn("page", F.struct("file", "page"))
-        pages = TR.translate_pages(some, translator, in_flight=in_flight)
+    wanted = wanted if slices is None else min(slices, wanted)
+    part = numbered.withColumn("_slice", F.floor(F.col("_place") / pages_per_slice).cast("int"))
+    part = part.filter(F.col("_slice") < wanted).select("file", "page", "_slice")
+    folder = f"{checkpoint_folder(spark)}/page-slices-{uuid.uuid4().hex}"
+    some = units.join(part, ["file", "page"])
+    dealt = some.repartition("_slice", F.pmod(F.xxhash64("file", "page"), F.lit(SLICE_FILES)))
+    dealt.write.partitionBy("_slice").parquet(folder)
+    for n in range(wanted):
+        rows = spark.read.schema(some.drop("_slice").schema).parquet(f"{folder}/_slice={n}")
+        pages = TR.translate_pages(
+            rows.withColumn("page", F.struct("file", "page")), translator, in_flight=in_flight
+        )
         SS.write_pages(
             pages.select("page.file", "page.page", "text", "failed", F.lit(P.LAYOUT_VERSION).alias("layout_version")),
             path, whole=False,

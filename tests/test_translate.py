@@ -291,6 +291,24 @@ def test_cooldown_stream(spark, tmp_path):
     assert {r.call_id: r.skipped for r in spark.table("held").collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_page_job_reads_units_as_often_for_many_slices(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    base = spark.createDataFrame([("a", p, u, f"text {p} {u}") for p in range(6) for u in range(2)], "file string, page bigint, unit int, source string")
+    units = base.withColumn("source", F.udf(seen, "string").asNondeterministic()("source"))
+    reads = []
+    for n, size in enumerate((6, 1)):
+        before = read.value
+        got = jobs.page_job(units, str(tmp_path / f"p{n}"), lambda p, c: p.split("\n\n", 1)[1], pages_per_slice=size).collect()
+        assert len(got) == 6 and not any(r.failed for r in got)
+        reads.append(read.value - before)
+    assert reads[0] == reads[1]
+
+
 def test_ask_hands_over_prompts_only(spark):
     """A call for each row, and no batch of whole rows in Python."""
     calls = spark.sparkContext.accumulator(0)
