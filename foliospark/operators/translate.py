@@ -178,6 +178,7 @@ def batch_candidates(
 ) -> DataFrame:
     """(id, candidate) for the units a batch answer covers with intact markup.
     A batch that fails gives no rows and leaves its units to the single-unit rounds."""
+    batched = durable(batched)  # read for the prompts and for what the answers belong to
     prompts = batch_prompts(batched, keys)
     if contexts is not None:
         extra = F.coalesce(F.concat(F.lit("\n\n"), "terminology"), F.lit(""))
@@ -237,7 +238,7 @@ def translate_units(units: DataFrame, translator: Translator, candidates: DataFr
 
     direct_prompt = F.concat(F.lit(DIRECT), "protected")
     short = F.length(X.strip_markup(F.col("inner"))) <= DIRECT_CHARS
-    given = pinned(given, {"short": short})
+    given = durable(given.withColumn("short", short))  # read by the first two steps
     first = ask(given.filter("short").withColumn("prompt", direct_prompt), translator, in_flight=in_flight)
     open_short = settle(_check(first, F.col("answer"), "direct"))
     waiting = given.filter("NOT short").select(*_KEPT, "candidate").unionByName(

@@ -65,7 +65,7 @@ _W = "(length(plain) - length(replace(plain, 'w', ''))) % 5"
 def translate_units(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("OEBPS/page"), F.col("page_id").cast("string"), F.lit(".xhtml"))
     pages = spread(table(spark, d, "pages").select(name.alias("file"), "html"))
-    units = U.extract_units(pages, "file", "html").filter("translatable")
+    units = durable(U.extract_units(pages, "file", "html").filter("translatable"))
     batches = SQ.greedy_batches(units, "file", "ordinal", X.utf16_length(F.col("inner")))
     batched = units.join(batches.drop("size"), ["file", "ordinal"])
     candidates = TR.batch_candidates(batched, ["file", "batch_no"], careless)

@@ -325,3 +325,17 @@ def test_ask_hands_over_prompts_only(spark):
     assert got == {i: (None, "no", 1000) if i == 3 else (f"P{i}", None, 1000) for i in range(20)}
     assert calls.value == 20
     assert "InPandas" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_translate_units_reads_units_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    some = units(spark, "Short one.", TEXT, "Short two.", TEXT + TEXT)
+    some = some.withColumn("inner", F.udf(seen, "string").asNondeterministic()("inner"))
+    got = TR.translate_units(some, lambda p, c: p.split("\n\n", 1)[1]).collect()
+    assert len(got) == 4
+    assert read.value == 4
