@@ -38,7 +38,7 @@ def book_job(
         "id", "r.file", "r.source_hash", "r.translation", "r.status", "r.attempts"
     )
     done = durable(ST.recover(units, once).filter("done"))
-    todo = ST.pending(units, done)
+    todo = durable(ST.pending(units, done))
     batches = SQ.greedy_batches(todo, "file", "ordinal", X.utf16_length(F.col("inner")))
     batched = todo.join(batches.drop("size"), ["file", "ordinal"])
     candidates = TR.batch_candidates(batched, ["file", "batch_no"], translator, in_flight=in_flight)
