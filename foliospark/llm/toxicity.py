@@ -235,22 +235,28 @@ def scale_inputs(total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log(total + 1e-4), np.log1p(tokens)], axis=1)
 
 
+def measured(df: DataFrame, key: str, text: str, size: str | None = None) -> DataFrame:
+    """``(h, size)`` per row: a hash of the key and the bytes of the text, read from ``size`` if named."""
+    known = F.octet_length(text) if size is None else F.col(size)
+    return df.select(F.xxhash64(key).alias("h"), F.coalesce(known, F.lit(0)).alias("size"))
+
+
 def fit(
     labelled: DataFrame, key: str, text: str, label: str, rows: tuple[int, int] = SAMPLE_ROWS,
-    sizes: tuple[int, int] = SAMPLE_BYTES,
+    sizes: tuple[int, int] = SAMPLE_BYTES, size: str | None = None,
 ) -> Model:
     """Fit to a bounded sample: at most ``rows`` rows labelled 1 and 0, the ones whose keys
     have the smallest hashes, without those that would bring their texts to more than ``sizes``
     bytes. Rows without a label or with another one do not count. With no toxic row every text
-    scores near 0, with no other row 0.5."""
+    scores near 0, with no other row 0.5. ``size`` names a column with the texts' bytes: where
+    ``labelled`` is a join, it spares carrying all texts through it only to measure them."""
     texts: list[str] = []
     labels: list[int] = []
     for value, most, room in ((1, rows[0], sizes[0]), (0, rows[1], sizes[1])):
         own = labelled.filter(F.col(label) == value)
         # The ids are chosen first, so that texts are only carried for the rows that stay.
-        size = F.coalesce(F.octet_length(text), F.lit(0)).alias("size")
         ids = []
-        for r in own.select(F.xxhash64(key).alias("h"), size).orderBy("h", "size").limit(most).collect():
+        for r in measured(own, key, text, size).orderBy("h", "size").limit(most).collect():
             if r.size <= room:
                 room -= r.size
                 ids.append(r.h)

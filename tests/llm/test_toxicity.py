@@ -92,3 +92,10 @@ def test_edges(spark):
     none = toxicity.fit(df.filter("false"), "doc_id", "text", "toxic")
     assert {r.predicted for r in toxicity.score(df, "doc_id", "text", none).collect()} == {0}
     assert toxicity.score(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def test_texts_are_measured_below_the_join(spark):
+    """Texts stay out of the join that chooses the sample."""
+    rows = toxicity.measured(queries.labelled(spark, SF_DIR), "doc_id", "text", "size")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("octet_length")
