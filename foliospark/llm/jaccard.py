@@ -39,6 +39,8 @@ SAMPLE_ROWS, OFTEN, MOST_FREQUENT = 20_000, 6, 50_000
 #: Orders in which neighbours are looked for in a round, and the share of the links of the first
 #: round that a round has to find for another one to follow. They change the work, not the result.
 ORDERS, WORTH = 8, 0.2
+#: Bytes of text whose shingles are looked at together.
+SLICE = 1_000_000
 #: Pairs of pages that are looked at together.
 PAIRS = 250_000
 #: Keys of texts to be verified that are sent to the tasks; more are shuffled.
@@ -95,7 +97,7 @@ def describe(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, n_shingles, set, bits)`` per row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             h, starts = shingles.sets(batch.column(1))
             own = [bitmap(h[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -111,14 +113,21 @@ def frequent(df: DataFrame, key: str, text: str) -> np.ndarray:
     """Shingles of many sets of a sample, ordered by hash; ``MOST_FREQUENT`` at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        sent: set[int] = set()
+        for batch in slices(batches, text, SLICE):
             h, starts = shingles.sets(batch.column(0))
-            names = np.repeat(_names(h, starts), np.diff(starts))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names)], names=["h", "set"])
+            names = _names(h, starts)
+            new = np.zeros(len(names), bool)
+            for i, name in enumerate(names.tolist()):
+                new[i] = name not in sent
+                sent.add(name)
+            new, names = np.repeat(new, np.diff(starts)), np.repeat(names, np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(names[new])], names=["h", "set"])
 
     rows = sample(df, key, SAMPLE_ROWS).select(text).mapInArrow(run, "h long, set long")
-    # Few shingles are frequent; equal sets count once.
-    counted = rows.groupBy("h").agg(F.approx_count_distinct("set").alias("c")).filter(F.col("c") >= OFTEN)
+    # Few shingles are frequent; equal sets count once. A sketch for each shingle would take half
+    # a kilobyte, and nearly all shingles stand in one set; one shuffle serves both groupings.
+    counted = rows.repartition("h").distinct().groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= OFTEN)
     found = [r.h for r in counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()]
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
@@ -129,7 +138,7 @@ def shared_prefixes(df: DataFrame, text: str, late: np.ndarray) -> DataFrame:
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             h, starts = shingles.sets(batch.column(0))
             names, size = _names(h, starts), np.diff(starts)
             if len(late):
@@ -222,7 +231,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets do overlap by three quarters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b", 2_000_000):
+        for batch in slices(batches, "text_b", SLICE):
             left, ls = shingles.sets(batch.column(2))
             right, rs = shingles.sets(batch.column(3))
             shared = np.array([
@@ -432,7 +441,7 @@ def _checked(texts: DataFrame) -> DataFrame:
     """Rows whose text has the set that they stand for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             h, starts = shingles.sets(batch.column(1))
             yield batch.filter(pa.array(_names(h, starts) == batch.column(0).to_numpy()))
 

@@ -124,3 +124,17 @@ def test_sql(spark):
     got = queries.op10_shingle_join(spark, d).toPandas()
     assert difference(got, connect(d).execute(queries.SQL["op10_shingle_join"]).df()) is None
     assert (got.component_id < got.doc_id).any()
+
+
+def test_frequent_shingles_are_counted_once_a_set(spark, monkeypatch):
+    """Copies do not count, on whichever task they are; the counts are exact."""
+    sketches = []
+    monkeypatch.setattr(jaccard.F, "approx_count_distinct", lambda *a, **k: sketches.append(a))
+    common = "one two three four five"
+    rows = [(i, f"{common} tail{i} and more words") for i in range(jaccard.OFTEN)]
+    rows += [(100 + i, "copy of a text that many rows hold") for i in range(40)]
+    rows += [(200 + i, f"six seven eight nine ten other{i} end of it") for i in range(jaccard.OFTEN - 1)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(7)
+    want, _ = shingles.sets(pa.array([common]))
+    assert jaccard.frequent(df, "k", "t").tolist() == want.tolist()
+    assert not sketches
