@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """first[0] .. last[0] - 1, first[1] .. last[1] - 1 and so on."""
     size = last - first
     total = int(size.sum())
@@ -45,7 +45,7 @@ def suffix_arrays(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     live = np.flatnonzero(top > begin)
     while len(live):
         low = group[order[top[live] - 1]]
-        members = order[_ranges(low, top[live])]
+        members = order[ranges(low, top[live])]
         rank = group[members]
         to = before[members]
         while True:
@@ -85,7 +85,7 @@ def _split(
     moved = np.repeat(part, size)
     some, heads, tails, cut, size = some[moved], heads[part], tails[part], cut[part], size[part]
     marked[some] = True
-    slots = _ranges(cut, tails)
+    slots = ranges(cut, tails)
     out = slots[~marked[order[slots]]]
     at = place[some]
     into = at[at < np.repeat(cut, size)]

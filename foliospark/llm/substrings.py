@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored
-from .grouping import suffix_arrays
-from .shingles import hashes_of, mix, utf8
+from .grouping import ranges, suffix_arrays
+from .shingles import hashes_of, mix, powers, utf8
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1  # anchors that a window chooses from
@@ -36,9 +36,9 @@ SPAN = LENGTH - K + 1  # anchors that a window chooses from
 BLOCK_BYTES, SLICE_BYTES = 4_000_000, 2_000_000
 #: Bytes of text for each bin of anchors: about 9 MB of hashes.
 BIN_BYTES = 24_000_000
-#: Bytes of an anchor's segments above which they are cut into pieces of fewer windows, and
-#: bytes that a task sorts side by side.
-LARGE, TOGETHER = 6_000, 2_000_000
+#: Bytes of an anchor's segments above which they are cut into pieces of fewer windows (a
+#: stretch before the anchor), and bytes that a task answers side by side.
+LARGE, STRETCH, TOGETHER = 100, 4, 2_000_000
 #: Stands for a null key: no key is greater.
 LAST = np.iinfo(np.int64).max
 
@@ -154,29 +154,40 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]: at[-1]], at - at[0]
 
 
-def least_keys(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
-    """For each group of (segment, key), and each segment: the least key of each window among
-    the group's segments. One suffix array for each group, all sorted side by side."""
-    symbols, starts, where, whose, keys = [], [0], [], [], []
-    total = 0
-    for segs in groups:
-        for seg, key in segs:
-            own = np.frombuffer(seg, np.uint8).astype(np.int64) + 2
-            symbols += [own, np.ones(1, np.int64)]
-            count = len(seg) - LENGTH + 1
-            where.append(np.arange(total, total + count))
-            whose.append(np.full(count, len(keys)))
-            keys.append(key)
-            total += len(seg) + 1
-        symbols.append(np.zeros(1, np.int64))
-        total += 1
-        starts.append(total)
-    flat = np.concatenate(symbols)
-    order = suffix_arrays(flat, np.array(starts))
+def _substring_hashes(raw: np.ndarray):
+    """A function from ``begin, end`` to hashes of ``raw[begin:end]``, each in a few steps."""
+    powers_, down = powers(len(raw)), np.full(len(raw), pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+    down[:1] = 1
+    value = raw.astype(np.uint64) + np.uint64(1)
+    total = np.concatenate((
+        np.zeros(1, np.uint64), np.cumsum(value * np.multiply.accumulate(down), dtype=np.uint64)
+    ))
+    return lambda begin, end: mix((total[end] - total[begin]) * powers_[end - 1] + (end - begin).astype(np.uint64))
+
+
+def least_keys(
+    raw: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray, heads: np.ndarray
+) -> np.ndarray:
+    """For each window of each piece ``raw[begin[i]:end[i]]``: the least key among the pieces of
+    its group that hold it; ``heads`` says where groups begin. One suffix array for each group,
+    all sorted side by side."""
+    size = end - begin
+    last = np.zeros(len(size), np.int64)
+    last[np.append(heads[1:], len(size)) - 1] = 1
+    # After a piece stands 1, after a group 0.
+    ends = np.cumsum(size + 1 + last)
+    start = ends - (size + 1 + last)
+    total = int(ends[-1])
+    flat = np.zeros(total, np.int64)
+    flat[ranges(start, start + size)] = raw[ranges(begin, end)].astype(np.int64) + 2
+    flat[start + size] = 1
+    starts = np.append(start[heads], total)
+    order = suffix_arrays(flat, starts)
+    count = size - LENGTH + 1
+    at = ranges(start, start + count)
     window = np.full(total, -1)
-    at = np.concatenate(where)
     window[at] = np.arange(len(at))
-    text = np.repeat(np.arange(len(groups)), np.diff(starts))
+    text = np.repeat(np.arange(len(heads)), np.diff(starts))
     order = order[window[order] >= 0]
     # Neighbours in the order that agree in a whole window are one class.
     same = text[order[1:]] == text[order[:-1]]
@@ -185,54 +196,35 @@ def least_keys(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
         rows = rows[flat[order[rows] + i] == flat[order[rows + 1] + i]]
     new = np.ones(len(order), bool)
     new[rows + 1] = False
-    key = np.array(keys)[np.concatenate(whose)][window[order]]
+    key = np.repeat(keys, count)[window[order]]
     head = np.flatnonzero(new)
-    least = np.minimum.reduceat(key, head) if len(head) else key
+    least = np.minimum.reduceat(key, head)
     found = np.empty(len(at), np.int64)
     found[window[order]] = np.repeat(least, np.diff(np.append(head, len(order))))
-    out, i = [], 0
-    for segs in groups:
-        own = []
-        for seg, _ in segs:
-            count = len(seg) - LENGTH + 1
-            own.append(found[i : i + count])
-            i += count
-        out.append(own)
-    return out
-
-
-Place = tuple[int, int]  # number of a segment, and one of its windows
-
-
-def _small_groups(segs: list[tuple[bytes, int, int]]) -> list[tuple[list[tuple[bytes, int]], list[list[Place]]]]:
-    """Groups of (piece, key), and the places that each piece stands for.
-
-    ``segs``: (bytes, place of the anchor, key). A large group is cut by windows: windows that
-    begin in the same stretch before the anchor hold the same middle if any of them are equal,
-    and only those stay together; equal pieces are one, with the smallest key."""
-    if len(segs) == 1 or sum(len(s) for s, _, _ in segs) <= LARGE:
-        return [([(s, k) for s, _, k in segs], [[(i, 0)] for i in range(len(segs))])]
-    stretch = 4
-    groups: dict[tuple[int, bytes], dict[bytes, tuple[int, list[Place]]]] = {}
-    for i, (seg, anchor, key) in enumerate(segs):
-        count = len(seg) - LENGTH + 1
-        w = 0
-        while w < count:
-            # Windows by their distance to the anchor: the same stretches in all segments.
-            back = (anchor - w) // stretch
-            # All windows of the stretch hold the bytes from its last one to its first one's end.
-            inner = anchor - back * stretch
-            end = min(count, inner + 1)
-            group = groups.setdefault((back, seg[inner : inner - stretch + 1 + LENGTH]), {})
-            piece = seg[w : end + LENGTH - 1]
-            least, places = group.get(piece, (key, []))
-            places.append((i, w))
-            group[piece] = (min(least, key), places)
-            w = end
-    return [
-        ([(p, least) for p, (least, _) in g.items()], [places for _, places in g.values()])
-        for g in groups.values()
-    ]
+    return found
+
+
+def _pieces_of(
+    anchor: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """``(segment, stretch, middle, first, windows)`` of the pieces that segments are cut into.
+
+    Segments of an anchor with more than ``LARGE`` bytes are cut by windows: windows that begin
+    in the same stretch before the anchor hold the same middle (``middle`` and the next
+    ``LENGTH - STRETCH + 1`` bytes) if any of them are equal, and only those stay together. The
+    others are one piece, with the stretch -1."""
+    size = end - begin
+    whole = np.bincount(anchor, weights=size)[anchor] <= LARGE
+    count = size - LENGTH + 1
+    far, near = at // STRETCH, (at - count + 1) // STRETCH  # of the first window, and the last one
+    far, near = np.where(whole, -1, far), np.where(whole, -1, near)
+    seg = np.repeat(np.arange(len(size)), far - near + 1)
+    stretch = ranges(near, far + 1)
+    inner = at[seg] - stretch * STRETCH  # where the last window of a whole stretch begins
+    cut = stretch >= 0
+    first = np.where(cut, np.maximum(inner - STRETCH + 1, 0), 0)
+    last = np.where(cut, np.minimum(inner, count[seg] - 1), count[seg] - 1)
+    return seg, stretch, begin[seg] + np.where(cut, inner, 0), first, last - first + 1
 
 
 ANSWERS = ("block", "h", "seg", "least", "runs")
@@ -243,44 +235,64 @@ def _differing(
     raw: np.ndarray, begin: np.ndarray,
 ) -> pa.RecordBatch:
     """Answers for anchors with several segments, from rows ordered by (h, at, name)."""
-    out: list[tuple] = []
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1]) | (name[1:] != name[:-1])
     head = np.flatnonzero(new)
-    least = np.minimum.reduceat(low, head)
-    data = raw.tobytes()
-    segs = [data[a:b] for a, b in zip(begin[head].tolist(), begin[head + 1].tolist())]
-    anchor = np.flatnonzero(np.concatenate(([True], h[head[1:]] != h[head[:-1]])))
-    groups, origin, found = [], [], []
-    rows = list(zip(segs, at[head].tolist(), least.tolist()))
-    for a, b in zip(anchor.tolist(), [*anchor[1:].tolist(), len(head)]):
-        found += [np.full(len(s) - LENGTH + 1, LAST) for s in segs[a:b]]
-        for g, place in _small_groups(rows[a:b]):
-            if len(g) == 1:  # equal to nothing but itself
-                for i, w in place[0]:
-                    found[a + i][w : w + len(g[0][0]) - LENGTH + 1] = g[0][1]
-                continue
-            groups.append(g)
-            origin.append((a, place))
-    for (a, place), own in zip(origin, least_keys(groups) if groups else []):
-        for places, keys in zip(place, own):
-            for i, w in places:
-                found[a + i][w : w + len(keys)] = keys
-    ends = np.append(head[1:], len(h))
-    for i, keys in enumerate(found):
-        low_ = int(keys.min())
-        some = np.flatnonzero(high[head[i]: ends[i]] > low_) + head[i]
-        if not len(some):
-            continue
-        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        runs = None
-        if len(cut) > 1:
-            runs = np.stack([np.diff(np.append(cut, len(keys))), keys[cut]]).tobytes()
-        first = head[i]
-        out.extend((b, int(h[first] >> 32), int(name[first]), low_, runs) for b in block[some].tolist())
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*out)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(ANSWERS))
+    least, b, e = np.minimum.reduceat(low, head), begin[head], begin[head + 1]
+    anchor = np.cumsum(np.concatenate(([True], h[head[1:]] != h[head[:-1]]))) - 1
+    seg, stretch, middle, first, count = _pieces_of(anchor, at[head].astype(np.int64), b, e)
+    hashes = _substring_hashes(raw)
+    own = hashes(b[seg] + first, b[seg] + first + count + LENGTH - 1)
+    inner = np.zeros(len(seg), np.uint64)
+    cut = np.flatnonzero(stretch >= 0)
+    inner[cut] = hashes(middle[cut], middle[cut] + LENGTH - STRETCH + 1)
+    # Equal pieces of a group are one, with the smallest key.
+    order = np.lexsort((own, inner, stretch, anchor[seg]))
+    seg, first, count, own, inner, stretch = (x[order] for x in (seg, first, count, own, inner, stretch))
+    other = np.ones(len(seg), bool)
+    other[1:] = (inner[1:] != inner[:-1]) | (stretch[1:] != stretch[:-1]) | (anchor[seg[1:]] != anchor[seg[:-1]])
+    differs = other.copy()
+    differs[1:] |= own[1:] != own[:-1]
+    piece = np.flatnonzero(differs)
+    key = np.minimum.reduceat(least[seg], piece)
+    group = np.cumsum(other[piece]) - 1
+    # A piece that is alone in its group is equal to nothing but itself.
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    ends = np.cumsum(count[piece])
+    value = np.repeat(key, count[piece])
+    if len(some):
+        p = piece[some]
+        from_ = b[seg[p]] + first[p]
+        heads = np.flatnonzero(np.concatenate(([True], group[some[1:]] != group[some[:-1]])))
+        value[ranges(ends[some] - count[p], ends[some])] = least_keys(
+            raw, from_, from_ + count[p] + LENGTH - 1, key[some], heads
+        )
+    of = np.cumsum(differs) - 1
+    windows = e - b - LENGTH + 1
+    edge = np.concatenate(([0], np.cumsum(windows)))
+    found = np.empty(edge[-1], np.int64)
+    to, source = edge[seg] + first, (ends - count[piece])[of]
+    found[ranges(to, to + count)] = value[ranges(source, source + count)]
+    least = np.minimum.reduceat(found, edge[:-1])
+    # Runs of equal keys, of the segments that a block asks for.
+    whose = np.cumsum(new) - 1
+    rows = np.flatnonzero(high > least[whose])
+    asked = np.unique(whose[rows])
+    mark = np.ones(len(found), bool)
+    mark[1:] = found[1:] != found[:-1]
+    mark[edge[:-1]] = True
+    start = np.flatnonzero(mark)
+    length, at_ = np.diff(np.append(start, len(found))), np.searchsorted(start, edge)
+    runs: list[bytes | None] = [None] * len(asked)
+    for k in np.flatnonzero(at_[asked + 1] - at_[asked] > 1).tolist():
+        i, j = at_[asked[k]], at_[asked[k] + 1]
+        runs[k] = np.stack([length[i:j], found[start[i:j]]]).tobytes()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block[rows]), pa.array((h[rows] >> 32).astype(np.int32)), pa.array(name[rows]),
+         pa.array(least[whose[rows]]),
+         pa.array(runs, pa.binary()).take(pa.array(np.searchsorted(asked, whose[rows])))],
+        names=list(ANSWERS),
+    )
 
 
 def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import grouping, queries, substrings
@@ -93,3 +94,46 @@ def test_given_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((tuple(r) for r in queries.op3_repeated_bytes(spark, SF_DIR).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_what_cannot_repeat_is_not_sorted(monkeypatch):
+    """Near copies, each with one byte changed: their segments are few bytes to an anchor, and
+    most windows are equal to all others or to none."""
+    rng = random.Random(4)
+    rows = []
+    for h in range(40):
+        base = [rng.choice(b"abcdefgh") for _ in range(78)]
+        for _ in range(8):
+            seg = base.copy()
+            seg[rng.choice([*range(28), *range(48, 78)])] = 120
+            low = rng.randint(0, 9)
+            rows.append((h << 32, 28, len(rows), bytes(seg), low, low + rng.randint(0, 9), rng.randint(0, 5)))
+    rows.sort(key=lambda r: r[:3])
+    names = ("h", "at", "name", "seg", "low", "high", "block")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(names))
+    size = []
+    sort = substrings.suffix_arrays
+    monkeypatch.setattr(substrings, "suffix_arrays", lambda flat, starts: size.append(len(flat)) or sort(flat, starts))
+    got = pa.Table.from_batches(substrings.classes([batch.slice(0, 101), batch.slice(101)])).to_pylist()
+    least = {}
+    for h, at, _, seg, low, _, _ in rows:
+        for w in range(len(seg) - N + 1):
+            k = (h, seg[w : w + N])
+            least[k] = min(low, least.get(k, low))
+    want = {}
+    for h, at, name, seg, low, high, block in rows:
+        keys = [least[h, seg[w : w + N]] for w in range(len(seg) - N + 1)]
+        if high > min(keys):
+            want[name] = (block, h >> 32, min(keys), keys)
+
+    def keys_of(r):
+        if r["runs"] is None:
+            return [r["least"]] * (len(rows[order[r["seg"]]][3]) - N + 1)
+        count, keys = np.frombuffer(r["runs"], np.int64).reshape(2, -1)
+        return np.repeat(keys, count).tolist()
+
+    order = {r[2]: i for i, r in enumerate(rows)}
+    assert {r["seg"]: (r["block"], r["h"], r["least"], keys_of(r)) for r in got} == want
+    assert len(got) == len(want) > 100 and any(r["runs"] for r in got)
+    assert 0 < sum(size) < sum(len(r[3]) for r in rows)
